@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pagefold.llm import chat, decontaminate, pii, simjoin, toxicity
+from pagefold.llm import chat, decontaminate, pii, simjoin, tokenfiles, toxicity
 
-MODULES = (chat, pii, simjoin, toxicity, decontaminate)
+MODULES = (chat, pii, simjoin, toxicity, decontaminate, tokenfiles)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
