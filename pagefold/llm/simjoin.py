@@ -77,7 +77,7 @@ def census(texts: DataFrame, n: int) -> np.ndarray:
         if len(at):
             yield pa.RecordBatch.from_pydict({"c": at, "n": total[at]})
 
-    counts = texts.mapInArrow(run, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
+    counts = stored(texts.mapInArrow(run, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")), "census")
     mean = counts.agg(F.sum("n") / COUNTERS).first()[0] or 0
     marks = np.zeros(COUNTERS, bool)
     for r in counts.where(F.col("n") > COMMON * mean + 16).collect():
@@ -152,13 +152,21 @@ def candidate_links(rows: DataFrame, reps: DataFrame, n: int, percent: int, bloc
     postings = reps.select("node", "size", F.size("prefix").alias("width"), F.explode("prefix").alias("token"))
     shared = postings.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df")
     shared = stored(shared, "postings")
-    # How much of a class's prefix is shared decides whether it can link at all, and who is the hub.
-    weight = shared.groupBy("node").agg(F.count("*").alias("held"), F.first("size").alias("size"), F.first("width").alias("width"))
-    able = weight.where(F.col("held") >= need).select(F.col("node").alias("able"), (F.col("width") - F.col("held")).alias("alone"))
-    left = shared.join(able, F.col("node") == F.col("able"))
-    hubs = left.groupBy(F.col("token").alias("hub_token")).agg(F.min(F.struct("alone", "node"))["node"].alias("hub"), F.count("*").alias("df")).where("df > 1")
-    met = left.join(hubs, F.col("token") == F.col("hub_token")).groupBy("hub", "node").agg(F.first("size").alias("size"))
-    met = stored(met, "met")
+    # How much of a class's prefix is shared decides whether it can link at all, and who is the hub.  Tokens that only
+    # one able class is left with no longer count, so the classes that stay are told once more.
+    left = shared
+    for _ in range(2):
+        weight = left.groupBy("node").agg(F.count("*").alias("held"), F.first("size").alias("size"), F.first("width").alias("width"))
+        able = weight.where(F.col("held") >= need).select(F.col("node").alias("able"), (F.col("width") - F.col("held")).alias("alone"))
+        left = left.select("node", "size", "width", "token").join(able, F.col("node") == F.col("able"))
+        hubs = left.groupBy(F.col("token").alias("hub_token")).agg(F.min(F.struct("alone", "node"))["node"].alias("hub"), F.count("*").alias("df")).where("df > 1")
+        left = left.join(hubs, F.col("token") == F.col("hub_token"))
+        left = stored(left.select("node", "size", "width", "token", "hub"), "left")
+    # Two linked classes share `need` tokens or more under at most as many hubs as either of them has, so they meet at
+    # one hub that has at least this share of both.
+    met = left.groupBy("hub", "node").agg(F.first("size").alias("size"), F.count("*").alias("meets"))
+    met = met.withColumn("hubs", F.count("*").over(Window.partitionBy("node"))).where(F.col("meets") * F.col("hubs") >= need)
+    met = stored(met.select("hub", "node", "size"), "met")
     room = met.groupBy(F.col("hub").alias("room_hub")).agg(F.sum("size").alias("tokens"), F.count("*").alias("classes")).where("classes > 1")
     parts = F.ceil(F.col("tokens") / block_tokens).cast("long")
     placed = met.join(room, F.col("hub") == F.col("room_hub")).select("hub", "node", "size", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("nth"))
