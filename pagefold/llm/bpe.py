@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pagefold.llm.common import stored, table, text_or_empty
 
 #: Characters of the texts of one block; a longer text is a block of its own.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 32 << 20
 ABOVE_LATIN = re.compile("[^\0-ſ]")
 
 
@@ -46,27 +46,42 @@ class Codes(dict):
         return code
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, small ones mostly, byte by byte of their places: zlib finds more in that order."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
 class Block:
     def __init__(self):
         self.codes, self.chars, self.ids, self.rows = Codes(), 0, [], []
 
     def add(self, key, text: str):
         self.ids.append(key)
-        self.rows.append(zlib.compress(array.array("I", map(self.codes.__getitem__, split(text))).tobytes(), 1))
+        self.rows.append(np.array(array.array("I", map(self.codes.__getitem__, split(text))), np.uint32))
         self.chars += len(text)
 
     def batches(self, block: int, buckets: int, kind):
+        """Words are numbered anew, frequent ones first; a bucket's words are sorted, so that they pack well."""
         n = len(self.ids)
-        yield batch([block] * n, [None] * n, pa.array(self.ids, kind), self.rows, [None] * n, kind)
-        dealt: dict[int, tuple[list[str], list[int]]] = {}
-        for word, code in self.codes.items():
-            words, codes = dealt.setdefault(zlib.crc32(word.encode()) % buckets, ([], []))
-            words.append(word)
-            codes.append(code)
+        often = np.bincount(np.concatenate(self.rows), minlength=len(self.codes))
+        rank = np.empty(len(often), np.uint32)
+        rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
+        yield batch([block] * n, [None] * n, pa.array(self.ids, kind), [packed(rank[r]) for r in self.rows], [None] * n, kind)
+        dealt: dict[int, list[tuple[str, int]]] = {}
+        for word, code in zip(self.codes, rank.tolist(), strict=True):
+            dealt.setdefault(zlib.crc32(word.encode()) % buckets, []).append((word, code))
         if dealt:
             k = len(dealt)
-            codes = [array.array("I", c).tobytes() for _, c in dealt.values()]
-            yield batch([block] * k, list(dealt), pa.nulls(k, kind), codes, ["\n".join(w).encode() for w, _ in dealt.values()], kind)
+            for words in dealt.values():
+                words.sort()
+            codes = [packed(np.array([c for _, c in words])) for words in dealt.values()]
+            lists = [zlib.compress("\n".join([w for w, _ in words]).encode(), 1) for words in dealt.values()]
+            yield batch([block] * k, list(dealt), pa.nulls(k, kind), codes, lists, kind)
 
 
 def batch(block, bucket, ids, codes, words, kind):
@@ -104,7 +119,7 @@ def encoded_words(words: DataFrame, tokenizer: str) -> DataFrame:
         whole = Tokenizer.from_file(tokenizer)
         whole.no_truncation()
         whole.no_padding()
-        lists = [w.decode().split("\n") for w in frame["words"]]
+        lists = [zlib.decompress(w).decode().split("\n") for w in frame["words"]]
         distinct = list(dict.fromkeys(w for words in lists for w in words))
         ids: dict[str, bytes] = {}
         for at in range(0, len(distinct), 4096):
@@ -114,7 +129,7 @@ def encoded_words(words: DataFrame, tokenizer: str) -> DataFrame:
         out = []
         for block, codes, words in zip(frame["block"], frame["codes"], lists, strict=True):
             got = [ids[w] for w in words]
-            out.append((block, codes, array.array("I", map(len, got)).tobytes(), b"".join(got)))
+            out.append((block, codes, packed(np.array([len(g) for g in got])), zlib.compress(b"".join(got), 1)))
         return pd.DataFrame(out, columns=["block", "codes", "lengths", "ids"])
 
     return words.groupBy("bucket").applyInPandas(run, "block bigint, codes binary, lengths binary, ids binary")
@@ -148,11 +163,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(texts, words):
         decimal = [str(i) for i in range(len(pieces))]
-        total = sum(len(c) // 4 for c in words["codes"])
+        lists = [(unpacked(c), unpacked(n), zlib.decompress(i)) for c, n, i in zip(words["codes"], words["lengths"], words["ids"], strict=True)]
+        total = sum(len(c) for c, _, _ in lists)
         ids_of, numbers, decoded = [None] * total, [b""] * total, [b""] * total
-        for codes, lengths, ids in zip(words["codes"], words["lengths"], words["ids"], strict=True):
+        for codes, lengths, ids in lists:
             at = 0
-            for code, n in zip(np.frombuffer(codes, np.uint32).tolist(), np.frombuffer(lengths, np.uint32).tolist(), strict=True):
+            for code, n in zip(codes.tolist(), lengths.tolist(), strict=True):
                 own = ids[at : at + n]
                 at += n
                 if own:
@@ -163,8 +179,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 ids_of[code] = own.tolist() if own and not digests else len(own)
         counts = np.array(ids_of, np.int64) if digests and total else np.zeros(total, np.int64)
         out = []
-        for key, packed in zip(texts["id"], texts["codes"], strict=True):
-            codes = np.frombuffer(zlib.decompress(packed), np.uint32)
+        for key, row in zip(texts["id"], texts["codes"], strict=True):
+            codes = unpacked(row)
             each = codes.tolist()
             text = b" ".join(filter(None, map(decoded.__getitem__, each)))
             if digests:
