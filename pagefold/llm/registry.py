@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pagefold.llm import bpe, chat, decontaminate, media, pii, simjoin, tokenfiles, toxicity
+from pagefold.llm import bpe, chat, decontaminate, htmltext, media, pii, simjoin, tokenfiles, toxicity
 
-MODULES = (chat, pii, simjoin, toxicity, decontaminate, bpe, media, tokenfiles)
+MODULES = (chat, pii, simjoin, toxicity, decontaminate, bpe, media, tokenfiles, htmltext)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
