@@ -10,6 +10,7 @@ from pagefold.llm.common import stored
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star links each larger neighbour of a node, small star each smaller one and the node, to its minimum."""
+    edges = edges.where("a != b")
     both = edges.select("a", "b")
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,17 +28,16 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of edges (a, b) can reach.  Empty edges give no row.
 
-    Rounds are written to the shared folder, so a lost executor repeats one round at most.
+    edges should be a stored table: it is read twice.  Rounds are written to the shared folder, so a lost executor
+    repeats one round at most.
     """
-    now = stored(edges.where("a != b").select("a", "b").distinct(), "cc")
-    mark = None
+    now = edges
     while True:
         now = stored(star(stored(star(now, large=True), "cc"), large=False), "cc")
-        # A fixed point is a set of stars: no node is both a leaf and a centre, and a leaf has one centre.
-        state = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0)).alias("h")).first()
-        if (state["n"], state["h"]) == mark:
+        # Done when the edges are stars: a leaf has one centre, and no centre is a leaf.
+        ends = now.select(F.col("a").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(now.select(F.col("b").alias("n"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+        if ends.groupBy("n").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf + centre > 1").isEmpty():
             break
-        mark = (state["n"], state["h"])
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     centres = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return leaves.unionByName(centres)

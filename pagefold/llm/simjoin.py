@@ -195,7 +195,7 @@ def candidate_links(rows: DataFrame, reps: DataFrame, n: int, percent: int, bloc
     asking = wide.where("apart").select("hub", "node", F.lit(0).alias("place"), upto("parts").alias("nth"), F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).alias("chunk"))
     crossed = heard.unionByName(asking).groupBy("hub", "chunk", "nth", "node").agg(F.min("place").alias("place"))
     crossed = crossed.select(F.xxhash64("hub", "chunk", "nth", F.lit("ask")).alias("part"), "place", "node")
-    return first.unionByName(searched(crossed, tokens, percent, asked=True))
+    return stored(first.unionByName(searched(crossed, tokens, percent, asked=True)), "links")
 
 
 def token_sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
