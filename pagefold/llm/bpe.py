@@ -148,8 +148,16 @@ def vocabulary(tokenizer: str) -> list[str]:
     return out
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """(id, ids, decoded) of every whole text, or with `digests` (id, n_tokens, ids_sha256, decoded_sha256).
+#: What encode() returns beside the id.
+WANT = {
+    "texts": "ids array<int>, decoded string",
+    "ids": "n_tokens bigint, ids array<int>",
+    "digests": "n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+}
+
+
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", want: str = "texts") -> DataFrame:
+    """The id and WANT[want] of every whole text: ids and their decoded text, ids alone, or digests of both.
 
     Null and empty texts have no ids and decode to ''.  Rows that repeat give rows that repeat; a null id stays null.
     An empty table gives an empty one.  Other columns are not read.
@@ -162,37 +170,43 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     kind = both.schema["id"].dataType.simpleString()
 
     def run(texts, words):
-        decimal = [str(i) for i in range(len(pieces))]
         lists = [(unpacked(c), unpacked(n), zlib.decompress(i)) for c, n, i in zip(words["codes"], words["lengths"], words["ids"], strict=True)]
         total = sum(len(c) for c, _, _ in lists)
-        ids_of, numbers, decoded = [None] * total, [b""] * total, [b""] * total
-        for codes, lengths, ids in lists:
-            at = 0
-            for code, n in zip(codes.tolist(), lengths.tolist(), strict=True):
-                own = ids[at : at + n]
-                at += n
-                if own:
-                    own = memoryview(own).cast("H")
-                    if digests:
-                        numbers[code] = " ".join([decimal[i] for i in own]).encode()
-                    decoded[code] = " ".join([pieces[i] for i in own]).encode()
-                ids_of[code] = own.tolist() if own and not digests else len(own)
-        counts = np.array(ids_of, np.int64) if digests and total else np.zeros(total, np.int64)
+        # By word code: where its ids begin and how many they are; its ids in decimals; its decoded pieces.
+        flat = np.frombuffer(b"".join(i for _, _, i in lists), np.uint16)
+        codes = np.concatenate([c for c, _, _ in lists]) if lists else np.zeros(0, np.uint32)
+        sizes = (np.concatenate([n for _, n, _ in lists]) if lists else np.zeros(0, np.uint32)).astype(np.int64) // 2
+        ends = np.cumsum(sizes)
+        starts, counts = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        starts[codes], counts[codes] = ends - sizes, sizes
+        numbers, decoded = [b""] * total, [b""] * total
+        if want != "ids":
+            decimal = [str(i) for i in range(len(pieces))]
+            for code, begin, end in zip(codes.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+                own = flat[begin:end].tolist()
+                if want == "digests":
+                    numbers[code] = " ".join([decimal[i] for i in own]).encode()
+                decoded[code] = " ".join([pieces[i] for i in own]).encode()
         out = []
         for key, row in zip(texts["id"], texts["codes"], strict=True):
             codes = unpacked(row)
-            each = codes.tolist()
+            each, n = codes.tolist(), int(counts[codes].sum())
+            if want != "digests":
+                reps = counts[codes]
+                ids = flat[np.repeat(starts[codes] - (np.cumsum(reps) - reps), reps) + np.arange(n)].astype(np.int32)
+            if want == "ids":
+                out.append((key, n, ids))
+                continue
             text = b" ".join(filter(None, map(decoded.__getitem__, each)))
-            if digests:
-                told = b" ".join(filter(None, map(numbers.__getitem__, each)))
-                out.append((key, int(counts[codes].sum()), hashlib.sha256(told).hexdigest(), hashlib.sha256(text).hexdigest()))
+            if want == "texts":
+                out.append((key, ids, text.decode()))
             else:
-                out.append((key, [i for c in each for i in (ids_of[c] or ())], text.decode()))
+                told = b" ".join(filter(None, map(numbers.__getitem__, each)))
+                out.append((key, n, hashlib.sha256(told).hexdigest(), hashlib.sha256(text).hexdigest()))
         return pd.DataFrame(out, columns=columns)
 
-    columns = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["id", "ids", "decoded"]
-    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else f"id {kind}, ids array<int>, decoded string"
-    out = texts.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(run, schema)
+    columns = ["id", *(c.split(" ")[0] for c in WANT[want].split(", "))]
+    out = texts.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(run, f"id {kind}, {WANT[want]}")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -207,7 +221,7 @@ def decode(tokens: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: s
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), want="digests")
 
 
 QUERIES = {"op6_bpe": op6_bpe}

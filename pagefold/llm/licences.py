@@ -114,15 +114,15 @@ def quoted(text: str) -> str:
 
 ORACLE = f"""
 WITH t(licence, body) AS (VALUES {", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in TEMPLATES.items())}),
-tw AS (SELECT licence, list_filter(string_split(regexp_replace(translate(body, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' '), w -> w <> '') AS w FROM t),
-tg AS (SELECT licence, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS g FROM tw),
+tw AS (SELECT licence, list_filter(string_split(regexp_replace(translate(body, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM t),
+tg AS (SELECT licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw),
 tb AS (SELECT licence, len(g) AS template_size, unnest(g) AS gram FROM tg),
 p AS (
     SELECT doc_id, 'line' AS extent, unnest(string_split(text, chr(10))) AS place, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents
     UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(text, '\\n[ \\t]*\\n')), generate_subscripts(regexp_split_to_array(text, '\\n[ \\t]*\\n'), 1) FROM documents
     UNION ALL SELECT doc_id, 'text', text, 0 FROM documents),
-pw AS (SELECT doc_id, extent, nth, list_filter(string_split(regexp_replace(translate(place, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' '), w -> w <> '') AS w FROM p WHERE place IS NOT NULL),
-pg AS (SELECT doc_id, extent, nth, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS g FROM pw WHERE len(w) > 1),
+pw AS (SELECT doc_id, extent, nth, list_filter(string_split(regexp_replace(translate(place, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM p WHERE place IS NOT NULL),
+pg AS (SELECT doc_id, extent, nth, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM pw WHERE len(w) > 1),
 pb AS (SELECT doc_id, extent, nth, len(g) AS size, unnest(g) AS gram FROM pg),
 s AS (SELECT doc_id, extent, nth, licence, size, template_size, count(*) AS common FROM pb JOIN tb USING (gram) GROUP BY ALL)
 SELECT doc_id, licence, max(round(2.0::DOUBLE * common / (size + template_size), 6)) AS dice, count(*) AS n_places
