@@ -26,6 +26,8 @@ from pagefold.llm.common import stored, table, text_or_empty
 
 #: Characters of the texts of one block; a longer text is a block of its own.
 BLOCK_CHARS = 32 << 20
+#: Words in one row of coded texts, about.
+ROW_WORDS = 200_000
 ABOVE_LATIN = re.compile("[^\0-ſ]")
 
 
@@ -71,7 +73,13 @@ class Block:
         often = np.bincount(np.concatenate(self.rows), minlength=len(self.codes))
         rank = np.empty(len(often), np.uint32)
         rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
-        yield batch([block] * n, [None] * n, pa.array(self.ids, kind), [packed(rank[r]) for r in self.rows], [None] * n, kind)
+        # Many texts to a row, so that they pack well together: their ids, codes in order and numbers of words.
+        sizes, begin = np.array([len(r) for r in self.rows]), 0
+        cuts = [*(np.flatnonzero(np.diff(np.cumsum(sizes) // ROW_WORDS)) + 1).tolist(), n]
+        for end in cuts:
+            rows = self.rows[begin:end]
+            yield batch([block], [None], pa.array([self.ids[begin:end]], pa.list_(kind)), [packed(rank[np.concatenate(rows)])], [packed(sizes[begin:end])], kind)
+            begin = end
         dealt: dict[int, list[tuple[str, int]]] = {}
         for word, code in zip(self.codes, rank.tolist(), strict=True):
             dealt.setdefault(zlib.crc32(word.encode()) % buckets, []).append((word, code))
@@ -81,16 +89,16 @@ class Block:
                 words.sort()
             codes = [packed(np.array([c for _, c in words])) for words in dealt.values()]
             lists = [zlib.compress("\n".join([w for w, _ in words]).encode(), 1) for words in dealt.values()]
-            yield batch([block] * k, list(dealt), pa.nulls(k, kind), codes, lists, kind)
+            yield batch([block] * k, list(dealt), pa.nulls(k, pa.list_(kind)), codes, lists, kind)
 
 
 def batch(block, bucket, ids, codes, words, kind):
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), ids, pa.array(codes, pa.binary()), pa.array(words, pa.binary())], ["block", "bucket", "id", "codes", "words"])
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), ids, pa.array(codes, pa.binary()), pa.array(words, pa.binary())], ["block", "bucket", "ids", "codes", "words"])
 
 
 def coded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """(block, bucket, id, codes, words): a row for each text (bucket is null), and for each block's words of a bucket."""
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    """(block, bucket, ids, codes, words): rows of texts (bucket is null), and one for each block's words of a bucket."""
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text"))  # a null among numbers would make them floats
 
     def run(batches):
         now, nth, task = Block(), 0, TaskContext.get().partitionId() << 32
@@ -106,7 +114,7 @@ def coded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFram
         if now.ids:
             yield from now.batches(task + nth, buckets, kind)
 
-    return rows.mapInArrow(run, f"block bigint, bucket int, id {rows.schema['id'].dataType.simpleString()}, codes binary, words binary")
+    return rows.mapInArrow(run, f"block bigint, bucket int, ids array<{rows.schema['id'].dataType.simpleString()}>, codes binary, words binary")
 
 
 def encoded_words(words: DataFrame, tokenizer: str) -> DataFrame:
@@ -148,6 +156,12 @@ def vocabulary(tokenizer: str) -> list[str]:
     return out
 
 
+def placed(texts):
+    """(id, word codes by position) of every text in the rows of a block."""
+    for ids, codes, sizes in zip(texts["ids"], texts["codes"], texts["sizes"], strict=True):
+        yield from zip(ids.tolist(), np.split(unpacked(codes), np.cumsum(unpacked(sizes))[:-1]), strict=True)
+
+
 #: What encode() returns beside the id.
 WANT = {
     "texts": "ids array<int>, decoded string",
@@ -165,9 +179,9 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     buckets = max(16, min(4096, docs.rdd.getNumPartitions()))
     both = stored(coded(docs, id_col, text_col, buckets), "coded")
     words = encoded_words(both.where("bucket is not null").select("bucket", "block", "codes", "words"), tokenizer)
-    texts = both.where("bucket is null").select("block", "id", "codes")
+    texts = both.where("bucket is null").select("block", "ids", "codes", F.col("words").alias("sizes"))
     pieces = vocabulary(tokenizer)
-    kind = both.schema["id"].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
 
     def run(texts, words):
         lists = [(unpacked(c), unpacked(n), zlib.decompress(i)) for c, n, i in zip(words["codes"], words["lengths"], words["ids"], strict=True)]
@@ -188,8 +202,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     numbers[code] = " ".join([decimal[i] for i in own]).encode()
                 decoded[code] = " ".join([pieces[i] for i in own]).encode()
         out = []
-        for key, row in zip(texts["id"], texts["codes"], strict=True):
-            codes = unpacked(row)
+        for key, codes in placed(texts):
             each, n = codes.tolist(), int(counts[codes].sum())
             if want != "digests":
                 reps = counts[codes]
@@ -206,8 +219,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         return pd.DataFrame(out, columns=columns)
 
     columns = ["id", *(c.split(" ")[0] for c in WANT[want].split(", "))]
-    out = texts.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(run, f"id {kind}, {WANT[want]}")
-    return out.withColumnRenamed("id", id_col)
+    out = texts.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(run, f"id string, {WANT[want]}")
+    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
