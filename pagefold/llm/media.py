@@ -29,6 +29,8 @@ LEAST, EXPECTED, MOST = 512, 2048, 16384
 GEAR = (BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
 #: Bytes that the gear hash sees; no more than LEAST, so that what stands before a chunk never moves its end.
 ROLL = 32
+#: Bits that tell the tasks which texts share chunks (2 MB).
+SPOTS = 1 << 24
 
 
 def payload(text: str) -> bytes:
@@ -132,7 +134,8 @@ def shared_chunks(rows: DataFrame) -> DataFrame:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, media): rows (id, n_bytes, key) of every text; media (key, recipe, drops, lends, pack), each once.
+    """(rows, media): rows (id, n_bytes, key) of every text; media (key, recipe, drops, lends, pack), each once, but
+    again for rows that repeat both id and text.
 
     A recipe lists a medium's chunks in order; pack has the owned ones' bytes joined and compressed, drops the numbers
     of those owned elsewhere, lends the numbers of those that other media use.  Null texts are empty; equal texts are
@@ -140,19 +143,34 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
     rows = stored(listed(docs), "media-rows")
-    plan = shared_chunks(rows)
+    plan = stored(shared_chunks(rows), "media-plan")
+    # One bit for each hash of a planned id: texts without theirs set need no plan, and their bytes no shuffle.  However
+    # many ids are planned, the bits stay as many; a bit set by another id only sends a text to the join.
+    spot = F.pmod(F.xxhash64("plan_id"), F.lit(SPOTS))
+    spots = plan.select(spot.alias("spot")).selectExpr("cast(spot div 64 as int) word", "shiftleft(1L, cast(spot % 64 as int)) bits").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    planned = np.zeros(SPOTS // 64, np.int64)
+    for r in spots.toLocalIterator():
+        planned[r["word"]] = r["bits"]
+    planned = planned.view(np.uint64)
+
+    def compress(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                at = batch.column(2).to_numpy()
+                hit = (planned[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
+                batch = batch.filter(pa.array((hit == 1) == wanted))
+                for b in pieces(batch, 1):
+                    media, keys, ends, digests = prepared(b, 1)
+                    recipes = [[{"digest": d, "length": e - a} for d, a, e in zip(ds, [0, *es[:-1]], es, strict=True)] for ds, es in zip(digests, ends, strict=True)]
+                    packs = [zlib.compress(m, 6) for m in media]
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(recipes, RECIPE_ARROW), pa.array(packs, pa.binary())], ["id", "key", "recipe", "pack"])
+
+        spotted = docs.withColumn("spot", F.pmod(F.xxhash64("id"), F.lit(SPOTS)))
+        return spotted.mapInArrow(run, f"id bigint, key binary, recipe {RECIPE}, pack binary")
 
-    def compress(batches):
-        for batch in batches:
-            for b in pieces(batch, 1):
-                media, keys, ends, digests = prepared(b, 1)
-                recipes = [[{"digest": d, "length": e - a} for d, a, e in zip(ds, [0, *es[:-1]], es, strict=True)] for ds, es in zip(digests, ends, strict=True)]
-                packs = [zlib.compress(m, 6) for m in media]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(recipes, RECIPE_ARROW), pa.array(packs, pa.binary())], ["id", "key", "recipe", "pack"])
-
-    whole = docs.mapInArrow(compress, f"id bigint, key binary, recipe {RECIPE}, pack binary")
-    joined = whole.join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("key") == F.col("plan_key")), "left").where(F.coalesce("holds", F.lit(True)))
     none = F.array().cast("array<int>")
+    alone = compress(False).select("key", "recipe", none.alias("drops"), none.alias("lends"), "pack")
+    joined = compress(True).join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("key") == F.col("plan_key")), "left").where(F.coalesce("holds", F.lit(True)))
     joined = joined.select("key", "recipe", F.coalesce("drops", none).alias("drops"), F.coalesce("lends", none).alias("lends"), "pack")
 
     def reduce(batches):
@@ -169,7 +187,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
             yield b.set_column(4, b.schema.field(4), pa.array(packs, pa.binary()))
 
     schema = f"key binary, recipe {RECIPE}, drops array<int>, lends array<int>, pack binary"
-    return rows.select("id", "n_bytes", "key"), stored(joined.mapInArrow(reduce, schema), "media")
+    return rows.select("id", "n_bytes", "key"), stored(alone.unionByName(joined.mapInArrow(reduce, schema)), "media")
 
 
 def owned(recipe: list[dict], drops: list[int], pack: bytes) -> dict[int, bytes]:
@@ -248,7 +266,7 @@ def read(media: DataFrame, each=described, fields=FIELDS, schema: str = SCHEMA)
 
 def op8_media_chunks(spark, sf_dir: str) -> DataFrame:
     rows, media = store(table(spark, sf_dir, "documents"))
-    found = read(media).withColumnRenamed("key", "media_key")
+    found = read(media).dropDuplicates(["key"]).withColumnRenamed("key", "media_key")
     out = rows.join(found, F.col("key") == F.col("media_key"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", *list(FIELDS)[1:])
 
