@@ -49,20 +49,35 @@ def bigrams(words: list[str]) -> set[str]:
     return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
 
+# Short words that ordinary text is full of; they make poor anchors.
+ORDINARY = frozenset("a an and any are as at be by can for from if in is it its no not of on or that the this to was with you".split())
+
+
 def anchors(templates: dict[str, str], threshold: float) -> list[str]:
-    """Words of which each match has one: a template's longest, until its bigrams without any are too few to match."""
+    """Words of which each match has one: a template's longest, until its bigrams without any are too few to match.
+
+    Words that are anchors already come first, ordinary ones last.
+    """
     out: set[str] = set()
     for text in templates.values():
         words = normal_words(text)
         pairs = bigrams(words)
         needed = math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9)
-        for word in sorted(set(words), key=lambda w: (w not in out, -len(w), w)):
+        for word in sorted(set(words), key=lambda w: (w not in out, w in ORDINARY, -len(w), w)):
             if sum(out.isdisjoint(p.split(" ")) for p in pairs) < needed:
                 break
             out.add(word)
     return sorted(out)
 
 
+def any_word(words: list[str]) -> str:
+    """A pattern that finds one of the words, by their first letters; ASCII case only."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    return f"(?i)(?<![a-z0-9])(?:{'|'.join(f'{c}(?:{"|".join(rest)})' for c, rest in sorted(by.items()))})(?![a-z0-9])"
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(id, licence, dice, n_places): the best coefficient of each text and template that reach the threshold.
 
@@ -80,10 +95,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    low = lambda c: F.translate(c, UPPER, LOWER)
-    split = lambda c: F.filter(F.split(F.regexp_replace(low(c), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    split = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
     # The anchors first, on whole texts; a text without them has no place with them.
-    rows = rows.where(F.arrays_overlap(split(F.col("text")), F.array(*map(F.lit, words))))
+    rows = rows.where(F.col("text").rlike(any_word(words)))
     places = F.concat(
         F.transform(F.split("text", "\n"), lambda t, i: F.struct(F.lit("line").alias("extent"), i.alias("nth"), t.alias("place"))),
         F.transform(F.split("text", "\n[ \t]*\n"), lambda t, i: F.struct(F.lit("paragraph").alias("extent"), i.alias("nth"), t.alias("place"))),
