@@ -109,6 +109,10 @@ LABELLED = """
 9 0 1 1 17 0 0 0 0 1 1
 5 0 3 0 30 0 0 0 0 1 1
 3 0 4 0 60 0 0 0 0 1 1
+1 0 2 1 17 0 0 0 0 1 1
+2 0 3 1 60 0 0 0 0 1 1
+1 0 40 0 60 0 0 0 0 1 1
+1 0 0 0 30 0 0 0 0 1 1
 40 0 60 0 10 0 0 0 1 0 0
 90 0.1 30 0 20 0 0 0 1 0 0
 3 1 1 1 2 1 0 0 1 0 0
