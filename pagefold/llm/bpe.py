@@ -96,7 +96,7 @@ def batch(block, bucket, ids, codes, words, kind):
     return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), ids, pa.array(codes, pa.binary()), pa.array(words, pa.binary())], ["block", "bucket", "ids", "codes", "words"])
 
 
-def coded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+def coded(docs: DataFrame, id_col: str, text_col: str, buckets: int, block_chars: int) -> DataFrame:
     """(block, bucket, ids, codes, words): rows of texts (bucket is null), and one for each block's words of a bucket."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text"))  # a null among numbers would make them floats
 
@@ -107,7 +107,7 @@ def coded(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFram
             kind = b.schema.field(0).type
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py()
-                if now.ids and now.chars + len(text) > BLOCK_CHARS:
+                if now.ids and now.chars + len(text) > block_chars:
                     yield from now.batches(task + nth, buckets, kind)
                     now, nth = Block(), nth + 1
                 now.add(key, text)
@@ -170,14 +170,15 @@ WANT = {
 }
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", want: str = "texts") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", want: str = "texts", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The id and WANT[want] of every whole text: ids and their decoded text, ids alone, or digests of both.
 
     Null and empty texts have no ids and decode to ''.  Rows that repeat give rows that repeat; a null id stays null.
-    An empty table gives an empty one.  Other columns are not read.
+    An empty table gives an empty one.  Other columns are not read.  Larger blocks
+    (block_chars) share more words and take more memory of a task.
     """
     buckets = max(16, min(4096, docs.rdd.getNumPartitions()))
-    both = stored(coded(docs, id_col, text_col, buckets), "coded")
+    both = stored(coded(docs, id_col, text_col, buckets, block_chars), "coded")
     words = encoded_words(both.where("bucket is not null").select("bucket", "block", "codes", "words"), tokenizer)
     texts = both.where("bucket is null").select("block", "ids", "codes", F.col("words").alias("sizes"))
     pieces = vocabulary(tokenizer)

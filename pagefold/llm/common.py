@@ -48,7 +48,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(batch: pa.RecordBatch, column: int, limit: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, column: int, limit: int = 1 << 20):
     """Slices of a record batch whose texts hold about `limit` bytes each; a longer text stands alone."""
     lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     begin = held = 0

@@ -23,6 +23,8 @@ WINDOW = 10
 SHARD = 1 << 20
 #: Windows that one pass sends to the tasks (about 100 bytes each); more of them take more passes.
 PASS_WINDOWS = 200_000
+#: Bytes of the texts that are cut to words at once.
+PIECE = 2 << 20
 #: Rows located at once.
 LOCATE = 1 << 20
 
@@ -180,7 +182,7 @@ def one_pass(rows: DataFrame, phrases: Phrases) -> DataFrame:
     def run(batches):
         powers = Powers()
         for batch in batches:
-            for b in pieces(batch, 1):
+            for b in pieces(batch, 1, PIECE):
                 n_words, spans, items = search(b.column(1), phrases, powers)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(items, pa.list_(pa.string()))], ["id", "h", "n_words", "spans", "items"])
 
@@ -199,7 +201,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length
         def run(batches, phrases=phrases):
             powers = Powers()
             for batch in batches:
-                for b in pieces(batch, at):
+                for b in pieces(batch, at, PIECE):
                     n_words, spans, _ = search(b.column(at).cast(pa.string()), phrases, powers)
                     texts = b.column(at).to_pylist()
                     stay = [True] * len(texts)

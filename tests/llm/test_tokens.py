@@ -50,11 +50,10 @@ def test_word_bpe_equals_the_library_and_decodes(docs):
 
 
 def test_word_bpe_in_small_blocks(docs, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK_CHARS", 2000)
     monkeypatch.setattr(bpe, "ROW_WORDS", 50)
     rows, frame = docs
     t = library(WORD_FILE)
-    got = sorted(((r.doc_id, list(r.ids)) for r in bpe.encode(frame, WORD_FILE, want="ids").collect()), key=repr)
+    got = sorted(((r.doc_id, list(r.ids)) for r in bpe.encode(frame, WORD_FILE, want="ids", block_chars=2000).collect()), key=repr)
     assert got == sorted(((k, t.encode(x or "", add_special_tokens=False).ids) for k, x in rows), key=repr)
 
 
