@@ -18,6 +18,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,14 +49,30 @@ class Codes(dict):
         return code
 
 
+ONE_BYTE = 192
+
+
 def packed(numbers: np.ndarray) -> bytes:
-    """32-bit numbers, small ones mostly, byte by byte of their places: zlib finds more in that order."""
-    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    """Numbers under 2**22, small ones mostly, as bytes: one each, the two lower ones of large numbers apart."""
+    n = numbers.astype(np.int64)
+    wide = n >= ONE_BYTE
+    if len(n) and n.max() - ONE_BYTE >= (256 - ONE_BYTE) << 16:
+        return b"w" + zstandard.compress(n.astype("<u4").tobytes(), 9)
+    rest = n[wide] - ONE_BYTE
+    first = np.where(wide, ONE_BYTE + ((n - ONE_BYTE) >> 16), n).astype(np.uint8)
+    return b"n" + zstandard.compress(len(n).to_bytes(8, "little") + first.tobytes() + (rest & 255).astype(np.uint8).tobytes() + (rest >> 8 & 255).astype(np.uint8).tobytes(), 9)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    raw = zstandard.decompress(data[1:])
+    if data[:1] == b"w":
+        return np.frombuffer(raw, "<u4")
+    n = int.from_bytes(raw[:8], "little")
+    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.uint32)
+    wide = np.flatnonzero(out >= ONE_BYTE)
+    low, high = (np.frombuffer(raw, np.uint8, len(wide), 8 + n + i * len(wide)).astype(np.uint32) for i in (0, 1))
+    out[wide] = ONE_BYTE + ((out[wide] - ONE_BYTE) << 16) + low + (high << 8)
+    return out
 
 
 class Block:
@@ -88,7 +105,7 @@ class Block:
             for words in dealt.values():
                 words.sort()
             codes = [packed(np.array([c for _, c in words])) for words in dealt.values()]
-            lists = [zlib.compress("\n".join([w for w, _ in words]).encode(), 1) for words in dealt.values()]
+            lists = [zstandard.compress("\n".join([w for w, _ in words]).encode(), 9) for words in dealt.values()]
             yield batch([block] * k, list(dealt), pa.nulls(k, pa.list_(kind)), codes, lists, kind)
 
 
@@ -127,7 +144,7 @@ def encoded_words(words: DataFrame, tokenizer: str) -> DataFrame:
         whole = Tokenizer.from_file(tokenizer)
         whole.no_truncation()
         whole.no_padding()
-        lists = [zlib.decompress(w).decode().split("\n") for w in frame["words"]]
+        lists = [zstandard.decompress(w).decode().split("\n") for w in frame["words"]]
         distinct = list(dict.fromkeys(w for words in lists for w in words))
         ids: dict[str, bytes] = {}
         for at in range(0, len(distinct), 4096):
@@ -137,7 +154,7 @@ def encoded_words(words: DataFrame, tokenizer: str) -> DataFrame:
         out = []
         for block, codes, words in zip(frame["block"], frame["codes"], lists, strict=True):
             got = [ids[w] for w in words]
-            out.append((block, codes, packed(np.array([len(g) for g in got])), zlib.compress(b"".join(got), 1)))
+            out.append((block, codes, packed(np.array([len(g) for g in got])), zstandard.compress(b"".join(got), 9)))
         return pd.DataFrame(out, columns=["block", "codes", "lengths", "ids"])
 
     return words.groupBy("bucket").applyInPandas(run, "block bigint, codes binary, lengths binary, ids binary")
@@ -185,7 +202,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType
 
     def run(texts, words):
-        lists = [(unpacked(c), unpacked(n), zlib.decompress(i)) for c, n, i in zip(words["codes"], words["lengths"], words["ids"], strict=True)]
+        lists = [(unpacked(c), unpacked(n), zstandard.decompress(i)) for c, n, i in zip(words["codes"], words["lengths"], words["ids"], strict=True)]
         total = sum(len(c) for c, _, _ in lists)
         # By word code: where its ids begin and how many they are; its ids in decimals; its decoded pieces.
         flat = np.frombuffer(b"".join(i for _, _, i in lists), np.uint16)

@@ -33,6 +33,7 @@ BODY_HINTS = frozenset("article post entry story articlebody".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s/=]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in RAW}
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*")
 
@@ -159,8 +160,8 @@ def classify(tree, x) -> int:
 
 
 def hints(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role name furniture, or an article's body."""
-    furniture = body = False
+    """Whether class, id or role name furniture, or the element is hidden; whether they name an article's body."""
+    furniture, body = bool(HIDDEN.search(attributes)), False
     for m in ATTRIBUTE.finditer(attributes):
         for name in (m[2] or m[3] or m[4] or "").split():
             parts = [p.lower() for p in NAME_PARTS.findall(name)]

@@ -246,7 +246,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one row of each group of linked texts: the smallest id's, one of them where rows repeat it."""
     found = classes(docs, id_col, text_col, n, percent)
     first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("first_id")).distinct()
-    kept = docs.join(first, F.col(id_col) == F.col("first_id"), "left_semi")
+    kept = docs.join(first, docs[id_col] == first["first_id"], "left_semi")
     return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
 
 

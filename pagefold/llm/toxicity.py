@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import table, text_or_empty
+from pagefold.llm.common import stored, table, text_or_empty
 from pagefold.llm.fsa import Composed, Transducer
 
 #: At most so many labelled rows are read for the fit, those of the smallest crc32 (documented bound).
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: in
     marked = marked.groupBy(F.col(id_col).alias("fit_id")).agg(F.max("toxic").alias("y"))
     marked = marked.orderBy(crc("fit_id"), "fit_id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("fit_id"), text_or_empty().alias("text")).join(F.broadcast(marked), "fit_id")
-    rows = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y"))
+    rows = stored(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y")), "fit")
 
     def terms(batches):
         for b in batches:
