@@ -117,14 +117,15 @@ def shared_chunks(rows: DataFrame) -> DataFrame:
     """(plan_id, plan_key, holds, drops, lends): what holders of media leave out or lend; and rows that hold nothing.
 
     Of equal media the smallest id holds the bytes; of equal chunks the first place among the holders owns them.
+    Both sides of every join grow with the corpus, so they are merged and never broadcast, whatever their size.
     """
     holder = rows.groupBy(F.col("key").alias("held_key")).agg(F.min("id").alias("holder"), F.count("*").alias("copies"))
-    first = rows.select("id", "key", "digests").join(holder, F.col("key") == F.col("held_key"))
+    first = rows.select("id", "key", "digests").join(holder.hint("merge"), F.col("key") == F.col("held_key"))
     holds = F.col("id").eqNullSafe(F.col("holder"))
     idle = first.where(~holds).select(F.col("id").alias("plan_id"), F.col("key").alias("plan_key")).distinct()
     chunks = first.where(holds).dropDuplicates(["key"]).select("id", "key", F.posexplode("digests").alias("ord", "digest"))
     owner = chunks.groupBy(F.col("digest").alias("owned")).agg(F.min(F.struct("key", "ord")).alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = chunks.join(owner, F.col("digest") == F.col("owned"))
+    met = chunks.join(owner.hint("merge"), F.col("digest") == F.col("owned"))
     owns = (F.col("owner.key") == F.col("key")) & (F.col("owner.ord") == F.col("ord"))
     plan = met.groupBy(F.col("id").alias("plan_id"), F.col("key").alias("plan_key")).agg(
         F.collect_list(F.when(~owns, F.col("ord"))).alias("drops"), F.collect_list(F.when(owns, F.col("ord"))).alias("lends")
@@ -170,7 +171,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
     none = F.array().cast("array<int>")
     alone = compress(False).select("key", "recipe", none.alias("drops"), none.alias("lends"), "pack")
-    joined = compress(True).join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("key") == F.col("plan_key")), "left").where(F.coalesce("holds", F.lit(True)))
+    joined = compress(True).join(plan.hint("merge"), F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("key") == F.col("plan_key")), "left").where(F.coalesce("holds", F.lit(True)))
     joined = joined.select("key", "recipe", F.coalesce("drops", none).alias("drops"), F.coalesce("lends", none).alias("lends"), "pack")
 
     def reduce(batches):
@@ -260,14 +261,14 @@ def read(media: DataFrame, each=described, fields=FIELDS, schema: str = SCHEMA)
     parts = media.where("size(drops) > 0").select(columns)
     chunks = media.where("size(lends) > 0").select("recipe", "drops", "lends", "pack").mapInArrow(lent, "lent_digest binary, bytes binary")
     wanted = parts.select(F.col("key").alias("wanted_key"), F.explode("drops").alias("ord"), F.col("recipe")).select("wanted_key", "ord", F.expr("recipe[ord].digest").alias("digest"))
-    fetched = wanted.join(chunks, F.col("digest") == F.col("lent_digest")).groupBy("wanted_key").agg(F.collect_list(F.struct("ord", "bytes")).alias("fetched"))
-    return whole.unionByName(parts.join(fetched, F.col("key") == F.col("wanted_key")).select(*columns, "fetched").mapInArrow(together, schema))
+    fetched = wanted.join(chunks.hint("merge"), F.col("digest") == F.col("lent_digest")).groupBy("wanted_key").agg(F.collect_list(F.struct("ord", "bytes")).alias("fetched"))
+    return whole.unionByName(parts.join(fetched.hint("merge"), F.col("key") == F.col("wanted_key")).select(*columns, "fetched").mapInArrow(together, schema))
 
 
 def op8_media_chunks(spark, sf_dir: str) -> DataFrame:
     rows, media = store(table(spark, sf_dir, "documents"))
     found = read(media).dropDuplicates(["key"]).withColumnRenamed("key", "media_key")
-    out = rows.join(found, F.col("key") == F.col("media_key"))
+    out = rows.join(found.hint("merge"), F.col("key") == F.col("media_key"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", *list(FIELDS)[1:])
 
 
