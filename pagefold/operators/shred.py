@@ -21,12 +21,14 @@ def refuse(text: str):
     raise ValueError(f"{text} is no JSON number")
 
 
-DECODER = json.JSONDecoder(object_pairs_hook=lambda pairs: ("object", pairs), parse_int=Spelled, parse_float=Spelled, parse_constant=refuse)
+def decoder() -> json.JSONDecoder:
+    """Made on each task: a decoder cannot be shipped."""
+    return json.JSONDecoder(object_pairs_hook=lambda pairs: ("object", pairs), parse_int=Spelled, parse_float=Spelled, parse_constant=refuse)
 
 
-def scalars(text: str):
+def scalars(text: str, reader: json.JSONDecoder):
     """(path, pattern, top, kind, raw) of every scalar and empty container, in document order; names may repeat."""
-    root = DECODER.decode(text)
+    root = reader.decode(text)
     stack = [("", "", "", root)]
     while stack:
         path, pattern, top, v = stack.pop()
@@ -57,11 +59,12 @@ def shred(docs: DataFrame, doc: str, text: str, under: tuple[str, ...] = ()) ->
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
 
     def run(batches):
+        reader = decoder()
         for b in batches:
             out = []
             for i, t in enumerate(b.column(1).to_pylist()):
                 try:
-                    found = [(i, n, *s) for n, s in enumerate(scalars(t or "")) if not under or s[2] in under]
+                    found = [(i, n, *s) for n, s in enumerate(scalars(t or "", reader)) if not under or s[2] in under]
                 except (ValueError, RecursionError):
                     found = [(i, 0, "", "", "", MALFORMED, None)]
                 out += found
