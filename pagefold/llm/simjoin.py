@@ -242,7 +242,7 @@ def searched(placed: DataFrame, tokens: DataFrame, percent: int, asked: bool) ->
     return members.mapInArrow(run, "a bigint, b bigint")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group of linked texts: the smallest id's, one of them where rows repeat it."""
     found = classes(docs, id_col, text_col, n, percent)
     first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("first_id")).distinct()
@@ -251,7 +251,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 QUERIES = {"op3_jaccard_join": op3_jaccard_join}

@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline
@@ -26,3 +27,20 @@ def test_stages_take_effect(spark):
     out = corpus_pipeline.run(spark, SF)
     rows = out.collect()
     assert {r.doc_id for r in rows} == ids[4] and all(len(r.ids) == r.n_tokens for r in rows)
+
+
+def test_near_duplicates_are_linked_by_five_words_and_four_fifths(spark):
+    rng = random.Random(3)
+    texts = []
+    for length, edits in ((140, 3), (200, 4), (120, 3), (150, 4), (300, 6)):
+        words = [f"v{rng.randrange(10**9)}" for _ in range(length)]
+        changed = list(words)
+        for k in range(edits):
+            changed[(k + 1) * length // (edits + 1)] = f"edit{length}x{k}"
+        texts += [" ".join(words), " ".join(changed)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(sets), 2)]
+    assert sum(0.80 <= a < 0.85 for a in alike) == 3 and sum(a < 0.80 for a in alike) == 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
+    assert kept == {j for j in range(len(sets)) if not any(10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) for i in range(j))}
