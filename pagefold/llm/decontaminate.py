@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import pieces, table, text_or_empty
+from pagefold.llm.common import pieces, stored, table, text_or_empty
 from pagefold.llm.fmindex import FMIndex
 from pagefold.llm.wordhash import ALNUM, Powers, words
 
@@ -50,19 +50,22 @@ class Phrases:
         self.shortest = int(self.lengths.min()) if arrays else WINDOW
 
 
-def item_words(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str, np.ndarray]]]:
-    """Word hashes of all items, in passes of PASS_WINDOWS windows.  The items stream through the driver one by one."""
-    powers, passes, held = Powers(), [[]], 0
+def item_words(benchmark: DataFrame, id_col: str, text_col: str):
+    """(items' word hashes, whether they are the last) of each pass of PASS_WINDOWS windows.
+
+    The items stream through the driver one by one, and a pass is made when the one before it is done with.
+    """
+    powers, now, held = Powers(), [], 0
     for r in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), text_or_empty(text_col).alias("text")).toLocalIterator():
         hashes = words(pa.array([r["text"]]), ALNUM, powers)[3]
         if len(hashes):
             n = max(1, len(hashes) - WINDOW + 1)
             if held and held + n > PASS_WINDOWS:
-                passes.append([])
-                held = 0
-            passes[-1].append((r["id"], hashes))
+                yield now, False
+                now, held = [], 0
+            now.append((r["id"], hashes))
             held += n
-    return passes
+    yield now, True
 
 
 def shards(kept: np.ndarray, limit: int):
@@ -151,23 +154,33 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     A window is WINDOW consecutive item words; an item of fewer, but not none, is one window.  Null texts have no
     words; null item ids are taken as ''; items with equal texts are all named.  An empty benchmark finds nothing.
     Spans are merged; `first` and `last` count words, `start` and `end` are UTF-8 byte offsets.  Rows that repeat give
-    rows that repeat while the windows fit one pass; in more passes, rows of one id are told apart by their text.
-    Other columns are not read.
+    rows that repeat.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    passes = [Phrases(p) for p in item_words(benchmark, item_col, item_text_col)]
-    found = [one_pass(rows, p) for p in passes]
-    if len(found) == 1:
-        out = found[0].drop("h")
+    passes = item_words(benchmark, item_col, item_text_col)
+    items, last = next(passes)
+    if last:
+        out = one_pass(rows, Phrases(items))
     else:
-        every = found[0]
-        for f in found[1:]:
-            every = every.unionByName(f)
-        out = every.groupBy("id", "h").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.array_sort(F.flatten(F.collect_list("items")))).alias("items")).drop("h")
-        out = out.withColumn("spans", merged("spans"))
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
+        found = all_passes(rows.select(F.col("row").alias("id"), "text"), items, passes).withColumnRenamed("id", "found_row")
+        out = rows.select("id", "row").join(found, F.col("row") == F.col("found_row")).drop("row", "found_row")
     return out.withColumnRenamed("id", id_col)
 
 
+def all_passes(rows: DataFrame, items: list, passes) -> DataFrame:
+    """(id, n_words, spans, items) of every row by all passes, each on the whole text; the ids are distinct.
+
+    `items` is the first pass and `passes` gives the others.  Each is searched and its finds are stored before the
+    next one is made, so the driver holds one; the first keeps all rows, the others those with a find.
+    """
+    every = stored(one_pass(rows, Phrases(items)), "pass")
+    for items, _ in passes:
+        every = every.unionByName(stored(one_pass(rows, Phrases(items)).where("size(spans) > 0"), "pass"))
+    out = every.groupBy("id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.array_sort(F.flatten(F.collect_list("items")))).alias("items"))
+    return out.withColumn("spans", merged("spans"))
+
+
 def merged(spans: str):
     """Overlapping spans of several passes joined, in order."""
     step = """aggregate(array_sort({0}), cast(array() as array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>), (acc, s) ->
@@ -184,39 +197,62 @@ def one_pass(rows: DataFrame, phrases: Phrases) -> DataFrame:
         for batch in batches:
             for b in pieces(batch, 1, PIECE):
                 n_words, spans, items = search(b.column(1), phrases, powers)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(items, pa.list_(pa.string()))], ["id", "h", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {FOUND}")
 
-    return rows.withColumn("h", F.xxhash64("text")).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h bigint, {FOUND}")
+
+def cut(batch: pa.RecordBatch, at: int, n_words, spans) -> pa.RecordBatch:
+    """The batch with each row's spans cut out of its text, without the rows that lose all of their words."""
+    texts = batch.column(at).to_pylist()
+    stay = [True] * len(texts)
+    for i, found in enumerate(spans):
+        if found:
+            raw, end, parts = texts[i].encode(), 0, []
+            for s in found:
+                parts.append(raw[end : s["start"]])
+                end = s["end"]
+            texts[i] = b"".join([*parts, raw[end:]]).decode()
+            stay[i] = sum(s["last"] - s["first"] for s in found) < n_words[i]
+    field = batch.schema.field(at)
+    return batch.set_column(at, field, pa.array(texts, field.type)).filter(pa.array(stay, pa.bool_()))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with the found spans cut out of their texts; rows that had words and lose all of them go.
 
-    Clean rows stay as they are.  length_col gets the new length of changed texts.
+    Spans are found in the whole text by all passes and cut out once.  Clean rows stay as they are.  length_col gets
+    the new length of changed texts.
     """
     names, schema = docs.columns, docs.schema
     at = names.index(text_col)
-    for phrases in (Phrases(p) for p in item_words(benchmark, "item_id", "text")):
+    passes = item_words(benchmark, "item_id", "text")
+    items, last = next(passes)
+    if last:
+        phrases = Phrases(items)
 
-        def run(batches, phrases=phrases):
+        def run(batches):
             powers = Powers()
             for batch in batches:
                 for b in pieces(batch, at, PIECE):
                     n_words, spans, _ = search(b.column(at).cast(pa.string()), phrases, powers)
-                    texts = b.column(at).to_pylist()
-                    stay = [True] * len(texts)
-                    for i, found in enumerate(spans):
-                        if found:
-                            raw, end, parts = texts[i].encode(), 0, []
-                            for s in found:
-                                parts.append(raw[end : s["start"]])
-                                end = s["end"]
-                            texts[i] = b"".join([*parts, raw[end:]]).decode()
-                            stay[i] = sum(s["last"] - s["first"] for s in found) < n_words[i]
-                    b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
-                    yield b.filter(pa.array(stay, pa.bool_()))
+                    yield cut(b, at, n_words, spans)
 
         docs = docs.mapInArrow(run, schema)
+    else:
+        rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
+        found = all_passes(rows.select(F.col("__row").alias("id"), text_or_empty(text_col).alias("text")), items, passes)
+        found = found.where("size(spans) > 0").select(F.col("id").alias("__found"), "n_words", "spans")
+        found = found.select("__found", F.struct("n_words", "spans").alias("__spans"))
+        rows = rows.join(found, F.col("__row") == F.col("__found"), "left").drop("__row", "__found")
+
+        def run_found(batches):
+            for batch in batches:
+                for b in pieces(batch, at, PIECE):
+                    every = [f or {"n_words": 0, "spans": []} for f in b.column(len(names)).to_pylist()]
+                    yield cut(b.select(names), at, [f["n_words"] for f in every], [f["spans"] for f in every])
+
+        docs = rows.mapInArrow(run_found, schema)
     if length_col in names:
         docs = docs.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(schema[length_col].dataType))
     return docs

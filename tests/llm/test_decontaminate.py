@@ -95,3 +95,29 @@ def test_remove_cuts_spans_and_keeps_clean_rows(spark):
     got = {r.doc_id: r for r in decontaminate.remove(d, b).collect()}
     assert sorted(got) == [1, 3, 4, 5] and got[1].text == "Keep é this. ; and that." and got[1].n_chars == len(got[1].text)
     assert decontaminate.find(d, b.limit(0)).where("size(items) > 0").count() == 0 and decontaminate.find(d.limit(0), b).collect() == []
+
+
+def test_several_passes_give_what_one_pass_gives(spark, monkeypatch):
+    w = [f"w{i}" for i in range(1, 31)]
+    a, b = " ".join(w[:20]), " ".join(w[10:])
+    c = " ".join(["p0", "p1", "p2", "p3", "p4", "q0", "q1", "q2", "q3", "q4"])  # stands in no text until a's passage is cut
+    items = spark.createDataFrame([(1, a), (2, b), (3, c)], "item_id long, text string")
+    joined = f"p0 p1 p2 p3 p4 {a} q0 q1 q2 q3 q4"
+    data = [(1, " ".join(w[:25]), 1, 0), (2, " ".join([*w[:25], "end"]), 1, 0), (3, joined, 1, 0), (4, "clean", 1, 0), (4, "clean", 1, 0), (5, None, 1, 0), (6, f"x {b}", 1, 0), (6, f"x {b}", 1, 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, n_chars long, spans int")
+    got = []
+    for windows in (200_000, 11):
+        monkeypatch.setattr(decontaminate, "PASS_WINDOWS", windows)
+        cut = sorted((tuple(r) for r in decontaminate.remove(docs, items).collect()), key=repr)
+        found = sorted((repr(r) for r in decontaminate.find(docs, items).collect()))
+        got.append((cut, found))
+    assert got[0] == got[1] and len(got[0][1]) == len(data)
+    assert [(r[0], r[1]) for r in got[0][0]] == [(2, " end"), (3, "p0 p1 p2 p3 p4  q0 q1 q2 q3 q4"), (4, "clean"), (4, "clean"), (5, None), (6, "x "), (6, "x ")]
+
+
+def test_passes_are_made_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PASS_WINDOWS", 7)
+    items = spark.createDataFrame([(i, f"a{i} b c d e f g h i j k l m n") for i in range(6)], "item_id long, text string")
+    passes = decontaminate.item_words(items, "item_id", "text")
+    first, last = next(passes)
+    assert len(first) == 1 and not last and [(len(p), end) for p, end in passes] == [(1, False)] * 4 + [(1, True)]
