@@ -18,7 +18,8 @@ from pagefold.llm.common import pieces, table
 
 # Element classes of HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-RAW = frozenset("script style noscript template iframe object svg math select button textarea title head audio video canvas".split())
+RAW = frozenset("script style noscript template iframe object svg math select button textarea title audio video canvas".split())
+NESTED = frozenset("object svg math template".split())
 MAIN = frozenset("article main".split())
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,12 +30,15 @@ HINTS = frozenset(
     "footer header masthead topbar toolbar cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login search share sharing social "
     "related recommended comment comments disqus respond reply complementary contentinfo pagination pager".split()
 )
+# Words that turn a hint behind them, or before them, into a state of the page ("has-sidebar", "ad-free").
+STATES, STATES_BEHIND = frozenset("has have no non not with without".split()), frozenset("free less".split())
 BODY_HINTS = frozenset("article post entry story articlebody".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s/=]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
-RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in RAW}
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in ("script", "style")}
+RAW_TAG = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in RAW}
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_behind", "links_behind", "in_main", "page_has_main", "in_furniture", "heading")
@@ -159,23 +163,43 @@ def classify(tree, x) -> int:
     return tree
 
 
-def hints(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role name furniture, or the element is hidden; whether they name an article's body."""
-    furniture, body = bool(HIDDEN.search(attributes)), False
+def hints(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether the element is hidden; whether class, id or role name furniture; whether they name an article's body."""
+    hidden, furniture, body = bool(HIDDEN.search(attributes)), False, False
     for m in ATTRIBUTE.finditer(attributes):
         for name in (m[2] or m[3] or m[4] or "").split():
             parts = [p.lower() for p in NAME_PARTS.findall(name)]
-            furniture |= not HINTS.isdisjoint(parts)
+            for i, p in enumerate(parts):
+                if p in STATES:
+                    break
+                furniture |= p in HINTS and STATES_BEHIND.isdisjoint(parts[i + 1 : i + 2])
             body |= not BODY_HINTS.isdisjoint(parts) and m[1].lower() == "class"
-    return furniture, body and not furniture
+    return hidden, furniture, body and not furniture and not hidden
+
+
+def raw_ends(page: str, tag: str) -> dict[int, int]:
+    """Where each closed element of a RAW tag begins and ends; a tag that opens again before it closes was left open."""
+    out, opened = {}, []
+    for m in RAW_TAG[tag].finditer(page):
+        if m[1]:
+            if opened:
+                out[opened.pop()] = m.end()
+        elif not m[0].endswith("/>"):
+            if tag not in NESTED:
+                opened.clear()
+            opened.append(m.start())
+    return out
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, in main, in furniture, heading) of every block that has text, in page order."""
     out, held, linked = [], [], []
-    open_: list[tuple[str, bool, bool]] = []  # tag, main, furniture
-    main = furniture = link = 0
+    open_: list[tuple[str, bool, bool, bool, int]] = []  # tag, main, furniture, hinted furniture, hinted outside
+    main = furniture = hinted = link = 0  # hinted: furniture by class, id or role alone, inside the nearest MAIN element
+    wrapped = 0  # hinted furniture around the MAIN elements that are open
     heading = False
+    ends: dict[str, dict[int, int]] = {}
+    around: list[int] = []  # for each block: hinted furniture around the MAIN elements that it is in
 
     def flush():
         if held:
@@ -183,7 +207,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if text:
                 words = text.count(" ") + 1
                 in_links = len(html.unescape(" ".join(linked)).split()) if linked else 0
-                out.append((text, words, min(words, in_links), main > 0, furniture > 0, heading))
+                out.append((text, words, min(words, in_links), main > 0, furniture > 0 or hinted > 0, heading))
+                around.append(wrapped)
             held.clear()
             linked.clear()
 
@@ -206,8 +231,19 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             break  # a tag that the page's end cuts off
         if tag in RAW and not closing:
             if not attributes.endswith("/"):
-                close = RAW_END[tag].search(page, at)
-                at = close.end() if close else end
+                if tag in RAW_END:
+                    close = RAW_END[tag].search(page, at)
+                    at = close.end() if close else end
+                else:
+                    if tag not in ends:
+                        ends[tag] = raw_ends(page, tag)
+                    if (close_at := ends[tag].get(m.start())) is not None:
+                        at = max(at, close_at)
+                    elif tag in ("title", "textarea"):  # left open: its text goes up to the next tag
+                        next_tag = page.find("<", at)
+                        at = next_tag if next_tag >= 0 else end
+                    else:  # left open: an ordinary container
+                        flush()
             if tag not in ("svg", "math", "select", "button"):
                 continue
             held.append(" ")
@@ -224,26 +260,34 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             elif closing:
                 heading = False
             if closing:
-                if any(t == tag for t, _, _ in open_):
+                if any(o[0] == tag for o in open_):
                     while open_:
-                        t, was_main, was_furniture = open_.pop()
+                        t, was_main, was_furniture, was_hinted, outside = open_.pop()
                         main -= was_main
                         furniture -= was_furniture
+                        hinted += outside - was_hinted
+                        wrapped -= outside
                         if t == tag:
                             break
-            elif tag not in VOID and tag not in ("p", "li", "td", "th", "tr", "dt", "dd", "html", "body", *HEADINGS):
-                named, body = hints(attributes) if attributes else (False, False)
-                is_furniture = tag in FURNITURE or (tag == "header" and not main) or named and tag not in MAIN
-                is_main = not is_furniture and (tag in MAIN or body)
-                open_.append((tag, is_main, is_furniture))
+            elif tag not in VOID and tag not in ("p", "li", "td", "th", "tr", "dt", "dd", "html", "head", "body", *HEADINGS):
+                hidden, named, body = hints(attributes) if attributes else (False, False, False)
+                is_furniture = tag in FURNITURE or (tag == "header" and not main) or hidden and tag not in MAIN
+                is_hinted = not is_furniture and named and tag not in MAIN
+                is_main = not is_furniture and not is_hinted and (tag in MAIN or body)
+                outside = hinted if tag in MAIN else 0
+                open_.append((tag, is_main, is_furniture, is_hinted, outside))
                 main += is_main
                 furniture += is_furniture
-            elif attributes and tag in ("p", "li") and hints(attributes)[0]:
+                hinted += is_hinted - outside
+                wrapped += outside
+            elif attributes and tag in ("p", "li") and any(hints(attributes)[:2]):
                 # Furniture of one block: it ends where the next block begins.
                 close = re.compile(rf"</?(?:{tag}|div|section|article|main|footer|aside|nav|ul|ol)\b", re.IGNORECASE).search(page, at)
                 at = close.start() if close else end
     flush()
-    return out
+    # The hints around the outermost MAIN elements are a wrapper's; MAIN elements inside more hints are teasers or comments.
+    least = min((n for b, n in zip(out, around, strict=True) if b[3] and not b[4]), default=0)
+    return [(*b[:4], b[4] or n > least, b[5]) for b, n in zip(out, around, strict=True)]
 
 
 def main_text(page: str | None, tree) -> str:

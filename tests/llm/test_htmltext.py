@@ -52,3 +52,34 @@ def test_edges(spark):
     rows = htmltext.extract(pages).collect()
     assert sorted(len(r.text) for r in rows) == [0, 1, 1, 6 * 50_000 - 2] and rows[0].asDict().keys() == {"page_id", "url", "text"}
     assert htmltext.extract(pages.limit(0)).collect() == []
+
+
+def test_elements_left_open_do_not_take_the_page():
+    article = f"<article><h1>Title</h1><p>{LONG}</p></article>"
+    want = f"Title\n\n{LONG}"
+    assert text(f"<html><head><title>T</title><meta charset=x><body>{article}") == want
+    assert text(f"<html><head><title>T</title><style>p{{}}</style>{article}") == want
+    assert text(f"<head><title>T<body>{article}") == want
+    for tag in ("button", "object", "audio", "video", "canvas", "svg", "select", "math", "iframe", "noscript", "template"):
+        assert text(f"<body><{tag} class=ad>{article}") == want, tag
+        assert text(f"<body><{tag}>{article}<footer><{tag}>closed</{tag}></footer>") == want, tag
+        assert text(f"<body><article><h1>Title</h1><{tag}><p>gone</p></{tag}><p>{LONG}</p></article>") == want, tag
+    assert text(f"<body><article><h1>Title</h1><svg><svg>in</svg>out</svg><p>{LONG}</p></article>") == want
+    assert text("<button>" * 100_000 + article) == want and text("<svg>" * 100_000 + article) == want
+
+
+def test_wrappers_named_after_furniture_keep_their_article():
+    article = f"<article><h1>Title</h1><p>{LONG}</p></article>"
+    want = f"Title\n\n{LONG}"
+    for name in ("has-sidebar", "no-sidebar", "with-header", "ad-free", "hasSidebar", "layout sidebar-right"):
+        assert text(f"<body><div class='{name}'>{article}</div>") == want, name
+        assert text(f"<body><div class='{name}'><main><div><h1>Title</h1><p>{LONG}</p></div></main></div>") == want, name
+    plain = f"<div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div></div><footer>x</footer>"
+    assert LONG in text(f"<body><div>{plain}") and text(f"<body><div class='no-sidebar'>{plain}") == text(f"<body><div>{plain}")
+    # Furniture inside the article, teasers beside it, and what is hidden or in a nav stay out.
+    assert text(f"<body><div class='has-sidebar'><article><h1>Title</h1><p>{LONG}</p><div class='related'>{LONG}</div></article></div>") == want
+    assert text(f"<body>{article}<div class='related'><article><p>{LONG} teaser</p></article></div>") == want
+    assert text(f"<body><div class='related'><article><p>{LONG} teaser</p></article></div>{article}") == want
+    assert text(f"<body><div class='has-sidebar sidebar-right'>{article}<div class='related'><article><p>{LONG} teaser</p></article></div></div>") == want
+    assert text(f"<body><article><h1>Title</h1><p>{LONG}</p><div id='comments'><article><p>{LONG} I agree.</p></article></div></article>") == want
+    assert text(f"<body><div hidden>{article}</div>") == text(f"<body><nav>{article}</nav>") == ""
