@@ -67,3 +67,13 @@ def test_detect_and_redact_edges(spark):
     assert out[1, "mail me: [EMAIL]!"].n_chars == len("mail me: [EMAIL]!") and out[None, None].text is None
     assert out[3, "é [IP] é [IP] é [IP]"].spans == ""
     assert pii.detect(docs.limit(0)).collect() == [] and pii.redact(docs.limit(0)).collect() == []
+
+
+def test_a_long_secret_is_one_span():
+    for value in ("k" * 64, "eyJhbGciOi" * 40 + ".x-y_z=", "é" * 300):
+        text = f"use token={value} here"
+        (found,) = pii.spans(text, 0.5)
+        assert (found["kind"], found["start"], found["end"]) == ("secret", 4, len(text) - 5)
+        assert pii.cut(text, [found]) == "use [SECRET] here"
+    pii.spans("token=" * 100_000, 0.5)
+    pii.spans("token=a " * 100_000, 0.5)
