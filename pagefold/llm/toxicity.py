@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexical map turns the words of a clause into classes: insult, threat, target, negation, report, other.  Four
-transducers are composed over the classes: negation rewrites an insult or threat near before it, reported speech
-rewrites those behind a reporting word, targets strengthen the insults and threats that they meet, and the scorer
-writes the clause's matches.  The score of a text rests on its matched clauses, not on isolated words: what the
-composed machine writes for them is weighed by a logistic model.
+Five transducers are composed.  The insult and the threat transducer read the words of a clause; their arcs have the
+lexicon's weights.  Words that they pass, targets, negations, reporting words and others, become their class.  Then
+negation rewrites an insult or threat near before it and weakens its weight, reported speech does so with those behind
+a reporting word, and targets raise the weight of the insults and threats that they meet.  The score of a text rests
+on its matched clauses, not on isolated words: the composed weight of each and what the machine writes for it are
+weighed by a logistic model.
 
 The insult lexicon (words and word beginnings) and the model are fitted on labelled rows; threats, targets,
 negations and reporting words are closed classes, given below.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagefold.llm.common import stored, table, text_or_empty
-from pagefold.llm.fsa import Composed, Transducer
+from pagefold.llm.fsa import Composed, Lexical, Transducer
 
 #: At most so many labelled rows are read for the fit, those of the smallest crc32 (documented bound).
 MAX_FIT_ROWS = 12_000
@@ -35,25 +36,30 @@ THREATS = ["kill", "murder", "strangle", "shoot", "stab", "beat", "destroy", "um
 TARGETS = ["you", "your", "yours", "u", "him", "her", "them", "these", "those", "people", "du", "dich", "dein", "euch", "ihr", "tu", "toi", "vous", "votre", "tú", "usted", "ustedes"]
 NEGATIONS = ["not", "never", "no", "isn", "aren", "wasn", "don", "doesn", "won", "nicht", "kein", "keine", "nie", "pas", "jamais", "ne", "nunca", "jamás"]
 REPORTS = ["said", "says", "wrote", "quoted", "claimed", "called", "reported", "alleged", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió"]
-CLASS_OF = {w: c for c, words in (("T", THREATS), ("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
+CLASS_OF = {w: c for c, words in (("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_END = re.compile(r"[.!?;:\n\"“”«»]")
 STEMS = (4, 5, 6)
 #: How far a negation reaches, in words of the clause.
 REACH = 3
+#: Weight of a seed insult and of a threat; what negation and report leave of a weight; what a target before an insult
+#: or threat makes of its weight, and what one behind it adds.
+SEED, WEAKER, AIMED, AIMED_BEHIND = 2.0, 0.25, 1.5, 1.0
 
 # I insult, T threat, Y target, N negation, R report, o other; i and t: weakened; J and U: aimed at a target.
 NEGATE = Transducer(
-    arcs={(s, "N"): (1, "N", 0.0) for s in range(REACH + 1)} | {(s, c): (s, c.lower(), 0.0) for s in range(1, REACH + 1) for c in "IT"},
+    arcs={(s, "N"): (1, "N", 1.0, 0.0) for s in range(REACH + 1)} | {(s, c): (s, c.lower(), WEAKER, 0.0) for s in range(1, REACH + 1) for c in "IT"},
     rest={s: (s + 1) % (REACH + 1) for s in range(1, REACH + 1)},
 )
-REPORTED = Transducer(arcs={(s, "R"): (1, "R", 0.0) for s in (0, 1)} | {(1, c): (1, c.lower(), 0.0) for c in "IT"})
+REPORTED = Transducer(arcs={(s, "R"): (1, "R", 1.0, 0.0) for s in (0, 1)} | {(1, c): (1, c.lower(), WEAKER, 0.0) for c in "IT"})
 #: State 1: a target was met; state 2: an insult was met that waits for one.
 AIM = Transducer(
-    arcs={(s, "Y"): (1, "A" if s == 2 else "Y", 0.0) for s in (0, 1, 2)} | {(0, "I"): (2, "I", 0.0), (2, "I"): (2, "I", 0.0), (1, "I"): (1, "J", 0.0), (1, "T"): (1, "U", 0.0), (0, "T"): (2, "T", 0.0)}
+    arcs={(0, "Y"): (1, "Y", 1.0, 0.0), (1, "Y"): (1, "Y", 1.0, 0.0), (2, "Y"): (1, "A", 1.0, AIMED_BEHIND)}
+    | {(0, "I"): (2, "I", 1.0, 0.0), (2, "I"): (2, "I", 1.0, 0.0), (1, "I"): (1, "J", AIMED, 0.0), (1, "T"): (1, "U", AIMED, 0.0), (0, "T"): (2, "T", 1.0, 0.0)}
 )
 GRAMMAR = (NEGATE, REPORTED, AIM)
+THREAT = Lexical("T", dict.fromkeys(THREATS, SEED))
 FEATURES = ("I", "i", "J", "A", "T", "t", "U")
 
 
@@ -75,32 +81,29 @@ class Scorer:
     """Features and score of one text; made on each task from the fitted lexicon and weights."""
 
     def __init__(self, lexicon: dict[str, float], weights: list[float] | None = None):
-        self.words = {k: v for k, v in lexicon.items() if not k.endswith("*")}
-        self.stems = {k[:-1]: v for k, v in lexicon.items() if k.endswith("*")}
-        self.lengths = tuple(n for n in STEMS if any(len(s) == n for s in self.stems))
+        self.insult = Lexical("I", lexicon)
         self.machine = Composed(*GRAMMAR)
         self.weights = weights
 
-    def insult(self, word: str) -> float:
-        found = self.words.get(word, 0.0)
-        for n in self.lengths:
-            if len(word) > n:
-                found = max(found, self.stems.get(word[:n], 0.0))
-        return found
+    def lexical(self, word: str) -> tuple[str, float]:
+        """Class and weight that the insult and the threat transducer write for a word."""
+        symbol, weight = self.insult.step(word)
+        if not weight:
+            symbol, weight = THREAT.step(word)
+        return (symbol, weight) if weight else (CLASS_OF.get(word, "o"), 0.0)
 
     def clauses(self, text: str) -> list[tuple[int, int, list[str], float]]:
-        """(start, end, grammar output, insult weight) of every clause that holds an insult or a threat."""
+        """(start, end, grammar output, composed weight) of every clause that holds an insult or a threat."""
         low = text.lower()
-        triggers = {w for w in set(WORD.findall(low)) if CLASS_OF.get(w) == "T" or self.insult(w)}
+        triggers = {w for w in set(WORD.findall(low)) if self.lexical(w)[1]}
         if not triggers:
             return []
         out, at = [], 0
         for end in [*(m.start() for m in CLAUSE_END.finditer(low)), len(low)]:
             words = WORD.findall(low, at, end)
             if not triggers.isdisjoint(words):
-                weights = [self.insult(w) for w in words]
-                symbols = ["I" if v else CLASS_OF.get(w, "o") for w, v in zip(words, weights, strict=True)]
-                out.append((at, end, self.machine.run(symbols)[0], sum(weights)))
+                symbols, weights = zip(*map(self.lexical, words), strict=True)
+                out.append((at, end, *self.machine.run(symbols, weights)))
             at = end + 1
         return out
 
@@ -125,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: in
 
     At most max_rows of them are read, those of the smallest crc32, ties by id.  Ids, text copies and null labels:
     a null id or label is left out; labels that repeat for an id count once, the highest; equal texts count once.
-    Without any labelled row the seed lexicon and a fixed weight stand.
+    Without any labelled row the seed lexicon and a fixed weight of the composed total stand.
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & (crc(id_col) % 5 != 0))
     marked = marked.groupBy(F.col(id_col).alias("fit_id")).agg(F.max("toxic").alias("y"))
@@ -145,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: in
     n = rows.groupBy().agg(F.coalesce(F.sum("y"), F.lit(0)).alias("y"), F.count("*").alias("n")).first()
     counts = rows.mapInArrow(terms, "k string, n1 bigint, n0 bigint").groupBy("k").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     kept = counts.where((F.col("n1") >= 3) & (F.col("n1") >= 2 * F.col("n0"))).orderBy(F.desc(F.col("n1") - 2 * F.col("n0")), "k").limit(MAX_LEXICON).collect()
-    lexicon = {w: 2.0 for w in SEED_INSULTS}
+    lexicon = dict.fromkeys(SEED_INSULTS, SEED)
     for r in kept:
         if (low := lower_bound(r["n1"], r["n1"] + r["n0"])) >= 0.45:
             lexicon[r["k"]] = round(math.log((r["n1"] + 0.5) / (r["n0"] + 0.5) * max(1, n["n"] - n["y"]) / max(1, n["y"])) * low, 4)
@@ -157,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: in
 
     sample = rows.mapInArrow(features, "x array<double>, y int").collect()
     if len({bool(r["y"]) for r in sample}) < 2:
-        return lexicon, [-4.0, 4.0, *[0.0] * (3 + len(FEATURES))]
+        return lexicon, [-4.0, 0.0, 4.0, *[0.0] * (2 + len(FEATURES))]
     return lexicon, logistic(np.array([r["x"] for r in sample]), np.array([float(bool(r["y"])) for r in sample]))
 
 

@@ -50,3 +50,24 @@ def test_fit_without_labels(spark):
     docs = spark.createDataFrame([(1, "you idiot"), (2, "fine")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()}[2] == 0
+
+
+def weight(text):
+    return [w for *_, w in Scorer({"idiot": 2.0, "loser": 1.0, "lowei*": 1.0}).clauses(text)]
+
+
+def test_composed_weights_of_clauses():
+    assert weight("He is an idiot") == [2.0] and weight("Das ist loweick") == [1.0] and weight("We kill time") == [2.0]
+    assert weight("He was never an idiot") == weight("She said he is an idiot") == [0.5]
+    assert weight("You are an idiot") == [3.0] == weight("an idiot like you") and weight("You, I kill") == [3.0]
+    assert weight("not you idiot") == [0.5] and weight("You are no loser. You loser") == [0.25, 1.5]
+
+
+def test_negated_and_reported_insults_score_less_than_direct_ones(spark):
+    docs = spark.createDataFrame([(1, "he was an idiot"), (2, "he was never an idiot"), (3, "she called him an idiot"), (4, "you are an idiot")], "doc_id long, text string")
+    lexicon, weights = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    found = {r.doc_id: toxicity.Scorer(lexicon, weights).features(r.text) for r in docs.collect()}
+    total, best = 1, 2
+    for at in (total, best):
+        assert found[2][at] == found[3][at] < found[1][at] < found[4][at]
+    assert {r.doc_id: r.predicted for r in toxicity.score(docs, (lexicon, weights)).collect()} == {1: 1, 2: 0, 3: 0, 4: 1}
