@@ -134,7 +134,7 @@ def coded(docs: DataFrame, id_col: str, text_col: str, buckets: int, block_chars
     return rows.mapInArrow(run, f"block bigint, bucket int, ids array<{rows.schema['id'].dataType.simpleString()}>, codes binary, words binary")
 
 
-def encoded_words(words: DataFrame, tokenizer: str) -> DataFrame:
+def encoded_words(words: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
     """(block, codes, lengths, ids) of (bucket, block, codes, words): each distinct word of a bucket is encoded once."""
 
     def run(frame):
@@ -157,7 +157,7 @@ def encoded_words(words: DataFrame, tokenizer: str) -> DataFrame:
             out.append((block, codes, packed(np.array([len(g) for g in got])), zstandard.compress(b"".join(got), 9)))
         return pd.DataFrame(out, columns=["block", "codes", "lengths", "ids"])
 
-    return words.groupBy("bucket").applyInPandas(run, "block bigint, codes binary, lengths binary, ids binary")
+    return words.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(run, "block bigint, codes binary, lengths binary, ids binary")
 
 
 def vocabulary(tokenizer: str) -> list[str]:
@@ -194,10 +194,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     An empty table gives an empty one.  Other columns are not read.  Larger blocks
     (block_chars) share more words and take more memory of a task.
     """
-    buckets = max(16, min(4096, docs.rdd.getNumPartitions()))
+    # As many buckets of words, and as many tasks that join blocks, as the input has partitions: both grow with it, so
+    # that what a task holds does not.
+    buckets = max(16, docs.rdd.getNumPartitions())
     both = stored(coded(docs, id_col, text_col, buckets, block_chars), "coded")
-    words = encoded_words(both.where("bucket is not null").select("bucket", "block", "codes", "words"), tokenizer)
-    texts = both.where("bucket is null").select("block", "ids", "codes", F.col("words").alias("sizes"))
+    words = encoded_words(both.where("bucket is not null").select("bucket", "block", "codes", "words"), tokenizer, buckets).repartition(buckets, "block")
+    texts = both.where("bucket is null").select("block", "ids", "codes", F.col("words").alias("sizes")).repartition(buckets, "block")
     pieces = vocabulary(tokenizer)
     kind = docs.schema[id_col].dataType
 

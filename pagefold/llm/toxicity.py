@@ -27,8 +27,8 @@ from pagefold.llm.fsa import Composed, Lexical, Transducer
 
 #: At most so many labelled rows are read for the fit, those of the smallest crc32 (documented bound).
 MAX_FIT_ROWS = 12_000
-#: At most so many lexicon entries are kept, best first.
-MAX_LEXICON = 4_000
+#: Words whose class and weight a task keeps; beyond that it starts anew.
+CACHE_WORDS = 500_000
 
 # Closed word classes in English, German, French and Spanish.
 SEED_INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile", "vermin"]
@@ -39,7 +39,8 @@ REPORTS = ["said", "says", "wrote", "quoted", "claimed", "called", "reported", "
 CLASS_OF = {w: c for c, words in (("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
 
 WORD = re.compile(r"[^\W\d_]+")
-CLAUSE_END = re.compile(r"[.!?;:\n\"“”«»]")
+#: A colon or a quotation mark ends no clause: what is reported stands behind it.
+CLAUSE_END = re.compile(r"[.!?;\n]")
 STEMS = (4, 5, 6)
 #: How far a negation reaches, in words of the clause.
 REACH = 3
@@ -84,6 +85,8 @@ class Scorer:
         self.insult = Lexical("I", lexicon)
         self.machine = Composed(*GRAMMAR)
         self.weights = weights
+        self.known: dict[str, tuple[str, float]] = {}
+        self.weighty: set[str] = set()
 
     def lexical(self, word: str) -> tuple[str, float]:
         """Class and weight that the insult and the threat transducer write for a word."""
@@ -92,30 +95,49 @@ class Scorer:
             symbol, weight = THREAT.step(word)
         return (symbol, weight) if weight else (CLASS_OF.get(word, "o"), 0.0)
 
+    def learn(self, words: set[str]) -> None:
+        """Class and weight of words that are new to this task."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+            self.weighty.clear()
+        for w in words:
+            if w not in self.known:
+                self.known[w] = told = self.lexical(w)
+                if told[1]:
+                    self.weighty.add(w)
+
     def clauses(self, text: str) -> list[tuple[int, int, list[str], float]]:
         """(start, end, grammar output, composed weight) of every clause that holds an insult or a threat."""
         low = text.lower()
-        triggers = {w for w in set(WORD.findall(low)) if self.lexical(w)[1]}
+        words = set(WORD.findall(low))
+        self.learn(words)
+        triggers = words & self.weighty
         if not triggers:
             return []
         out, at = [], 0
         for end in [*(m.start() for m in CLAUSE_END.finditer(low)), len(low)]:
             words = WORD.findall(low, at, end)
             if not triggers.isdisjoint(words):
-                symbols, weights = zip(*map(self.lexical, words), strict=True)
+                symbols, weights = zip(*map(self.known.__getitem__, words), strict=True)
                 out.append((at, end, *self.machine.run(symbols, weights)))
             at = end + 1
         return out
 
     def features(self, text: str) -> list[float]:
-        found = self.clauses(text)
+        return self.measures(self.clauses(text))
+
+    def measures(self, found: list) -> list[float]:
         marks = Counter(c for _, _, outs, _ in found for c in outs)
         total = sum(w for *_, w in found)
         best = max((w for *_, w in found), default=0.0)
         return [float(bool(found)), math.log1p(total), best, math.log1p(len(found)), *(math.log1p(marks[c]) for c in FEATURES)]
 
     def score(self, text: str) -> float:
-        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text), strict=True))
+        return self.judged(self.clauses(text))
+
+    def judged(self, found: list) -> float:
+        """The score of a text's matched clauses."""
+        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.measures(found), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -126,15 +148,16 @@ def crc(column: str):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: int = MAX_FIT_ROWS):
     """(lexicon, weights) from the labelled rows whose crc32(id as text) mod 5 is not 0.
 
-    At most max_rows of them are read, those of the smallest crc32, ties by id.  Ids, text copies and null labels:
-    a null id or label is left out; labels that repeat for an id count once, the highest; equal texts count once.
-    Without any labelled row the seed lexicon and a fixed weight of the composed total stand.
+    At most max_rows of them are read, those of the smallest crc32, ties by id, and at most max_rows distinct texts of
+    these, should ids repeat.  Ids, text copies and null labels: a null id or label is left out; labels that repeat for
+    an id count once, the highest; equal texts count once.  The lexicon and the weights depend on these rows alone, so
+    both are bounded by them.  Without any labelled row the seed lexicon and a fixed weight of the composed total stand.
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & (crc(id_col) % 5 != 0))
     marked = marked.groupBy(F.col(id_col).alias("fit_id")).agg(F.max("toxic").alias("y"))
     marked = marked.orderBy(crc("fit_id"), "fit_id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("fit_id"), text_or_empty().alias("text")).join(F.broadcast(marked), "fit_id")
-    rows = stored(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y")), "fit")
+    rows = stored(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y")).orderBy("h").limit(max_rows), "fit")
 
     def terms(batches):
         for b in batches:
@@ -147,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: in
 
     n = rows.groupBy().agg(F.coalesce(F.sum("y"), F.lit(0)).alias("y"), F.count("*").alias("n")).first()
     counts = rows.mapInArrow(terms, "k string, n1 bigint, n0 bigint").groupBy("k").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    kept = counts.where((F.col("n1") >= 3) & (F.col("n1") >= 2 * F.col("n0"))).orderBy(F.desc(F.col("n1") - 2 * F.col("n0")), "k").limit(MAX_LEXICON).collect()
+    kept = counts.where((F.col("n1") >= 3) & (F.col("n1") >= 2 * F.col("n0"))).orderBy("k").collect()
     lexicon = dict.fromkeys(SEED_INSULTS, SEED)
     for r in kept:
         if (low := lower_bound(r["n1"], r["n1"] + r["n0"])) >= 0.45:
@@ -192,9 +215,9 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         scorer = Scorer(lexicon, weights)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            scores = [scorer.score(t) for t in texts]
-            found = [[{"start": a, "end": e, "marks": "".join(c for c in outs if c in FEATURES)} for a, e, outs, _ in scorer.clauses(t)] if s >= 0.5 else [] for t, s in zip(texts, scores, strict=True)]
+            matched = [scorer.clauses(t) for t in b.column(1).to_pylist()]
+            scores = [scorer.judged(m) for m in matched]
+            found = [[{"start": a, "end": e, "marks": "".join(c for c in outs if c in FEATURES)} for a, e, outs, _ in m] if s >= 0.5 else [] for m, s in zip(matched, scores, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(found, kind)], ["id", "score", "predicted", "clauses"])
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int, clauses array<struct<start:bigint,end:bigint,marks:string>>"

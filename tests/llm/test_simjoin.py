@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from pagefold.llm import simjoin
+from pagefold.llm import common, simjoin
 from pagefold.llm.components import components
 from pagefold.llm.tsearch import block_links, divide_skip
 
@@ -72,6 +72,29 @@ def test_keep_first(spark):
     assert sorted((r.doc_id, r.tag) for r in simjoin.keep_first(frame).collect()) == [(2, "y"), (3, "z"), (5, "n")]
 
 
+def test_keep_first_groups_rows_and_not_ids(spark):
+    kind = "doc_id long, text string, group_id string, of int"
+    rows = [
+        (1, "a b c d e f", "x", 0), (1, "q r s t u v", "y", 0), (1, "a b c d e f", "x", 0), (2, "Q r s t u v", "z", 0), (None, "a b c d e f", "n", 0),
+        (None, "only here at all", "m", 0), (7, "", "e", 0), (7, "", "e", 0), (8, None, "f", 0),
+    ]
+    got = Counter(tuple(r)[:3] for r in simjoin.keep_first(spark.createDataFrame(rows, kind)).collect())
+    assert got == Counter([(1, "a b c d e f", "x"), (1, "q r s t u v", "y"), (None, "only here at all", "m"), (7, "", "e"), (7, "", "e"), (8, None, "f")])
+
+
+def test_ids_of_any_type(spark):
+    frame = spark.createDataFrame([("b", "one two three four five"), ("a", "one two three four five"), ("9", "x")], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in simjoin.classes(frame).collect()} == {"a": "a", "b": "a", "9": "9"}
+
+
+def test_hot_nodes_tokens_and_hubs_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "hot_keys", lambda counts, key="key", n="n": common.hot_keys(counts, key, n, least=2))
+    docs = corpus(5, 60) + [(1000 + i, "the same text many times over") for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert Counter(tuple(r) for r in simjoin.classes(frame, block_tokens=400).collect()) == brute(docs)
+    assert {r.doc_id for r in simjoin.keep_first(frame, n=4, percent=85).collect()} == {c for _, _, c in brute(docs)}
+
+
 def test_divide_skip_counts_like_a_scan():
     rng = random.Random(4)
     for _ in range(300):
