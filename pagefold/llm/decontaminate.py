@@ -4,24 +4,28 @@ Each task cuts its documents into shards of bounded size, indexes a shard's word
 through wavelet-tree ranks; occurrences are located by sampled suffix positions and merged to spans.  A shard's text
 is reduced before it is indexed, without loss: words that no phrase has, and runs of words too short to hold any
 window, become one break symbol, since no window can reach across them.
+
+The benchmark's windows are a table, dealt to groups of bounded size and prepared by tasks; a task that searches
+documents reads group after group from the shared folder and holds one.  Spans and items of all groups are joined on
+the whole text, so results do not depend on the number of groups.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import pieces, stored, table, text_or_empty
+from pagefold.llm.common import file_system, pieces, scratch_path, stored, table, text_or_empty
 from pagefold.llm.fmindex import FMIndex
 from pagefold.llm.wordhash import ALNUM, Powers, words
 
 WINDOW = 10
 #: Symbols of one shard's index; a longer document is a shard of its own.
 SHARD = 1 << 20
-#: Windows that one pass sends to the tasks (about 100 bytes each); more of them take more passes.
+#: Pairs of window and item in one group, about: what a task holds of the benchmark at once.
 PASS_WINDOWS = 200_000
 #: Bytes of the texts that are cut to words at once.
 PIECE = 2 << 20
@@ -29,43 +33,93 @@ PIECE = 2 << 20
 LOCATE = 1 << 20
 
 
+def windows_of(hashes: np.ndarray) -> list[bytes]:
+    """The windows of an item's words, as bytes; one shorter window for an item of fewer words."""
+    width, raw = min(WINDOW, len(hashes)), hashes.tobytes()
+    return [raw[8 * i : 8 * (i + width)] for i in range(len(hashes) - width + 1)] if width else []
+
+
 class Phrases:
     """Distinct windows as rows of a matrix of word ids, and the items that have them."""
 
     def __init__(self, items: list[tuple[str, np.ndarray]]):
+        self.prepare((w, item) for item, hashes in items for w in windows_of(hashes))
+
+    def prepare(self, pairs):
         found: dict[bytes, set[str]] = {}
-        for item, hashes in items:
-            width = min(WINDOW, len(hashes))
-            for i in range(len(hashes) - width + 1):
-                found.setdefault(hashes[i : i + width].tobytes(), set()).add(item)
+        for window, item in pairs:
+            found.setdefault(window, set()).add(item)
         keys = sorted(found)
-        self.items = [sorted(found[k]) for k in keys]
         arrays = [np.frombuffer(k, np.uint64) for k in keys]
-        self.lengths = np.array([len(a) for a in arrays], np.int64)
-        self.vocabulary = np.unique(np.concatenate(arrays)) if arrays else np.zeros(0, np.uint64)
-        self.symbols = len(self.vocabulary) + 2  # 0 ends the text, 1 breaks it
-        self.matrix = np.zeros((len(arrays), WINDOW), np.int64)
-        for row, a in zip(self.matrix, arrays, strict=True):
-            row[: len(a)] = np.searchsorted(self.vocabulary, a) + 2
-        self.shortest = int(self.lengths.min()) if arrays else WINDOW
+        vocabulary = np.unique(np.concatenate(arrays)) if arrays else np.zeros(0, np.uint64)
+        matrix = np.zeros((len(arrays), WINDOW), np.int32)
+        for row, a in zip(matrix, arrays, strict=True):
+            row[: len(a)] = np.searchsorted(vocabulary, a) + 2
+        self.take(vocabulary, matrix, np.array([len(a) for a in arrays], np.int64), [sorted(found[k]) for k in keys])
+
+    def take(self, vocabulary, matrix, lengths, items):
+        self.vocabulary, self.matrix, self.lengths, self.items = vocabulary, matrix.astype(np.int64), lengths, items
+        self.symbols = len(vocabulary) + 2  # 0 ends the text, 1 breaks it
+        self.shortest = int(lengths.min()) if len(lengths) else WINDOW
+
+    def row(self) -> tuple:
+        return self.vocabulary.tobytes(), self.matrix.astype(np.int32).tobytes(), self.lengths.tobytes(), self.items
+
+    @classmethod
+    def of_row(cls, vocabulary: bytes, matrix: bytes, lengths: bytes, items: list[list[str]]) -> Phrases:
+        out = cls([])
+        out.take(np.frombuffer(vocabulary, np.uint64), np.frombuffer(matrix, np.int32).reshape(-1, WINDOW), np.frombuffer(lengths, np.int64), items)
+        return out
 
 
-def item_words(benchmark: DataFrame, id_col: str, text_col: str):
-    """(items' word hashes, whether they are the last) of each pass of PASS_WINDOWS windows.
+class Groups:
+    """The groups of a benchmark's windows, read from the shared folder one at a time; the last one read is kept."""
 
-    The items stream through the driver one by one, and a pass is made when the one before it is done with.
+    def __init__(self, folder: str, n: int):
+        self.folder, self.n, self.held = folder, n, (None, None)
+
+    def __iter__(self):
+        import pyarrow.parquet as pq
+
+        for i in range(self.n):
+            if self.held[0] != i:
+                fs, at = file_system(f"{self.folder}/group={i}")
+                self.held = i, [Phrases.of_row(*r.values()) for r in pq.read_table(at, filesystem=fs, partitioning=None).to_pylist()]
+            yield from self.held[1]
+
+
+def grouped_windows(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[str, int]:
+    """(folder, number of groups) of the benchmark's windows, written to the shared folder.
+
+    A pair of a window and an item is in one group by its hash, so that a window that many items have is split too.
     """
-    powers, now, held = Powers(), [], 0
-    for r in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), text_or_empty(text_col).alias("text")).toLocalIterator():
-        hashes = words(pa.array([r["text"]]), ALNUM, powers)[3]
-        if len(hashes):
-            n = max(1, len(hashes) - WINDOW + 1)
-            if held and held + n > PASS_WINDOWS:
-                yield now, False
-                now, held = [], 0
-            now.append((r["id"], hashes))
-            held += n
-    yield now, True
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), text_or_empty(text_col).alias("text"))
+
+    def run(batches):
+        powers = Powers()
+        for batch in batches:
+            for b in pieces(batch, 1, PIECE):
+                first, _, _, hashes = words(b.column(1), ALNUM, powers)
+                for i, (begin, end) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    found = windows_of(hashes[begin:end])
+                    for at in range(0, len(found), 1 << 16):
+                        own = found[at : at + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(own), pa.string()), pa.array(own, pa.binary())], ["item", "window"])
+
+    pairs = stored(rows.mapInArrow(run, "item string, window binary").distinct(), "windows")
+    n = -(-pairs.count() // PASS_WINDOWS)
+    folder = scratch_path(benchmark.sparkSession, "window-groups")
+
+    def prepared(frame):
+        phrases = Phrases([])
+        phrases.prepare(zip(frame["window"], frame["item"], strict=True))
+        return pd.DataFrame([(int(frame["group"].iloc[0]), *phrases.row())], columns=["group", "vocabulary", "matrix", "lengths", "items"])
+
+    if n:
+        dealt = pairs.withColumn("group", F.pmod(F.xxhash64("window", "item"), F.lit(n)).cast("int"))
+        ready = dealt.groupBy("group").applyInPandas(prepared, "group int, vocabulary binary, matrix binary, lengths binary, items array<array<string>>")
+        ready.write.partitionBy("group").option("compression", "zstd").parquet(folder)
+    return folder, n
 
 
 def shards(kept: np.ndarray, limit: int):
@@ -120,27 +174,28 @@ FOUND = "n_words bigint, spans array<struct<first:bigint,last:bigint,start:bigin
 SPAN = pa.struct([(f, pa.int64()) for f in ("first", "last", "start", "end")])
 
 
-def search(texts: pa.Array, phrases: Phrases, powers: Powers):
+def search(texts: pa.Array, groups, powers: Powers):
     """For each text: number of words, merged spans (words, last exclusive, and UTF-8 bytes), items."""
     first, starts, ends, hashes = words(texts, ALNUM, powers)
-    at, which = occurrences(phrases, first, hashes)
     n = len(texts)
-    spans, items = [[] for _ in range(n)], [[] for _ in range(n)]
-    if len(at):
-        depth = np.zeros(len(hashes) + 1, np.int64)
+    spans, items = [[] for _ in range(n)], [set() for _ in range(n)]
+    depth = np.zeros(len(hashes) + 1, np.int64)
+    doc = np.repeat(np.arange(n), np.diff(first))
+    for phrases in groups:
+        at, which = occurrences(phrases, first, hashes)
         np.add.at(depth, at, 1)
         np.add.at(depth, at + phrases.lengths[which], -1)
-        covered = np.cumsum(depth)[:-1] > 0
-        doc = np.repeat(np.arange(n), np.diff(first))
+        for d, w in np.unique(np.c_[doc[at], which], axis=0).tolist():
+            items[d].update(phrases.items[w])
+    covered = np.cumsum(depth)[:-1] > 0
+    if covered.any():
         opens = np.flatnonzero(covered & np.r_[True, ~covered[:-1] | (doc[1:] != doc[:-1])])
         closes = np.flatnonzero(covered & np.r_[~covered[1:] | (doc[1:] != doc[:-1]), True]) + 1
         zero = byte_starts(texts)
         for o, c in zip(opens.tolist(), closes.tolist(), strict=True):
             d = int(doc[o])
             spans[d].append({"first": o - int(first[d]), "last": c - int(first[d]), "start": int(starts[o] - zero[d]), "end": int(ends[c - 1] - zero[d])})
-        for d, w in np.unique(np.c_[doc[at], which], axis=0).tolist():
-            items[d] += phrases.items[w]
-    return np.diff(first), spans, [sorted(set(i)) for i in items]
+    return np.diff(first), spans, [sorted(i) for i in items]
 
 
 def byte_starts(texts: pa.Array) -> np.ndarray:
@@ -157,49 +212,16 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     rows that repeat.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    passes = item_words(benchmark, item_col, item_text_col)
-    items, last = next(passes)
-    if last:
-        out = one_pass(rows, Phrases(items))
-    else:
-        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
-        found = all_passes(rows.select(F.col("row").alias("id"), "text"), items, passes).withColumnRenamed("id", "found_row")
-        out = rows.select("id", "row").join(found, F.col("row") == F.col("found_row")).drop("row", "found_row")
-    return out.withColumnRenamed("id", id_col)
-
-
-def all_passes(rows: DataFrame, items: list, passes) -> DataFrame:
-    """(id, n_words, spans, items) of every row by all passes, each on the whole text; the ids are distinct.
-
-    `items` is the first pass and `passes` gives the others.  Each is searched and its finds are stored before the
-    next one is made, so the driver holds one; the first keeps all rows, the others those with a find.
-    """
-    every = stored(one_pass(rows, Phrases(items)), "pass")
-    for items, _ in passes:
-        every = every.unionByName(stored(one_pass(rows, Phrases(items)).where("size(spans) > 0"), "pass"))
-    out = every.groupBy("id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.array_sort(F.flatten(F.collect_list("items")))).alias("items"))
-    return out.withColumn("spans", merged("spans"))
+    folder, n = grouped_windows(benchmark, item_col, item_text_col)
 
-
-def merged(spans: str):
-    """Overlapping spans of several passes joined, in order."""
-    step = """aggregate(array_sort({0}), cast(array() as array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>), (acc, s) ->
-        if(size(acc) > 0 and element_at(acc, -1).last >= s.first,
-           concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'last', greatest(element_at(acc, -1).last, s.last),
-               'start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, s.end)))),
-           concat(acc, array(s))))"""
-    return F.expr(step.format(spans))
-
-
-def one_pass(rows: DataFrame, phrases: Phrases) -> DataFrame:
     def run(batches):
-        powers = Powers()
+        powers, groups = Powers(), Groups(folder, n)
         for batch in batches:
             for b in pieces(batch, 1, PIECE):
-                n_words, spans, items = search(b.column(1), phrases, powers)
+                n_words, spans, items = search(b.column(1), groups, powers)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {FOUND}")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {FOUND}").withColumnRenamed("id", id_col)
 
 
 def cut(batch: pa.RecordBatch, at: int, n_words, spans) -> pa.RecordBatch:
@@ -221,38 +243,21 @@ def cut(batch: pa.RecordBatch, at: int, n_words, spans) -> pa.RecordBatch:
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with the found spans cut out of their texts; rows that had words and lose all of them go.
 
-    Spans are found in the whole text by all passes and cut out once.  Clean rows stay as they are.  length_col gets
-    the new length of changed texts.
+    Spans are found in the whole text, for all of the benchmark, and cut out once.  Clean rows stay as they are, and
+    rows that repeat stay each.  length_col gets the new length of changed texts.
     """
     names, schema = docs.columns, docs.schema
     at = names.index(text_col)
-    passes = item_words(benchmark, "item_id", "text")
-    items, last = next(passes)
-    if last:
-        phrases = Phrases(items)
-
-        def run(batches):
-            powers = Powers()
-            for batch in batches:
-                for b in pieces(batch, at, PIECE):
-                    n_words, spans, _ = search(b.column(at).cast(pa.string()), phrases, powers)
-                    yield cut(b, at, n_words, spans)
-
-        docs = docs.mapInArrow(run, schema)
-    else:
-        rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-        found = all_passes(rows.select(F.col("__row").alias("id"), text_or_empty(text_col).alias("text")), items, passes)
-        found = found.where("size(spans) > 0").select(F.col("id").alias("__found"), "n_words", "spans")
-        found = found.select("__found", F.struct("n_words", "spans").alias("__spans"))
-        rows = rows.join(found, F.col("__row") == F.col("__found"), "left").drop("__row", "__found")
-
-        def run_found(batches):
-            for batch in batches:
-                for b in pieces(batch, at, PIECE):
-                    every = [f or {"n_words": 0, "spans": []} for f in b.column(len(names)).to_pylist()]
-                    yield cut(b.select(names), at, [f["n_words"] for f in every], [f["spans"] for f in every])
-
-        docs = rows.mapInArrow(run_found, schema)
+    folder, n = grouped_windows(benchmark, "item_id", "text")
+
+    def run(batches):
+        powers, groups = Powers(), Groups(folder, n)
+        for batch in batches:
+            for b in pieces(batch, at, PIECE):
+                n_words, spans, _ = search(b.column(at).cast(pa.string()), groups, powers)
+                yield cut(b, at, n_words, spans)
+
+    docs = docs.mapInArrow(run, schema)
     if length_col in names:
         docs = docs.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(schema[length_col].dataType))
     return docs

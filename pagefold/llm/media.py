@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import pieces, stored, table, text_or_empty
+from pagefold.llm.common import hot_keys, pieces, salted_join, spot_of, spots, spotted, stored, table, text_or_empty
 from pagefold.llm.wordhash import BYTE_VALUE
 
 UNIT = 64
@@ -29,9 +29,6 @@ LEAST, EXPECTED, MOST = 512, 2048, 16384
 GEAR = (BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
 #: Bytes that the gear hash sees; no more than LEAST, so that what stands before a chunk never moves its end.
 ROLL = 32
-#: Bits that tell the tasks which texts share chunks (2 MB).
-SPOTS = 1 << 24
-
 
 def payload(text: str) -> bytes:
     raw = text.encode()
@@ -117,15 +114,17 @@ def shared_chunks(rows: DataFrame) -> DataFrame:
     """(plan_id, plan_key, holds, drops, lends): what holders of media leave out or lend; and rows that hold nothing.
 
     Of equal media the smallest id holds the bytes; of equal chunks the first place among the holders owns them.
-    Both sides of every join grow with the corpus, so they are merged and never broadcast, whatever their size.
+    Both sides of every join grow with the corpus, so they are merged and never broadcast, whatever their size; rows
+    of equal media meet their holder by id and medium, and those of a chunk that many media have are dealt to many tasks.
     """
-    holder = rows.groupBy(F.col("key").alias("held_key")).agg(F.min("id").alias("holder"), F.count("*").alias("copies"))
-    first = rows.select("id", "key", "digests").join(holder.hint("merge"), F.col("key") == F.col("held_key"))
-    holds = F.col("id").eqNullSafe(F.col("holder"))
-    idle = first.where(~holds).select(F.col("id").alias("plan_id"), F.col("key").alias("plan_key")).distinct()
-    chunks = first.where(holds).dropDuplicates(["key"]).select("id", "key", F.posexplode("digests").alias("ord", "digest"))
-    owner = chunks.groupBy(F.col("digest").alias("owned")).agg(F.min(F.struct("key", "ord")).alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = chunks.join(owner.hint("merge"), F.col("digest") == F.col("owned"))
+    holder = rows.groupBy(F.col("key").alias("held_key")).agg(F.min("id").alias("holder"))
+    holders = rows.join(holder.hint("merge"), (F.col("key") == F.col("held_key")) & F.col("id").eqNullSafe(F.col("holder")), "left_semi")
+    idle = rows.join(holder.hint("merge"), (F.col("key") == F.col("held_key")) & F.col("id").eqNullSafe(F.col("holder")), "left_anti")
+    idle = idle.select(F.col("id").alias("plan_id"), F.col("key").alias("plan_key")).distinct()
+    chunks = holders.dropDuplicates(["key"]).select("id", "key", F.posexplode("digests").alias("ord", "digest"))
+    owner = chunks.groupBy(F.col("digest").alias("owned")).agg(F.min(F.struct("key", "ord")).alias("owner"), F.count("*").alias("n")).where("n > 1")
+    owner = stored(owner, "media-owners")
+    met = salted_join(chunks, owner.drop("n"), "digest", "owned", "key", hot_keys(owner.select("owned", "n"), "owned", "n"))
     owns = (F.col("owner.key") == F.col("key")) & (F.col("owner.ord") == F.col("ord"))
     plan = met.groupBy(F.col("id").alias("plan_id"), F.col("key").alias("plan_key")).agg(
         F.collect_list(F.when(~owns, F.col("ord"))).alias("drops"), F.collect_list(F.when(owns, F.col("ord"))).alias("lends")
@@ -145,29 +144,21 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
     rows = stored(listed(docs), "media-rows")
     plan = stored(shared_chunks(rows), "media-plan")
-    # One bit for each hash of a planned id: texts without theirs set need no plan, and their bytes no shuffle.  However
-    # many ids are planned, the bits stay as many; a bit set by another id only sends a text to the join.
-    spot = F.pmod(F.xxhash64("plan_id"), F.lit(SPOTS))
-    spots = plan.select(spot.alias("spot")).selectExpr("cast(spot div 64 as int) word", "shiftleft(1L, cast(spot % 64 as int)) bits").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    planned = np.zeros(SPOTS // 64, np.int64)
-    for r in spots.toLocalIterator():
-        planned[r["word"]] = r["bits"]
-    planned = planned.view(np.uint64)
+    # Texts whose bit is not set need no plan, and their bytes no shuffle; a bit set by another id only sends a text to
+    # the join.
+    planned = spots(plan, "plan_id")
 
     def compress(wanted: bool):
         def run(batches):
             for batch in batches:
-                at = batch.column(2).to_numpy()
-                hit = (planned[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
-                batch = batch.filter(pa.array((hit == 1) == wanted))
+                batch = batch.filter(pa.array(spotted(planned, batch.column(2).to_numpy()) == wanted))
                 for b in pieces(batch, 1):
                     media, keys, ends, digests = prepared(b, 1)
                     recipes = [[{"digest": d, "length": e - a} for d, a, e in zip(ds, [0, *es[:-1]], es, strict=True)] for ds, es in zip(digests, ends, strict=True)]
                     packs = [zlib.compress(m, 6) for m in media]
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(recipes, RECIPE_ARROW), pa.array(packs, pa.binary())], ["id", "key", "recipe", "pack"])
 
-        spotted = docs.withColumn("spot", F.pmod(F.xxhash64("id"), F.lit(SPOTS)))
-        return spotted.mapInArrow(run, f"id bigint, key binary, recipe {RECIPE}, pack binary")
+        return docs.withColumn("spot", spot_of("id")).mapInArrow(run, f"id bigint, key binary, recipe {RECIPE}, pack binary")
 
     none = F.array().cast("array<int>")
     alone = compress(False).select("key", "recipe", none.alias("drops"), none.alias("lends"), "pack")
@@ -268,7 +259,8 @@ def read(media: DataFrame, each=described, fields=FIELDS, schema: str = SCHEMA)
 def op8_media_chunks(spark, sf_dir: str) -> DataFrame:
     rows, media = store(table(spark, sf_dir, "documents"))
     found = read(media).dropDuplicates(["key"]).withColumnRenamed("key", "media_key")
-    out = rows.join(found.hint("merge"), F.col("key") == F.col("media_key"))
+    hot = hot_keys(rows.groupBy("key").agg(F.count("*").alias("n")))
+    out = salted_join(rows, found, "key", "media_key", "id", hot)
     return out.select(F.col("id").alias("doc_id"), "n_bytes", *list(FIELDS)[1:])
 
 
