@@ -99,12 +99,13 @@ def format_pages(spark, sf_dir):
     return planning.page_runs(order_pages(spark, sf_dir))
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_linenumber AS a, l_linenumber + CAST(l_quantity AS INT) % 4 AS b, CAST(l_quantity AS INT) % 9 + 1 AS c, row_number() OVER () AS rid FROM lineitem WHERE l_linenumber <= 3),
-    e AS (SELECT rid, a, b, c, unnest(list_sort(list_distinct(list_concat(range(a, b + 1), [c])))) AS page FROM r WHERE b <= 8 AND c <= 8)
-    SELECT a || '-' || b || ', ' || c AS spec, count(DISTINCT rid) AS uses, count(DISTINCT page) AS n_pages, CAST(sum(DISTINCT page) AS BIGINT) AS page_sum FROM e GROUP BY a, b, c""")
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_linenumber AS a, l_linenumber + CAST(l_quantity AS INT) % 4 AS b, CAST(l_quantity AS INT) % 9 + 1 AS c, row_number() OVER () AS rid FROM lineitem),
+    g AS (SELECT a, b, c, count(*) AS uses FROM r WHERE b <= 8 AND c <= 8 GROUP BY ALL),
+    e AS (SELECT a, b, c, uses, unnest(list_distinct(list_concat(range(a, b + 1), [c]))) AS page FROM g)
+    SELECT a || '-' || b || ', ' || c AS spec, uses, count(*) AS n_pages, CAST(sum(page) AS BIGINT) AS page_sum FROM e GROUP BY a, b, c, uses""")
 def select_ranges(spark, sf_dir):
     """Specs are parsed, selected against a document of 8 pages and counted; specs beyond it select nothing."""
-    lines = read(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    lines = read(spark, sf_dir, "lineitem")
     last = F.col("l_linenumber") + F.col("l_quantity").cast("int") % 4
     spec = F.concat(F.col("l_linenumber"), F.lit("-"), last, F.lit(", "), F.col("l_quantity").cast("int") % 9 + 1)
     counted = lines.groupBy(spec.alias("spec")).agg(F.count("*").alias("uses"))
@@ -147,7 +148,7 @@ def pointer_renumber(spark, sf_dir):
         lines.groupBy(F.col("l_orderkey").alias("part")).agg(F.count("*").alias("items")), "part", "left"
     ).select("doc_id", "part", F.coalesce("items", F.lit(0)).alias("items"))
     bases = merge.running_base(counts, "doc_id", ["part"], F.col("items"), "base")
-    spelled = lines.select(F.col("l_orderkey").alias("part"), tx.pointer(F.concat(F.lit("/lineitem/"), "l_linenumber")).alias("p")).select("part", F.col("p.index").alias("idx"))
+    spelled = lines.select(F.col("l_orderkey").alias("part"), tx.pointer(F.concat(F.lit("/lineitem/"), "l_linenumber"), ("lineitem",)).alias("p")).select("part", F.col("p.index").alias("idx"))
     pointers = spelled.groupBy("part", "idx").agg(F.count("*").alias("n"))
     return merge.renumber(pointers, bases, ["part"], "idx", "base", "items").select("part", "idx", "n", "merged_index")
 
@@ -198,13 +199,16 @@ def span_clip(spark, sf_dir):
     return merge.clip(spans, "a", "b", F.lit(15), F.lit(45))
 
 
-@query("""WITH m AS (SELECT l_orderkey, 'returnflag' AS name, l_returnflag AS raw FROM lineitem UNION ALL SELECT l_orderkey, 'linestatus', l_linestatus FROM lineitem
-        UNION ALL SELECT l_orderkey, 'year', CAST(year(l_shipdate) AS VARCHAR) FROM lineitem)
-    SELECT l_orderkey, name, count(DISTINCT raw) = 1 AS agrees, count(DISTINCT raw) AS n_values, count(*) AS n_rows FROM m GROUP BY ALL""")
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, 'returnflag' AS name, l_returnflag AS raw FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'linestatus', l_linestatus FROM lineitem
+        UNION ALL SELECT l_orderkey, l_linenumber, 'discounted', 'yes' FROM lineitem WHERE l_discount > 0.05),
+    p AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS of_parts FROM w GROUP BY l_orderkey)
+    SELECT l_orderkey, name, count(DISTINCT raw) = 1 AND count(DISTINCT l_linenumber) = of_parts AS agrees, count(DISTINCT raw) AS n_values, count(DISTINCT l_linenumber) AS n_parts FROM w JOIN p USING (l_orderkey) GROUP BY l_orderkey, name, of_parts""")
 def member_agreement(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem")
-    names = F.array(*(F.struct(F.lit(n).alias("name"), c.cast("string").alias("raw")) for n, c in (("returnflag", F.col("l_returnflag")), ("linestatus", F.col("l_linestatus")), ("year", F.year("l_shipdate")))))
-    return merge.agreement(lines.select("l_orderkey", F.explode(names).alias("m")).select("l_orderkey", "m.*"), "l_orderkey", "name", "raw")
+    discounted = F.when(F.col("l_discount") > 0.05, F.struct(F.lit("discounted").alias("name"), F.lit("yes").alias("raw")))
+    names = F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).alias("raw")) for n, c in (("returnflag", "l_returnflag"), ("linestatus", "l_linestatus"))), discounted)
+    members = lines.select("l_orderkey", "l_linenumber", F.explode(F.array_compact(names)).alias("m")).select("l_orderkey", "l_linenumber", "m.*")
+    return merge.agreement(members, "l_orderkey", "name", "raw", "l_linenumber")
 
 
 FIRSTS = "WITH f AS (SELECT user_id, event_type, min((ts, event_id)) AS place FROM events GROUP BY ALL), m AS (SELECT a.event_type AS before, b.event_type AS after, count(*) AS owners FROM f a JOIN f b ON a.user_id = b.user_id AND a.place < b.place GROUP BY ALL)"
@@ -392,15 +396,16 @@ def blob_listing(spark, sf_dir):
 
 
 MASK = """WITH m AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'id ' || substr(md5(html), 1, 8) || '-' || substr(md5(html), 9, 4) || '-' || substr(md5(html), 13, 4) || '-' || substr(md5(html), 17, 4) || '-' || substr(md5(html), 21, 12) || ' at ' || url
-        WHEN 1 THEN '2024-01-0' || (page_id % 9 + 1) || 'T10:20:30Z' ELSE url END AS v, url FROM pages),
-    k AS (SELECT page_id, CASE WHEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z') THEN '<datetime:2006-01-02T15:04:05Z>'
+        WHEN 1 THEN '2024-01-0' || (page_id % 9 + 1) || CASE WHEN page_id % 2 = 0 THEN 'T' ELSE ' ' END || '10:20:30' || CASE page_id % 4 WHEN 0 THEN '.123' WHEN 1 THEN '.5' ELSE '' END || CASE page_id % 5 WHEN 0 THEN 'Z' WHEN 1 THEN 'z' WHEN 2 THEN '+02:00' WHEN 3 THEN '-11:30' ELSE '' END ELSE url END AS v, url FROM pages),
+    k AS (SELECT page_id, CASE WHEN page_id % 3 = 1 THEN '<datetime:2006-01-02' || CASE WHEN page_id % 2 = 0 THEN 'T' ELSE ' ' END || '15:04:05' || CASE page_id % 4 WHEN 0 THEN '.000' WHEN 1 THEN '.0' ELSE '' END || CASE page_id % 5 WHEN 0 THEN 'Z' WHEN 1 THEN 'z' WHEN 4 THEN '' ELSE '-07:00' END || '>'
         ELSE regexp_replace(replace(v, url, '<base>'), '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}', '<guid>', 'g') END AS masked FROM m)"""
 
 
 @query(MASK + " SELECT page_id, masked FROM k")
 def mask_text(spark, sf_dir):
     value = F.expr("""case page_id % 3 when 0 then 'id ' || substr(md5(html), 1, 8) || '-' || substr(md5(html), 9, 4) || '-' || substr(md5(html), 13, 4) || '-' || substr(md5(html), 17, 4) || '-' || substr(md5(html), 21, 12) || ' at ' || url
-        when 1 then '2024-01-0' || (page_id % 9 + 1) || 'T10:20:30Z' else url end""")
+        when 1 then '2024-01-0' || (page_id % 9 + 1) || if(page_id % 2 = 0, 'T', ' ') || '10:20:30' || case page_id % 4 when 0 then '.123' when 1 then '.5' else '' end
+            || case page_id % 5 when 0 then 'Z' when 1 then 'z' when 2 then '+02:00' when 3 then '-11:30' else '' end else url end""")
     return read(spark, sf_dir, "pages").select("page_id", tx.mask(value, F.col("url")).alias("masked"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-GRAMMAR = r"^[ \t]*[0-9]+[ \t]*(-[ \t]*[0-9]+[ \t]*)?(,[ \t]*[0-9]+[ \t]*(-[ \t]*[0-9]+[ \t]*)?)*$"
+GRAMMAR = r"^[ \t]*[0-9]+[ \t]*(-[ \t]*[0-9]+[ \t]*)?(,[ \t]*[0-9]+[ \t]*(-[ \t]*[0-9]+[ \t]*)?)*\z"
 
 
 def parse_pages(spec: Column) -> Column:
@@ -46,3 +46,15 @@ def halves(pages: Column) -> Column:
     """The two halves of a list, the first one longer where it is odd; null for fewer than two pages."""
     middle = F.ceil(F.size(pages) / 2).cast("int")
     return F.when(F.size(pages) >= 2, F.array(F.slice(pages, 1, middle), F.slice(pages, middle + 1, F.size(pages) - middle)))
+
+
+def ladder(size: Column, attempts: int = 3) -> Column:
+    """array<struct<size, attempts>>: the worst case of a part that never succeeds, halved to single pages; the last step re-checks."""
+    levels = F.ceil(F.log2(size)).cast("int") + 1
+    at = F.transform(F.sequence(F.lit(0), levels - 1), lambda i: F.struct(F.ceil(size / F.pow(F.lit(2.0), i)).cast("bigint").alias("size"), F.lit(attempts).alias("attempts")))
+    return F.concat(at, F.array(F.struct(F.lit(1).cast("bigint").alias("size"), F.lit(2).alias("attempts"))))
+
+
+def label(pages: Column, prefix: str, extension: str) -> Column:
+    """A part's file name: prefix-first-last.extension."""
+    return F.concat(F.lit(f"{prefix}-"), F.get(pages, F.lit(0)), F.lit("-"), F.element_at(pages, -1), F.lit(extension))

@@ -24,15 +24,21 @@ def unit_length(text: Column, unit: str) -> Column:
 
 
 def unit_slice(text: Column, offset: Column, length: Column, unit: str) -> Column:
-    """text[offset, offset + length) in code points or graphemes; null beyond the text's end."""
+    """text[offset, offset + length) in a unit; null beyond the text's end, or where it would split a character."""
     if unit == CODE_POINTS:
         return F.when(offset + length <= F.length(text), F.substring(text, offset + 1, length))
     if unit == GRAPHEMES:
         clusters = F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0))
         return F.when(offset + length <= F.size(clusters), F.array_join(F.slice(clusters, offset + 1, length), ""))
-    raise ValueError("UTF-16 slices may split a surrogate pair; slice by code points")
+    # A character above U+FFFF is two units: its place in units is looked up, so that no half of it is taken.
+    chars = F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+    chars = F.filter(chars, lambda c: c != "")
+    size = lambda c: F.when(F.octet_length(c) == 4, 2).otherwise(1)
+    ends = F.aggregate(chars, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + size(c))))
+    first, last = F.array_position(ends, offset.cast("int")), F.array_position(ends, (offset + length).cast("int"))
+    return F.when((first > 0) & (last > 0), F.array_join(F.slice(chars, first.cast("int"), (last - first).cast("int")), ""))
 
 
 def canonical_integer(text: Column, digits: int = 18) -> Column:
     """A non-negative integer in its one spelling, of so many digits at most; else null."""
-    return F.when(text.rlike(rf"^(0|[1-9][0-9]{{0,{digits - 1}}})$"), text.try_cast("bigint"))
+    return F.when(text.rlike(rf"^(0|[1-9][0-9]{{0,{digits - 1}}})\z"), text.try_cast("bigint"))

@@ -12,12 +12,14 @@ MOST_ATTEMPTS, MOST_RETRY_ONCE = 5, 2
 HEDGE_SAMPLES, HEDGE_LEAST_SAMPLES, HEDGE_FACTOR, HEDGE_MIN, HEDGE_MAX = 200, 20, 4.0, 5.0, 30.0
 
 
-def outcome(caller_done: Column, status: Column, body: Column, deadline: Column) -> Column:
+def outcome(caller_done: Column, status: Column, body: Column, deadline: Column, no_endpoint: Column | None = None) -> Column:
     """The class of an attempt, in the order of the outcome table.
 
-    body: result, failed, azure_error, html, empty, cut_short.  A null status is a transport failure.
+    body: result, failed, azure_error, html, empty, cut_short.  A null status is a transport failure.  no_endpoint:
+    whether an error's text says that no endpoint matched.
     """
-    missing = status.isin(404, 405, 501) & (body != "azure_error")
+    unmatched = F.lit(False) if no_endpoint is None else F.coalesce(no_endpoint, F.lit(False))
+    missing = (status.isin(404, 405, 501) & ((body != "azure_error") | unmatched)) | ((status == 500) & unmatched)
     cut = status.isNull() | (body == "cut_short")
     return (
         F.when(caller_done, "cancelled")
@@ -34,6 +36,12 @@ def outcome(caller_done: Column, status: Column, body: Column, deadline: Column)
     )
 
 
+def says_no_endpoint(text: Column) -> Column:
+    """Whether an error's code and messages say that the route does not exist."""
+    low = F.lower(text)
+    return low.contains("unhandledendpointexception") | low.contains("no candidates found for the request path") | low.contains("request did not match any endpoints")
+
+
 def retry_after(value: Column) -> Column:
     """Whole seconds from 0 to a day; anything else is 0."""
     seconds = F.trim(value).try_cast("bigint")
@@ -74,3 +82,43 @@ def fair_order(queue: DataFrame, owner: str, arrival: list[str]) -> DataFrame:
     """queue with `turn`: the round in which a fixed backlog's request is served; rounds go by owner's first arrival."""
     own = Window.partitionBy(owner)
     return queue.withColumn("turn", F.row_number().over(own.orderBy(*arrival)).cast("bigint")).withColumn("owner_arrival", F.min(F.struct(*arrival)).over(own))
+
+
+PART_ATTEMPTS = 3
+
+
+def part_loop(attempts: DataFrame, part: list[str], size: str, order: list[str], result: str) -> DataFrame:
+    """(part, attempts, last_outcome, next): how a part's loop ends and what follows.
+
+    It ends at the first outcome that is no retry, or at PART_ATTEMPTS.  next: done, cancelled, failed (no route),
+    recheck (a terminal answer, or a single page that keeps failing), halve, or more (attempts are left).
+    """
+    numbered = attempts.select(*part, size, F.col(result).alias("outcome"), F.row_number().over(Window.partitionBy(*part).orderBy(*order)).alias("n"))
+    stops = ~F.col("outcome").isin("retry", "retry_once") | (F.col("n") >= PART_ATTEMPTS)
+    ended = numbered.groupBy(*part).agg(F.min(F.when(stops, F.struct("n", "outcome"))).alias("stop"), F.max(F.struct("n", "outcome")).alias("last"), F.first(size).alias("size"))
+    end = F.coalesce("stop", "last")
+    follows = (
+        F.when(end["outcome"] == "success", "done").when(end["outcome"] == "cancelled", "cancelled").when(end["outcome"] == "route_missing", "failed")
+        .when(end["outcome"].isin("analysis_failed", "terminal"), "recheck").when(F.col("stop").isNull(), "more").when(F.col("size") < 2, "recheck").otherwise("halve")
+    )
+    return ended.select(*part, end["n"].cast("bigint").alias("attempts"), end["outcome"].alias("last_outcome"), follows.alias("next"))
+
+
+def counters(attempts: DataFrame, job: str, order: list[str], result: str, status: str, took_ms: str) -> DataFrame:
+    """(job, attempts, retries, took_ms, failed_status): a job's counts, and the status of its latest failed call that was answered."""
+    failed = ~F.col(result).isin("success", "cancelled") & F.col(status).isNotNull() & (F.col(status) != 0)
+    return attempts.groupBy(job).agg(
+        F.count("*").alias("attempts"), F.count_if(F.col(result).isin("retry", "retry_once")).alias("retries"), F.sum(took_ms).cast("bigint").alias("took_ms"),
+        F.max_by(F.when(failed, F.col(status)), F.when(failed, F.struct(*order))).alias("failed_status"),
+    )
+
+
+def race(calls: DataFrame, attempt: list[str], finish: str, result: str, call: str) -> DataFrame:
+    """(attempt, winner, calls): of an attempt's calls the first success wins, else the first to end; they count as one attempt."""
+    place = F.struct((F.col(result) != "success").alias("lost"), F.col(finish).alias("at"), F.col(call).alias("call"))
+    return calls.groupBy(*attempt).agg(F.min(place)["call"].alias("winner"), F.count("*").alias("calls"))
+
+
+def fallback(mode: Column, n_violations: Column) -> Column:
+    """Whether a document runs whole after all: it was never split, or its parts' results cannot be merged."""
+    return F.when(mode == "whole", "whole").when(n_violations > 0, "whole_after_merge").otherwise("merged")

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Shares that a group's rows are dealt to.
+SHARES = 64
+
+
 def differences(whole: DataFrame, split: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, whole, split, kind): scalars that only one side has, or that differ."""
     a = whole.select(*keys, F.col(value).alias("whole"), F.lit(True).alias("in_whole"))
@@ -18,9 +22,22 @@ def differences(whole: DataFrame, split: DataFrame, keys: list[str], value: str)
 def patterns(found: DataFrame, by: list[str], order: list[str], example: str, most: int = 3) -> DataFrame:
     """(by, n, examples): counts and the first few examples of each group.
 
-    The examples are the least rows by `order`, found by a bounded aggregate of ordinals, not by collecting the group.
+    The examples are the least rows by `order`.  A group may be a third of all rows: each of its shares keeps its least
+    few and its count, and only these meet in one task.
+    """
+    keyed = found.withColumn("__share", F.pmod(F.xxhash64(*order), F.lit(SHARES)))
+    least = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy(*by, "__share").orderBy(*order))).where(F.col("__nth") <= most)
+    least = least.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct(*order, F.col(example).alias("__example")))), 1, most).alias("kept"))
+    counts = found.groupBy(*by).agg(F.count("*").alias("n"))
+    text = F.array_join(F.transform("kept", lambda e: e["__example"]), "|")
+    return counts.join(least, by).select(*by, "n", text.alias("examples"))
+
+
+def corpus_report(found: DataFrame, documents: DataFrame, doc: str) -> DataFrame:
+    """(documents, failed, page_level, document_level, passes): the gate of a comparison of many documents.
+
+    documents (doc, ok) has every document and whether both analyses gave a result; found (doc, level) the differences.
     """
-    ranked = found.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    kept = F.collect_list(F.when(F.col("nth") <= most, F.struct("nth", example)))
-    text = F.array_join(F.transform(F.array_sort(kept), lambda e: e[example]), "|")
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), text.alias("examples"))
+    totals = documents.agg(F.count("*").alias("documents"), F.count_if(~F.col("ok")).alias("failed"))
+    levels = found.agg(F.count_if(F.col("level") == "page").alias("page_level"), F.count_if(F.col("level") != "page").alias("document_level"))
+    return totals.join(levels, how="cross").withColumn("passes", (F.col("page_level") == 0) & (F.col("failed") == 0))  # one row each

@@ -23,9 +23,10 @@ def orphaned(jobs: DataFrame, now: Column, before: Column, limit: int | None = N
     return out.orderBy("created_at", "id").limit(limit) if limit else out
 
 
-def abandoned(jobs: DataFrame, now: Column) -> DataFrame:
-    """Unfinished and unexpired, whatever their lease: what a fresh process takes up."""
-    return jobs.where(F.col("status").isin("notStarted", "running") & (F.col("expires_at") >= now))
+def abandoned(jobs: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
+    """Unfinished and unexpired, whatever their lease, oldest first: what a fresh process takes up."""
+    out = jobs.where(F.col("status").isin("notStarted", "running") & (F.col("expires_at") >= now))
+    return out.orderBy("created_at", "id").limit(limit) if limit else out
 
 
 def eviction_order(jobs: DataFrame, now: Column) -> DataFrame:
@@ -58,3 +59,28 @@ def inflight(events: DataFrame, lane: str, order: list[str], change: str) -> Dat
 def latest(events: DataFrame, job: str, order: list[str], state: str) -> DataFrame:
     """(job, state, events): the last state of an event log; one partial aggregate, no sort."""
     return events.groupBy(job).agg(F.max_by(state, F.struct(*order)).alias(state), F.count("*").alias("events"))
+
+
+def stale_work(folders: DataFrame, claimed: DataFrame, before: Column) -> DataFrame:
+    """Work folders (id, modified) that no worker claims and that were last used before `before`."""
+    return folders.where(F.col("modified") < before).join(claimed.select("id").distinct(), "id", "left_anti")
+
+
+def sweep(jobs: DataFrame, now: Column, before: Column) -> DataFrame:
+    """(id, action): what one pass of the sweeper does with each job, in its order: expire, recover, else keep."""
+    gone = (F.col("expires_at") < now) & (F.col("status").isin("succeeded", "failed", "notStarted") | (F.col("lease_until") < now))
+    idle = (((F.col("status") == "notStarted") & (F.col("created_at") < before)) | (F.col("status") == "running")) & (F.col("lease_until") < now) & (F.col("expires_at") >= now)
+    return jobs.select("id", F.when(gone, "expire").when(idle, "recover").otherwise("keep").alias("action"))
+
+
+def remaining(jobs: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The jobs that are left when others are deleted."""
+    return jobs.join(deleted.select("id"), "id", "left_anti")
+
+
+def envelope(status: Column, created: Column, updated: Column, result: Column, error: Column) -> Column:
+    """The answer to a poll: status, times, then the result of a success or the error of a failure, as JSON text."""
+    stamp = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    head = F.concat(F.lit('{"status":"'), status, F.lit('","createdDateTime":"'), stamp(created), F.lit('","lastUpdatedDateTime":"'), stamp(updated), F.lit('"'))
+    tail = F.when(status == "succeeded", F.concat(F.lit(',"analyzeResult":'), result)).when(status == "failed", F.concat(F.lit(',"error":'), error)).otherwise("")
+    return F.concat(head, tail, F.lit("}"))

@@ -36,11 +36,15 @@ def renumber(pointers: DataFrame, bases: DataFrame, keys: list[str], index: str,
     return joined.withColumn("merged_index", F.when(F.col(index) < F.col(count), F.col(index) + F.col(base)))
 
 
-def agreement(members: DataFrame, doc: str, name: str, raw: str) -> DataFrame:
-    """(doc, name, agrees, n_values, n_rows): whether all parts of a document spell a member alike."""
-    return members.groupBy(doc, name).agg(
-        (F.count_distinct(raw) == 1).alias("agrees"), F.count_distinct(raw).alias("n_values"), F.count("*").alias("n_rows")
-    )
+def agreement(members: DataFrame, doc: str, name: str, raw: str, part: str) -> DataFrame:
+    """(doc, name, agrees, n_values, n_parts): whether every part of a document has a member, and all spell it alike.
+
+    A null is no spelling; a part is one that has any member.
+    """
+    counted = members.groupBy(doc, name).agg(F.count_distinct(raw).alias("n_values"), F.count_distinct(part).alias("n_parts"))
+    parts = members.groupBy(doc).agg(F.count_distinct(part).alias("of_parts"))
+    agrees = (F.col("n_values") == 1) & (F.col("n_parts") == F.col("of_parts"))
+    return counted.join(parts, doc).select(doc, name, agrees.alias("agrees"), "n_values", "n_parts")
 
 
 def islands(spans: DataFrame, doc: str, start: str, end: str, gap: int = 0) -> DataFrame:

@@ -28,3 +28,15 @@ def labelled_counts(rows: DataFrame, label: str, known: list[str]) -> DataFrame:
     names = rows.sparkSession.createDataFrame([(k,) for k in known], f"{label} string")
     counts = rows.groupBy(label).agg(F.count("*").alias("n"))
     return names.join(counts, label, "left").select(label, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def exposition(samples: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
+    """(line): samples of a metric in the text format of metrics scrapes; order them by line."""
+    quoted = [F.concat(F.lit(f'{c}="'), F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')) for c in labels]
+    return samples.select(F.concat(F.lit(f"{name}{{"), F.concat_ws(",", *quoted), F.lit("} "), F.col(value).cast("string")).alias("line"))
+
+
+def capacity(jobs: DataFrame, surface: str, slots: int, depth: int) -> DataFrame:
+    """(surface, running, waiting, capacity, full): how far each surface's slots and queue are taken."""
+    counted = jobs.groupBy(surface).agg(F.count_if(F.col("status") == "running").alias("running"), F.count_if(F.col("status") == "notStarted").alias("waiting"))
+    return counted.withColumn("capacity", F.lit(slots + depth).cast("bigint")).withColumn("full", F.col("running") + F.col("waiting") >= slots + depth)

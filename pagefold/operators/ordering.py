@@ -17,7 +17,7 @@ def union(lists: list[list[str]]) -> list[str] | None:
     """All names in an order that every list keeps; None where the lists contradict each other.
 
     A name that is new goes behind its predecessor.  Where that breaks a list, the names are sorted by the lists'
-    neighbours instead, first seen first.
+    neighbours instead, the earliest in the order so built whenever there is a choice.
     """
     order: list[str] = []
     for given in lists:
@@ -28,7 +28,7 @@ def union(lists: list[list[str]]) -> list[str] | None:
             at = order.index(name) + 1
     if all(keeps(order, given) for given in lists):
         return order
-    seen = {n: i for i, n in enumerate(dict.fromkeys(n for given in lists for n in given))}
+    seen = {n: i for i, n in enumerate(order)}
     behind: dict[str, set[str]] = {n: set() for n in seen}
     for given in lists:
         for a, b in zip(given, given[1:], strict=False):

@@ -1,90 +1,194 @@
-"""Shredding of JSON documents to rows of scalars and members; what follows is relational."""
+"""Shredding of JSON documents to rows of values and members; what follows is relational."""
 
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-MALFORMED = "Malformed"
-#: Longest string that is carried; a longer one is a LongString without its text.
-MOST_STRING = 4096
-
+from pagefold.functions import jsontext, text
 
-class Spelled(str):
-    """A number as it is written."""
+MALFORMED = "Malformed"
+PLAIN_NAME = re.compile(r'[^.\[\]"\\]+')
 
 
-def refuse(text: str):
-    raise ValueError(f"{text} is no JSON number")
+def spelled_path(path: tuple, index: str = "[{}]") -> str:
+    """`.name[0]` of a path; a name that could be read as more than a name is quoted, so that no two paths look alike."""
+    return "".join(index.format(p) if isinstance(p, int) else f".{p}" if PLAIN_NAME.fullmatch(p) else f'."{p}"' for p in path)
 
 
-def decoder() -> json.JSONDecoder:
-    """Made on each task: a decoder cannot be shipped."""
-    return json.JSONDecoder(object_pairs_hook=lambda pairs: ("object", pairs), parse_int=Spelled, parse_float=Spelled, parse_constant=refuse)
+def scalars(document: str, containers: bool = False):
+    """(path, pattern, parent, top, kind, raw) of every scalar and empty container, in document order; names may repeat.
 
+    With containers, of every container too; its raw value is then its number of items.
+    """
+    out = []
+    for path, kind, begin, end, items in jsontext.values(document):
+        if items > 0 and not containers:
+            continue
+        raw = document[begin:end]
+        if kind == "String":
+            raw = jsontext.plain(raw)
+        elif kind == "LongString":
+            raw = None
+        elif items >= 0:
+            raw = str(items) if containers else raw[0] + raw[-1]
+        names = tuple(jsontext.plain(f'"{p}"') if isinstance(p, str) and "\\" in p else p for p in path)
+        top = next((p for p in names if isinstance(p, str)), "")
+        out.append((begin, spelled_path(names), spelled_path(names, "[*]"), spelled_path(names[:-1]), top, kind, raw))
+    for begin, *row in sorted(out):
+        yield row
+
+
+FIELDS = ("path", "pattern", "parent", "top", "kind", "raw")
+
+
+def shred(docs: DataFrame, doc: str, text: str, under: tuple[str, ...] = (), containers: bool = False) -> DataFrame:
+    """(doc, ord, path, pattern, parent, top, kind, raw): a row for each scalar of each document.
+
+    `under` keeps the values of some top-level members only; the others never leave the task.  A text that is no JSON
+    value, or has more behind it, is one row of kind Malformed; a null text is malformed too.  Half surrogates become
+    U+FFFD.  With containers, objects and arrays are rows too.
+    """
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
 
-def scalars(text: str, reader: json.JSONDecoder):
-    """(path, pattern, top, kind, raw) of every scalar and empty container, in document order; names may repeat."""
-    root = reader.decode(text)
-    stack = [("", "", "", root)]
-    while stack:
-        path, pattern, top, v = stack.pop()
-        if isinstance(v, tuple):
-            if v[1]:
-                stack += [(f"{path}.{k}", f"{pattern}.{k}", top or k, x) for k, x in reversed(v[1])]
-            else:
-                yield path, pattern, top, "Object", "{}"
-        elif isinstance(v, list):
-            if v:
-                stack += [(f"{path}[{i}]", f"{pattern}[]", top, x) for i, x in reversed(list(enumerate(v)))]
-            else:
-                yield path, pattern, top, "Array", "[]"
-        elif isinstance(v, Spelled):
-            yield path, pattern, top, "Number", str(v)
-        elif isinstance(v, str):
-            yield path, pattern, top, *(("String", v) if len(v) <= MOST_STRING else ("LongString", None))
-        else:
-            yield path, pattern, top, *(("Null", "null") if v is None else ("Bool", "true" if v else "false"))
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                try:
+                    out += [(i, n, *s) for n, s in enumerate(scalars(t or "", containers)) if not under or s[3] in under]
+                except ValueError:
+                    out.append((i, 0, "", "", "", "", MALFORMED, None))
+            at, n, *columns = zip(*out, strict=True) if out else [()] * 8
+            told = [pa.array(n, pa.int64()), *(pa.array(c, pa.string()) for c in columns)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *told], ["doc", "ord", *FIELDS])
+
+    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, ord bigint, {', '.join(f'{f} string' for f in FIELDS)}"
+    return rows.mapInArrow(run, schema).withColumnRenamed("doc", doc)
 
 
-def shred(docs: DataFrame, doc: str, text: str, under: tuple[str, ...] = ()) -> DataFrame:
-    """(doc, ord, path, pattern, top, kind, raw): a row for each scalar of each document.
+def members(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, ord, name, escaped, kind, items, raw): the top-level members of each document, as they are spelled.
 
-    `under` keeps the scalars of some top-level members only; the others never leave the task.  A text that is no JSON
-    value, or has more behind it, is one row of kind Malformed; a null text is malformed too.
+    items is -1 for what is no array or object; a text that is no object is one row of kind Malformed.
     """
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
 
     def run(batches):
-        reader = decoder()
         for b in batches:
             out = []
             for i, t in enumerate(b.column(1).to_pylist()):
                 try:
-                    found = [(i, n, *s) for n, s in enumerate(scalars(t or "", reader)) if not under or s[2] in under]
-                except (ValueError, RecursionError):
-                    found = [(i, 0, "", "", "", MALFORMED, None)]
-                out += found
+                    out += [(i, n, name, "\\" in name, *rest) for n, (name, *rest) in enumerate(jsontext.members(t or ""))]
+                except ValueError:
+                    out.append((i, 0, "", False, MALFORMED, -1, None))
             at, *columns = zip(*out, strict=True) if out else [()] * 7
-            kinds = [pa.int64(), *[pa.string()] * 5]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc", "ord", "path", "pattern", "top", "kind", "raw"])
+            kinds = (pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc", "ord", "name", "escaped", "kind", "items", "raw"])
 
-    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, ord bigint, path string, pattern string, top string, kind string, raw string"
+    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, ord bigint, name string, escaped boolean, kind string, items bigint, raw string"
     return rows.mapInArrow(run, schema).withColumnRenamed("doc", doc)
 
 
+def rewritten(docs: DataFrame, text_col: str, visit) -> DataFrame:
+    """docs with each JSON text's scalars replaced where visit(path, kind, raw) gives a new spelling.
+
+    A text that is no JSON value becomes null; a null stays null.  All other bytes are copied.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            new = []
+            for t in b.column(at).to_pylist():
+                try:
+                    new.append(None if t is None else jsontext.rewrite(t, visit))
+                except ValueError:
+                    new.append(None)
+            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+MOMENT = re.compile(text.MOMENT.replace(r"\z", r"\Z"))
+GUID = re.compile(text.GUID)
+
+
+def masked_string(value: str, base: str = "") -> str:
+    """text.mask for one value in a task."""
+    value = GUID.sub("<guid>", value.replace(base, "<base>") if base else value)
+    if not (m := MOMENT.match(value)):
+        return value
+    zone = m[3] or ""
+    return f"<datetime:2006-01-02{m[1]}15:04:05{'.' + '0' * (len(m[2]) - 1) if m[2] else ''}{zone if zone in ('', 'Z', 'z') else '-07:00'}>"
+
+
+def masked(docs: DataFrame, text_col: str, base: str = "") -> DataFrame:
+    """docs with every string value of each JSON text masked; order and numbers stay as they are spelled."""
+
+    def visit(path, kind, raw):
+        if kind in ("String", "LongString"):
+            new = masked_string(value := jsontext.plain(raw), base)
+            return None if new == value else json.dumps(new, ensure_ascii=False)
+
+    return rewritten(docs, text_col, visit)
+
+
 def duplicates(shredded: DataFrame, doc: str) -> DataFrame:
     """(doc, path, n): members that a document names more than once."""
     return shredded.where(F.col("kind") != MALFORMED).groupBy(doc, "path").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def json_differences(whole: DataFrame, split: DataFrame, doc: str) -> DataFrame:
-    """(doc, path, pattern, kind, whole, split) of two shredded relations; numbers are compared by value, order is not."""
-    value = F.when(F.col("kind") == "Number", F.col("raw").cast("double").cast("string")).otherwise(F.col("raw"))
-    side = lambda d, n: d.select(doc, "path", "pattern", F.struct("kind", value.alias("value")).alias(n), F.col("raw").alias(f"{n}_raw"))
-    both = side(whole, "w").join(side(split, "s").withColumnRenamed("pattern", "other"), [doc, "path"], "full")
-    kind = F.when(F.col("s").isNull(), "missing").when(F.col("w").isNull(), "added").when(F.col("w.kind") != F.col("s.kind"), "type").when(~F.col("w").eqNullSafe(F.col("s")), "changed")
-    return both.select(doc, "path", F.coalesce("pattern", "other").alias("pattern"), kind.alias("kind"), F.col("w_raw").alias("whole"), F.col("s_raw").alias("split")).where("kind is not null")
+    """(doc, path, pattern, kind, whole, split) of two relations shredded with containers; order of members is not compared.
+
+    Numbers are compared by value.  An array whose lengths differ is one row, and its common items are compared; what
+    only one side has is one row at its top, as is a value of another kind.  kind: changed, type, length, missing, added.
+    Repeated names meet in their order.
+    """
+    nth = F.row_number().over(Window.partitionBy(doc, "path").orderBy("ord"))
+    number = F.col("raw").cast("double")
+    value = F.when((F.col("kind") == "Number") & number.isNotNull(), number.cast("string")).otherwise(F.col("raw"))
+    side = lambda d, n: d.select(doc, "path", nth.alias("nth"), F.struct("kind", value.alias("value"), "pattern", "parent", "raw").alias(n))
+    both = side(whole, "w").join(side(split, "s"), [doc, "path", "nth"], "full")
+    kind = (
+        F.when(F.col("s").isNull(), "missing").when(F.col("w").isNull(), "added").when(F.col("w.kind") != F.col("s.kind"), "type")
+        .when((F.col("w.kind") == "Array") & (F.col("w.value") != F.col("s.value")), "length")
+        .when(~F.col("w.kind").isin("Array", "Object") & ~F.col("w.value").eqNullSafe(F.col("s.value")), "changed")
+    )
+    both = both.withColumn("kind", kind).withColumn("parent", F.coalesce("w.parent", "s.parent")).withColumn("pattern", F.coalesce("w.pattern", "s.pattern"))
+    objects = both.where((F.col("w.kind") == "Object") & (F.col("s.kind") == "Object")).select(doc, F.col("path").alias("parent")).distinct()
+    lone = both.where(F.col("kind").isin("missing", "added"))
+    tops = lone.where(F.col("path") != "").join(objects, [doc, "parent"], "left_semi").select(both.columns).unionByName(lone.where(F.col("path") == ""))
+    found = both.where(F.col("kind").isin("type", "length", "changed")).unionByName(tops)
+    shown = lambda c: F.when(F.col(f"{c}.kind").isin("Array", "Object"), F.concat(F.col(f"{c}.raw"), F.lit(" items"))).otherwise(F.col(f"{c}.raw"))
+    return found.select(doc, "path", "pattern", "kind", shown("w").alias("whole"), shown("s").alias("split"))
+
+
+def exact_differences(whole: DataFrame, split: DataFrame, doc: str, limit: int = 20) -> DataFrame:
+    """(doc, path, whole, split): values whose place among the document's values or whose spelling differs, the first few of each document."""
+    side = lambda d, n: d.select(doc, "ord", "path", F.concat_ws(":", "kind", "raw").alias(n))
+    both = side(whole, "whole").join(side(split, "split"), [doc, "ord", "path"], "full").where(~F.col("whole").eqNullSafe(F.col("split")))
+    nth = F.row_number().over(Window.partitionBy(doc).orderBy("ord", "path"))
+    return both.withColumn("nth", nth).where(F.col("nth") <= limit).select(doc, "path", "whole", "split")
+
+
+def member_report(whole: DataFrame, split: DataFrame, doc: str, shown: int = 12) -> DataFrame:
+    """(doc, top, identical, n, paths): each top-level member of two shredded relations, with its first differing paths."""
+    tops = whole.select(doc, "top").unionByName(split.select(doc, "top")).distinct()
+    side = lambda d, n: d.select(doc, "top", "path", F.struct("kind", "raw").alias(n))
+    differ = side(whole, "w").join(side(split, "s"), [doc, "top", "path"], "full").where(~F.col("w").eqNullSafe(F.col("s")))
+    ranked = differ.withColumn("nth", F.row_number().over(Window.partitionBy(doc, "top").orderBy("path")))
+    kept = ranked.groupBy(doc, "top").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("nth") <= shown, F.col("path")))).alias("paths"))
+    out = tops.join(kept, [doc, "top"], "left")
+    return out.select(doc, "top", F.col("n").isNull().alias("identical"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("paths", F.array().cast("array<string>")).alias("paths"))
+
+
+def verdict(whole_ok: Column, split_ok: Column, n_differences: Column) -> Column:
+    """`equal`, `different`, or `inconclusive` where either side gave no result."""
+    return F.when(whole_ok & split_ok, F.when(n_differences == 0, "equal").otherwise("different")).otherwise("inconclusive")

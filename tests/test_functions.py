@@ -60,7 +60,7 @@ def test_balanced_plans(spark):
 
 def test_pointers_figures_masks(spark):
     assert tuple(one(spark, text.pointer(F.col("t")), t="/tables/12")) == ("tables", 12)
-    for bad in ("/tables/012", "tables/1", "/tables/", "/words/1", "/tables/-1"):
+    for bad in ("/tables/012", "tables/1", "/tables/", "/words/1", "/tables/-1", "/pages/0", "/tables/0\n"):
         assert one(spark, text.pointer(F.col("t")), t=bad) is None
     assert tuple(one(spark, text.figure_id(F.col("t")), t="2.07")) == (2, "07") and one(spark, text.figure_id(F.col("t")), t="0.1") is None
     assert one(spark, text.mask(F.col("t"), F.lit("http://h")), t="http://h/x/3F2504E0-4F89-11D3-9A0C-0305E82C3301") == "<base>/x/<guid>"

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from pagefold.functions import jsontext
 from pagefold.operators import ordering, shred
 
 
@@ -37,7 +38,7 @@ def test_scalars_equal_the_parsed_document(spark):
 
 
 def test_spelling_duplicates_limits_and_refusals(spark):
-    texts = ['{"a":1.50,"a":1e-07,"b":{"c":[true]}}', '{"x": 1} tail', "NaN", None, '"' + "s" * 5000 + '"', "[" * 100_000]
+    texts = ['{"a":1.50,"a":1e-07,"b":{"c":[true]}}', '{"x": 1} tail', "NaN", None, '"' + "s" * 5000 + '"', "[" * 100_000, '{"a":"\\ud800"}']
     frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     rows = shred.shred(frame, "id", "text")
     kinds = {(r.id, r.path, r.kind, r.raw) for r in rows.collect()}
@@ -47,11 +48,50 @@ def test_spelling_duplicates_limits_and_refusals(spark):
     assert {r.path for r in shred.shred(frame.where("id = 0"), "id", "text", under=("b",)).collect()} == {".b.c[0]"}
 
 
+def compared(spark, a, b):
+    side = lambda t: shred.shred(spark.createDataFrame([(1, t)], "id int, text string"), "id", "text", containers=True)
+    return {(r.path, r.pattern, r.kind, r.whole, r.split) for r in shred.json_differences(side(a), side(b), "id").collect()}
+
+
 def test_differences(spark):
-    a, b = '{"n":1.0,"s":"x","t":1,"only":2,"l":[1,2]}', '{"l":[1],"n":1,"s":"y","t":"1","new":[]}'
+    a, b = '{"n":1.0,"s":"x","t":1,"only":{"x":{"y":2}},"l":[1,2]}', '{"l":[3],"n":1,"s":"y","t":{"z":[]},"new":[]}'
+    assert compared(spark, a, b) == {
+        (".s", ".s", "changed", "x", "y"), (".t", ".t", "type", "1", "1 items"), (".only", ".only", "missing", "1 items", None),
+        (".l", ".l", "length", "2 items", "1 items"), (".l[0]", ".l[*]", "changed", "1", "3"), (".new", ".new", "added", None, "0 items"),
+    }
+    assert compared(spark, "[1]", "{}") == {("", "", "type", "1 items", "0 items")}
+
+
+def test_a_document_has_no_difference_from_itself(spark):
+    for text in ('{"a.b":1,"a":{"b":2},"a":{"b":3},"x[0]":1,"x":[1]}', '{"a":"\\ud800","\\"q":1}', "[[[]],{}]"):
+        assert compared(spark, text, text) == set(), text
+
+
+def test_members_masks_and_reports(spark):
+    frame = spark.createDataFrame([(1, '{"a" : 1.50, "\\u0062":[1,{}],"a":"x"}'), (2, "[1]")], "id int, text string")
+    rows = [tuple(r)[1:] for r in shred.members(frame, "id", "text").orderBy("id", "ord").collect()]
+    assert rows == [(0, "a", False, "Number", -1, "1.50"), (1, "\\u0062", True, "Array", 2, "[1,{}]"), (2, "a", False, "String", -1, '"x"'), (0, "", False, "Malformed", -1, None)]
+    odd = '{ "t":"2024-05-06 07:08:09.123+02:00" ,"u":["http://h/3F2504E0-4F89-11D3-9A0C-0305E82C3301"], "n":1e-07}'
+    want = '{ "t":"<datetime:2006-01-02 15:04:05.000-07:00>" ,"u":["<base>/<guid>"], "n":1e-07}'
+    got = shred.masked(spark.createDataFrame([(1, odd), (2, "{"), (3, None)], "id int, text string"), "text", "http://h").orderBy("id").collect()
+    assert [r.text for r in got] == [want, None, None]
     side = lambda t: shred.shred(spark.createDataFrame([(1, t)], "id int, text string"), "id", "text")
-    got = {(r.path, r.pattern, r.kind) for r in shred.json_differences(side(a), side(b), "id").collect()}
-    assert got == {(".s", ".s", "changed"), (".t", ".t", "type"), (".only", ".only", "missing"), (".l[1]", ".l[]", "missing"), (".new", ".new", "added")}
+    a, b = side('{"p":[1,2],"q":1}'), side('{"p":[1,3],"q":1}')
+    assert {(r.top, r.identical, r.n, tuple(r.paths)) for r in shred.member_report(a, b, "id").collect()} == {("p", False, 1, (".p[1]",)), ("q", True, 0, ())}
+    assert [tuple(r)[1:] for r in shred.exact_differences(side('{"p":1.0}'), side('{"p":1}'), "id").collect()] == [(".p", "Number:1.0", "Number:1")]
+
+
+@pytest.mark.parametrize("text", ["", "01", "1 2", "[1,]", '{"a":1,}', '{"a"}', "{1:2}", '"\\x"', '"a\nb"', "tru", "[", '{"a":', "-", "1.", "nan", '"' + "a", "1" * 5000, "[" * 10_001])
+def test_texts_that_are_no_json_value(text):
+    with pytest.raises(ValueError):
+        list(jsontext.values(text))
+
+
+def test_rewriting_copies_all_else():
+    text = ' {"a" : [1.50, "x\\u00e9", {"b":null}] , "c":-0e+1 } '
+    assert jsontext.rewrite(text, lambda *_: None) == text
+    assert jsontext.rewrite(text, lambda path, kind, raw: "7" if path == ("a", 0) else None) == text.replace("1.50", "7")
+    assert jsontext.array_items(" [1, [2] ,3] ", lambda p, k, raw: str(int(raw) + len(p)), "m") == ("3, [5] ,5", 3)
 
 
 @pytest.mark.parametrize(
@@ -63,6 +103,7 @@ def test_differences(spark):
         ([["a", "b"], ["b", "a"]], None),
         ([["a", "c"], ["c", "b"], ["a", "b"]], ["a", "c", "b"]),
         ([["b", "c"], ["a"], ["a", "b"]], ["a", "b", "c"]),
+        ([["c"], ["b", "e"], ["c", "e"]], ["b", "c", "e"]),
         ([[], []], []),
     ],
 )
