@@ -93,13 +93,13 @@ def part_loop(attempts: DataFrame, part: list[str], size: str, order: list[str],
     It ends at the first outcome that is no retry, or at PART_ATTEMPTS.  next: done, cancelled, failed (no route),
     recheck (a terminal answer, or a single page that keeps failing), halve, or more (attempts are left).
     """
-    numbered = attempts.select(*part, size, F.col(result).alias("outcome"), F.row_number().over(Window.partitionBy(*part).orderBy(*order)).alias("n"))
+    numbered = attempts.select(*part, F.col(size).alias("__size"), F.col(result).alias("outcome"), F.row_number().over(Window.partitionBy(*part).orderBy(*order)).alias("n"))
     stops = ~F.col("outcome").isin("retry", "retry_once") | (F.col("n") >= PART_ATTEMPTS)
-    ended = numbered.groupBy(*part).agg(F.min(F.when(stops, F.struct("n", "outcome"))).alias("stop"), F.max(F.struct("n", "outcome")).alias("last"), F.first(size).alias("size"))
+    ended = numbered.groupBy(*part).agg(F.min(F.when(stops, F.struct("n", "outcome"))).alias("stop"), F.max(F.struct("n", "outcome")).alias("last"), F.first("__size").alias("__size"))
     end = F.coalesce("stop", "last")
     follows = (
         F.when(end["outcome"] == "success", "done").when(end["outcome"] == "cancelled", "cancelled").when(end["outcome"] == "route_missing", "failed")
-        .when(end["outcome"].isin("analysis_failed", "terminal"), "recheck").when(F.col("stop").isNull(), "more").when(F.col("size") < 2, "recheck").otherwise("halve")
+        .when(end["outcome"].isin("analysis_failed", "terminal"), "recheck").when(F.col("stop").isNull(), "more").when(F.col("__size") < 2, "recheck").otherwise("halve")
     )
     return ended.select(*part, end["n"].cast("bigint").alias("attempts"), end["outcome"].alias("last_outcome"), follows.alias("next"))
 

@@ -38,6 +38,8 @@ def corpus_report(found: DataFrame, documents: DataFrame, doc: str) -> DataFrame
 
     documents (doc, ok) has every document and whether both analyses gave a result; found (doc, level) the differences.
     """
-    totals = documents.agg(F.count("*").alias("documents"), F.count_if(~F.col("ok")).alias("failed"))
-    levels = found.agg(F.count_if(F.col("level") == "page").alias("page_level"), F.count_if(F.col("level") != "page").alias("document_level"))
-    return totals.join(levels, how="cross").withColumn("passes", (F.col("page_level") == 0) & (F.col("failed") == 0))  # one row each
+    both = documents.select(F.lit(1).alias("document"), (~F.col("ok")).cast("int").alias("failed"), F.lit(0).alias("page"), F.lit(0).alias("other"))
+    both = both.unionByName(found.select(F.lit(0).alias("document"), F.lit(0).alias("failed"), (F.col("level") == "page").cast("int").alias("page"), (F.col("level") != "page").cast("int").alias("other")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    sums = both.agg(total("document").alias("documents"), total("failed").alias("failed"), total("page").alias("page_level"), total("other").alias("document_level"))
+    return sums.withColumn("passes", (F.col("page_level") == 0) & (F.col("failed") == 0))
