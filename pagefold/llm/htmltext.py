@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags.  A block's features are its word count and link density, those of the
 blocks before and behind it, and where it stands: in a main container, in a container of page furniture, in a heading.
-The tree is grown on the small labelled table below.
+The tree is grown on the small labelled table below and on a few labelled pages.
 """
 
 from __future__ import annotations
@@ -24,12 +24,19 @@ MAIN = frozenset("article main".split())
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose end tag is often left out, and those of them that the start of one ends.
+ENDS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 # Words of class, id and role attributes that name furniture, and those that name the article's body.
 HINTS = frozenset(
     "ad ads advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget "
     "footer header masthead topbar toolbar cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login search share sharing social "
     "related recommended comment comments disqus respond reply complementary contentinfo pagination pager".split()
 )
+# Words that say where or how large a named part is, not what it holds ("sidebar-right", "related-posts").
+PLACES = frozenset(
+    "area article articles bar block body bottom box button buttons card cards center col column container content element entry fixed form global group head holder icon icons inner item items "
+    "left link links list main mobile module outer page panel post posts primary products right row secondary section site slot small stories story text title top trail unit wrap wrapper".split()
+)
 # Words that turn a hint behind them, or before them, into a state of the page ("has-sidebar", "ad-free").
 STATES, STATES_BEHIND = frozenset("has have no non not with without".split()), frozenset("free less".split())
 BODY_HINTS = frozenset("article post entry story articlebody".split())
@@ -41,9 +48,10 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in ("sc
 RAW_TAG = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in RAW}
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*")
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_behind", "links_behind", "in_main", "page_has_main", "in_furniture", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_behind", "links_behind", "in_main", "page_has_main", "in_furniture", "heading", "only_block")
 
-#: The labelled table: features as listed, then 1 for main text.  Links are the share of words inside anchors.
+#: The labelled table, of pages with several blocks: features as listed but the last, then 1 for main text.  Links are
+#: the share of words inside anchors.
 LABELLED = """
 9 0 0 0 60 0 1 1 0 1 1
 60 0 9 0 45 0 1 1 0 0 1
@@ -124,6 +132,20 @@ LABELLED = """
 7 0 2 1 9 0 0 0 1 1 0
 """
 
+#: Labelled pages, written out: a block whose text begins with + is main text.
+PAGES = (
+    "<p>+Gone.</p>",
+    "<body><p>+Short note.</p></body>",
+    "<p>+We are closed until the fifth of next month</p>",
+    "<nav><a href=/>Home</a> and a few words</nav>",
+    "<p>+A page that is one plain paragraph of fifteen words or so, and that has nothing else at all.",
+    "<body>+Text that stands in the body alone, as old pages have it, some twenty words long and without any element around it.</body>",
+    "<body><a href=/>Home</a></body>",
+    "<body><nav><a href=/a>One</a></nav><h1>+Plain title</h1><p>+First paragraph, ten words of text and a little more.</p><p>+Second one with <a href=x>a link</a> inside, and text before and behind it.</p><footer>Contact us</footer></body>",
+    "<body><div class=menu><a href=a>News</a> <a href=b>Sport</a></div><main><h2>+Title</h2><p>+Yes.</p><table><tr><td>+Name</td><td>+Forty words of it</td><td class=comments>A reader says something here</td></tr></table></main></body>",
+    "<body><article><p>+One.</p><dl><dt>+Term</dt><dd>+What it means</dd></dl></article><aside><p>More from us, a longer list of things to read another day</p></aside></body>",
+)
+
 
 def grow(rows: list[list[float]], least: int = 1) -> tuple | int:
     """A decision tree by Gini impurity: (feature, threshold, tree at or below, tree above), or a label."""
@@ -152,8 +174,28 @@ def grow(rows: list[list[float]], least: int = 1) -> tuple | int:
     return f, at, grow(left, least), grow(right, least)
 
 
+def featured(found: list) -> list[tuple]:
+    """The features of a page's blocks, as FEATURES lists them."""
+    has_main = any(b[3] for b in found)
+    share = [b[2] / b[1] for b in found]
+    out = []
+    for i, (_, words, _, in_main, in_furniture, heading) in enumerate(found):
+        before = (found[i - 1][1], share[i - 1]) if i else (0, 0.0)
+        behind = (found[i + 1][1], share[i + 1]) if i + 1 < len(found) else (0, 0.0)
+        out.append((words, share[i], *before, *behind, in_main, has_main, in_furniture, heading, len(found) == 1))
+    return out
+
+
+def table_rows() -> list[list[float]]:
+    return [[*x[:-1], 0.0, x[-1]] for x in ([float(v) for v in line.split()] for line in LABELLED.strip().splitlines())]
+
+
 def fitted() -> tuple:
-    return grow([[float(v) for v in line.split()] for line in LABELLED.strip().splitlines()])
+    rows = table_rows()
+    for page in PAGES:
+        found = blocks(page)
+        rows += [[*map(float, x), float(b[0].startswith("+"))] for b, x in zip(found, featured(found), strict=True)]
+    return grow(rows)
 
 
 def classify(tree, x) -> int:
@@ -169,10 +211,9 @@ def hints(attributes: str) -> tuple[bool, bool, bool]:
     for m in ATTRIBUTE.finditer(attributes):
         for name in (m[2] or m[3] or m[4] or "").split():
             parts = [p.lower() for p in NAME_PARTS.findall(name)]
-            for i, p in enumerate(parts):
-                if p in STATES:
-                    break
-                furniture |= p in HINTS and STATES_BEHIND.isdisjoint(parts[i + 1 : i + 2])
+            # The whole name must be furniture: "related-posts" is, "related-work" is not.
+            plain = all(p in HINTS or p in PLACES for p in parts)
+            furniture |= plain and any(p in HINTS and STATES_BEHIND.isdisjoint(parts[i + 1 : i + 2]) for i, p in enumerate(parts))
             body |= not BODY_HINTS.isdisjoint(parts) and m[1].lower() == "class"
     return hidden, furniture, body and not furniture and not hidden
 
@@ -212,6 +253,15 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             held.clear()
             linked.clear()
 
+    def leave() -> str:
+        nonlocal main, furniture, hinted, wrapped
+        tag, was_main, was_furniture, was_hinted, outside = open_.pop()
+        main -= was_main
+        furniture -= was_furniture
+        hinted += outside - was_hinted
+        wrapped -= outside
+        return tag
+
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
@@ -261,15 +311,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 heading = False
             if closing:
                 if any(o[0] == tag for o in open_):
-                    while open_:
-                        t, was_main, was_furniture, was_hinted, outside = open_.pop()
-                        main -= was_main
-                        furniture -= was_furniture
-                        hinted += outside - was_hinted
-                        wrapped -= outside
-                        if t == tag:
-                            break
-            elif tag not in VOID and tag not in ("p", "li", "td", "th", "tr", "dt", "dd", "html", "head", "body", *HEADINGS):
+                    while leave() != tag:
+                        pass
+            elif tag not in VOID and tag not in ("p", "li", "html", "head", "body", *HEADINGS):
+                while open_ and open_[-1][0] in ENDS.get(tag, ()):
+                    leave()
                 hidden, named, body = hints(attributes) if attributes else (False, False, False)
                 is_furniture = tag in FURNITURE or (tag == "header" and not main) or hidden and tag not in MAIN
                 is_hinted = not is_furniture and named and tag not in MAIN
@@ -292,15 +338,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
 
 def main_text(page: str | None, tree) -> str:
     found = blocks(page or "")
-    has_main = any(b[3] for b in found)
-    share = [b[2] / b[1] for b in found]
-    kept = []
-    for i, (text, words, _, in_main, in_furniture, heading) in enumerate(found):
-        before = (found[i - 1][1], share[i - 1]) if i else (0, 0.0)
-        behind = (found[i + 1][1], share[i + 1]) if i + 1 < len(found) else (0, 0.0)
-        if classify(tree, (words, share[i], *before, *behind, in_main, has_main, in_furniture, heading)):
-            kept.append(text)
-    return "\n\n".join(kept)
+    return "\n\n".join(b[0] for b, x in zip(found, featured(found), strict=True) if classify(tree, x))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

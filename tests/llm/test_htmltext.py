@@ -12,7 +12,7 @@ def text(page):
 
 
 def test_tree_fits_its_table():
-    rows = [[float(v) for v in line.split()] for line in htmltext.LABELLED.strip().splitlines()]
+    rows = htmltext.table_rows()
     assert all(htmltext.classify(TREE, r) == r[-1] for r in rows)
 
 
@@ -83,3 +83,27 @@ def test_wrappers_named_after_furniture_keep_their_article():
     assert text(f"<body><div class='has-sidebar sidebar-right'>{article}<div class='related'><article><p>{LONG} teaser</p></article></div></div>") == want
     assert text(f"<body><article><h1>Title</h1><p>{LONG}</p><div id='comments'><article><p>{LONG} I agree.</p></article></div></article>") == want
     assert text(f"<body><div hidden>{article}</div>") == text(f"<body><nav>{article}</nav>") == ""
+
+
+def test_labelled_pages_and_pages_of_one_block():
+    for page in htmltext.PAGES:
+        assert all(b[0].startswith("+") == (b[0] in text(page).split("\n\n")) for b in htmltext.blocks(page)), page
+    for n in (1, 3, 10, 15, 40, 150, 1000):
+        words = "word " * n
+        for page in (f"<p>{words}</p>", f"<html><body><p>{words}</p></body></html>", words, f"<div>{words}</div>"):
+            assert text(page) == words.strip(), (n, page)
+    assert text("<p><a href=x>Home</a></p>") == ""
+
+
+def test_hints_name_whole_classes_of_any_block():
+    article = "<article><h1>Title</h1><p>{0}</p>{1}</article>"
+    for tag in ("div", "section", "td", "th", "dd", "ul", "p"):
+        inner = f"<{tag} class='{{}}'>{LONG} here</{tag}>"
+        inner = f"<table><tr>{inner}<td>cell</td></tr></table>" if tag in ("td", "th") else f"<dl>{inner}</dl>" if tag == "dd" else inner
+        cell = "\n\ncell" if tag in ("td", "th") else ""
+        for name in ("comments", "related-posts", "sidebar-right", "cookie-banner"):
+            assert text(article.format(LONG, inner.format(name))) == f"Title\n\n{LONG}{cell}", (tag, name)
+        for name in ("related-work", "share-price-history", "commentary"):
+            assert text(article.format(LONG, inner.format(name))) == f"Title\n\n{LONG}\n\n{LONG} here{cell}", (tag, name)
+    left_open = f"<article><h1>Title</h1><table><tr><td class=comments>{LONG} I agree<td>one<tr><td>two</table><p>{LONG}</p></article>"
+    assert text(left_open) == f"Title\n\none\n\ntwo\n\n{LONG}"
