@@ -243,6 +243,10 @@ def section_depth(spark, sf_dir):
     return spark.sql(sql).select(F.col("depth").cast("bigint").alias("depth"), "nodes")
 
 
+def hour():
+    return F.date_trunc("hour", F.col("ts"))
+
+
 ATTEMPTS = """WITH a AS (SELECT event_id, user_id, ts, value, event_id % 37 = 0 AS caller_done, event_id % 5 = 0 AS deadline,
         CASE event_id % 14 WHEN 0 THEN NULL WHEN 1 THEN 202 WHEN 2 THEN 404 WHEN 3 THEN 405 WHEN 4 THEN 408 WHEN 5 THEN 429 WHEN 6 THEN 500 WHEN 7 THEN 502 WHEN 8 THEN 503 WHEN 9 THEN 504 WHEN 10 THEN 400 ELSE 200 END AS status,
         CASE event_id % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'azure_error' WHEN 2 THEN 'html' WHEN 3 THEN 'cut_short' ELSE 'result' END AS body FROM events),
@@ -283,17 +287,15 @@ def attempt_budget(spark, sf_dir):
     WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)""")
 def hedge_delay(spark, sf_dir):
     rows = read(spark, sf_dir, "events").withColumn("seconds", F.col("value") / 20)
-    return attempts.hedge_delay(rows, "event_type", ["ts", "event_id"], "seconds").select("event_id", F.round("delay", 6).alias("delay"))
+    return attempts.hedge_delay(rows.select("event_id", "event_type", "ts", "seconds"), "event_type", hour(), ["ts", "event_id"], "seconds").select("event_id", F.round("delay", 6).alias("delay"))
 
 
 @query("""WITH q AS (SELECT event_type, event_id, user_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS turn, min((ts, event_id)) OVER (PARTITION BY event_type, user_id) AS first FROM events)
     SELECT event_id, CAST(turn AS BIGINT) AS turn, CAST(row_number() OVER (PARTITION BY event_type ORDER BY turn, first) AS BIGINT) AS place FROM q""")
 def fair_order(spark, sf_dir):
     """A fixed backlog for each surface, served round-robin by user."""
-    lane = read(spark, sf_dir, "events").withColumn("owner", F.struct("event_type", "user_id"))
-    turns = attempts.fair_order(lane, "owner", ["ts", "event_id"])
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("turn", "owner_arrival"))
-    return turns.select("event_id", "turn", place.cast("bigint").alias("place"))
+    queue = read(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts")
+    return attempts.fair_order(queue, "event_type", "user_id", hour(), ["ts", "event_id"]).select("event_id", "turn", "place")
 
 
 @query(f"SELECT le, count(value) FILTER (value / 10 <= le) AS n FROM events, (SELECT unnest([{', '.join(map(str, metrics.BOUNDS))}, 'inf'::DOUBLE]) AS le) GROUP BY le")
@@ -370,7 +372,7 @@ def recovery_actions(spark, sf_dir):
     SELECT event_id, CAST(sum(d) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS BIGINT) AS inflight FROM c""")
 def admission_replay(spark, sf_dir):
     rows = read(spark, sf_dir, "events").withColumn("change", F.when(F.col("event_id") % 3 == 0, -1).otherwise(1))
-    return jobs.inflight(rows, "event_type", ["ts", "event_id"], "change").select("event_id", "inflight")
+    return jobs.inflight(rows.select("event_id", "event_type", "ts", "change"), "event_type", hour(), ["ts", "event_id"], "change").select("event_id", "inflight")
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS events FROM events GROUP BY user_id")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagefold.operators import lanes
+
 DAY = 24 * 3600
 FIRST_WAIT, MOST_WAIT = 2.0, 60.0
 MOST_ATTEMPTS, MOST_RETRY_ONCE = 5, 2
@@ -70,18 +72,26 @@ def budget(attempts: DataFrame, job: str, order: list[str], result: str) -> Data
     return ended.select(job, end["n"].cast("bigint").alias("attempts"), end["outcome"].alias("last_outcome"))
 
 
-def hedge_delay(durations: DataFrame, lane: str | None, order: list[str], seconds: str) -> DataFrame:
-    """durations with the delay before a duplicate call: four medians of the last samples, within bounds."""
-    by = Window.partitionBy(lane) if lane else Window.partitionBy(F.lit(0))
-    frame = by.orderBy(*order).rowsBetween(-HEDGE_SAMPLES, -1)
-    median, n = F.percentile(seconds, F.lit(0.5)).over(frame), F.count("*").over(frame)
-    return durations.withColumn("delay", F.when(n < HEDGE_LEAST_SAMPLES, HEDGE_MAX).otherwise(F.least(F.greatest(HEDGE_FACTOR * median, F.lit(HEDGE_MIN)), F.lit(HEDGE_MAX))))
+def hedge_delay(durations: DataFrame, lane: str | None, block: Column, order: list[str], seconds: str) -> DataFrame:
+    """durations with the delay before a duplicate call: four medians of the last samples, within bounds.
+
+    block never falls along `order` (see lanes.running); without a lane all rows are one.
+    """
+    slid = lanes.sliding_median(durations, [lane] if lane else [], block, order, seconds, HEDGE_SAMPLES)
+    told = F.least(F.greatest(HEDGE_FACTOR * F.col("__median"), F.lit(HEDGE_MIN)), F.lit(HEDGE_MAX))
+    return slid.withColumn("delay", F.when(F.col("__n") < HEDGE_LEAST_SAMPLES, HEDGE_MAX).otherwise(told)).drop("__n", "__median")
 
 
-def fair_order(queue: DataFrame, owner: str, arrival: list[str]) -> DataFrame:
-    """queue with `turn`: the round in which a fixed backlog's request is served; rounds go by owner's first arrival."""
-    own = Window.partitionBy(owner)
-    return queue.withColumn("turn", F.row_number().over(own.orderBy(*arrival)).cast("bigint")).withColumn("owner_arrival", F.min(F.struct(*arrival)).over(own))
+def fair_order(queue: DataFrame, lane: str, owner: str, block: Column, arrival: list[str]) -> DataFrame:
+    """queue with `turn`, the round in which a fixed backlog's request is served, and `place`, its place in its lane.
+
+    Rounds go by their owners' first arrivals.  block never falls along `arrival`.
+    """
+    first = queue.groupBy(F.col(lane).alias("__lane"), F.col(owner).alias("__owner")).agg(F.min(F.struct(block.alias("block"), F.struct(*arrival).alias("arrival"))).alias("__first"))
+    turns = lanes.running(queue, [lane, owner], block, arrival, F.lit(1), "turn")
+    met = turns.join(first, F.col(lane).eqNullSafe(F.col("__lane")) & F.col(owner).eqNullSafe(F.col("__owner"))).drop("__lane", "__owner")
+    placed = lanes.running(met, [lane], F.struct("turn", "__first.block"), ["turn", "__first.arrival"], F.lit(1), "place")
+    return placed.drop("__first")
 
 
 PART_ATTEMPTS = 3

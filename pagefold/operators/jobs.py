@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from pagefold.operators import lanes
 
 MOST_RECOVERIES = 3
+DAY = 86400
 
 
 def expired(jobs: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
@@ -35,10 +37,10 @@ def eviction_order(jobs: DataFrame, now: Column) -> DataFrame:
 
 
 def evict_until(jobs: DataFrame, now: Column, excess: Column, group: str) -> DataFrame:
-    """The first jobs in eviction order whose bytes, in each group, make up the excess."""
-    order = Window.partitionBy(group).orderBy("live", "updated_at", "id")
-    freed = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return eviction_order(jobs, now).withColumn("freed_before", freed).where(F.col("freed_before") < excess)
+    """The first jobs in eviction order whose bytes, in each group, make up the excess; a day's jobs are one task's."""
+    block = F.struct("live", F.floor(F.col("updated_at") / DAY))
+    freed = lanes.running(eviction_order(jobs, now), [group], block, ["live", "updated_at", "id"], F.col("bytes"), "freed_before")
+    return freed.withColumn("freed_before", F.col("freed_before") - F.coalesce("bytes", F.lit(0))).where(F.col("freed_before") < excess)
 
 
 def recovery_action(status: Column, has_input: Column, attempts: Column) -> Column:
@@ -50,10 +52,9 @@ def recovery_action(status: Column, has_input: Column, attempts: Column) -> Colu
     )
 
 
-def inflight(events: DataFrame, lane: str, order: list[str], change: str) -> DataFrame:
-    """events with the number of jobs in flight after each, a running sum of +1 and -1."""
-    upto = Window.partitionBy(lane).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("inflight", F.sum(change).over(upto).cast("bigint"))
+def inflight(events: DataFrame, lane: str, block: Column, order: list[str], change: str) -> DataFrame:
+    """events with the number of jobs in flight after each, a running sum of +1 and -1; block never falls along `order`."""
+    return lanes.running(events, [lane], block, order, F.col(change), "inflight")
 
 
 def latest(events: DataFrame, job: str, order: list[str], state: str) -> DataFrame:
