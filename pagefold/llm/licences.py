@@ -1,7 +1,8 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Lines, paragraphs and whole texts are compared, so that a notice is found where it stands.  Two bounds prune before
-any bigram is made, and neither can drop a match: a template of b bigrams reaches Dice t only with sizes from
+Lines, paragraphs, runs of one to four neighbouring sentences and whole texts are compared, so that a notice is found
+where it stands: wrapped, in comment signs, behind other sentences of its line, or as several paragraphs of a longer
+text.  Two bounds prune before any bigram is made, and neither can drop a match: a template of b bigrams reaches Dice t only with sizes from
 b * t / (2 - t) to b * (2 - t) / t, and with at least b * t / (2 - t) of its own bigrams; the anchor words of a
 template are chosen so that fewer of its bigrams hold none of them, so a text without any anchor word is left out.
 DataFrame operations only.
@@ -12,12 +13,15 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagefold.llm.common import table, text_or_empty
 
 THRESHOLD = 0.8
+#: Sentences end at a full stop, ! or ? before white space, and at blank lines; the longest template has four.
+SENTENCE_END = "[.!?]+[ \t\n]+|\n[ \t]*\n"
+MOST_SENTENCES = 4
 
 # Short public licence texts and customary notices.
 TEMPLATES = {
@@ -78,11 +82,18 @@ def any_word(words: list[str]) -> str:
     return f"(?i)(?<![a-z0-9])(?:{'|'.join(f'{c}(?:{"|".join(rest)})' for c, rest in sorted(by.items()))})(?![a-z0-9])"
 
 
+def sentence_runs(told: Column, k: int) -> Column:
+    """The runs of k sentences of which one has an anchor word."""
+    runs = F.transform(told, lambda _, i: F.struct(F.lit(f"{k} sentences").alias("extent"), i.alias("nth"), F.slice(told, i + 1, k).alias("own")))
+    kept = F.filter(runs, lambda r: (F.size(r["own"]) == k) & F.exists(r["own"], lambda s: s["met"]))
+    return F.transform(kept, lambda r: F.struct(r["extent"].alias("extent"), r["nth"].alias("nth"), F.array_join(F.transform(r["own"], lambda s: s["place"]), " ").alias("place")))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(id, licence, dice, n_places): the best coefficient of each text and template that reach the threshold.
 
-    Places are the lines, paragraphs and whole text in which the template is met, equal places of one extent counted
-    once for each.  Dice is over distinct bigrams of words [a-z0-9]+, A-Z lower-cased, rounded to 6 places.  Null and
+    Places are the lines, paragraphs, whole text, and runs of up to MOST_SENTENCES neighbouring sentences that hold a
+    word, in which the template is met, equal places of one extent counted once for each.  Dice is over distinct bigrams of words [a-z0-9]+, A-Z lower-cased, rounded to 6 places.  Null and
     empty texts, and texts of one word, match nothing; rows that repeat an id are one text's places together; a null
     id is kept.  Other columns are not read.
     """
@@ -98,13 +109,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     split = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
     # The anchors first, on whole texts; a text without them has no place with them.
     rows = rows.where(F.col("text").rlike(any_word(words)))
+    # Then on its lines, paragraphs and sentences, before any of them is taken to words.
+    met = lambda t: t.rlike(any_word(words))
+    place = lambda extent: lambda t, i: F.struct(F.lit(extent).alias("extent"), i.alias("nth"), t.alias("place"))
+    told = F.filter(F.split("text", SENTENCE_END), lambda t: t.rlike("[A-Za-z0-9]"))
+    rows = rows.select("id", "text", F.transform(told, lambda t: F.struct(t.alias("place"), met(t).alias("met"))).alias("told"))
     places = F.concat(
-        F.transform(F.split("text", "\n"), lambda t, i: F.struct(F.lit("line").alias("extent"), i.alias("nth"), t.alias("place"))),
-        F.transform(F.split("text", "\n[ \t]*\n"), lambda t, i: F.struct(F.lit("paragraph").alias("extent"), i.alias("nth"), t.alias("place"))),
-        F.array(F.struct(F.lit("text").alias("extent"), F.lit(0).alias("nth"), F.col("text").alias("place"))),
+        F.transform(F.filter(F.split("text", "\n"), met), place("line")),
+        F.transform(F.filter(F.split("text", "\n[ \t]*\n"), met), place("paragraph")),
+        F.array(place("text")(F.col("text"), F.lit(0))),
+        *(sentence_runs(F.col("told"), k) for k in range(1, MOST_SENTENCES + 1)),
     )
     units = rows.select("id", F.xxhash64("text").alias("of"), F.explode(places).alias("p")).select("id", "of", "p.extent", "p.nth", split(F.col("p.place")).alias("words"))
-    units = units.where((F.size("words") > least) & F.arrays_overlap("words", F.array(*map(F.lit, words))))
+    units = units.where(F.size("words") > least)
     count = F.greatest(F.size("words") - 1, F.lit(0))
     grams = F.array_distinct(F.zip_with(F.slice("words", 1, count), F.slice("words", 2, count), lambda a, b: F.concat_ws(" ", a, b)))
     units = units.select("id", "of", "extent", "nth", grams.alias("grams")).withColumn("size", F.size("grams")).where(F.col("size").between(least, most))
@@ -135,7 +152,10 @@ p AS (
     SELECT doc_id, 'line' AS extent, unnest(string_split(text, chr(10))) AS place, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents
     UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(text, '\\n[ \\t]*\\n')), generate_subscripts(regexp_split_to_array(text, '\\n[ \\t]*\\n'), 1) FROM documents
     UNION ALL SELECT doc_id, 'text', text, 0 FROM documents),
-pw AS (SELECT doc_id, extent, nth, list_filter(string_split(regexp_replace(translate(place, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM p WHERE place IS NOT NULL),
+pl AS (SELECT doc_id, extent, nth, list_filter(string_split(regexp_replace(translate(place, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM p WHERE place IS NOT NULL),
+ss AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+[ \\t\\n]+|\\n[ \\t]*\\n'), lambda s: list_filter(string_split(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')), lambda w: len(w) > 0) AS told FROM documents),
+sk AS (SELECT doc_id, told, k, unnest(range(1, len(told) - k + 2)) AS i FROM ss, (SELECT unnest(range(1, {MOST_SENTENCES + 1})) AS k)),
+pw AS (SELECT * FROM pl UNION ALL SELECT doc_id, k || ' sentences', i, flatten(told[i : i + k - 1]) FROM sk),
 pg AS (SELECT doc_id, extent, nth, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM pw WHERE len(w) > 1),
 pb AS (SELECT doc_id, extent, nth, len(g) AS size, unnest(g) AS gram FROM pg),
 s AS (SELECT doc_id, extent, nth, licence, size, template_size, count(*) AS common FROM pb JOIN tb USING (gram) GROUP BY ALL)
