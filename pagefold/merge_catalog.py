@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagefold.catalog import ATTEMPTS, JOBS, NOW, P, attempt_log, job_rows, order_pages, query, read
 from pagefold.functions import pages, policy, text, units
-from pagefold.operators import attempts, diffing, jobs, metrics, planning, shred
+from pagefold.operators import attempts, diffing, invariants, jobs, metrics, planning, shred
 from pagefold.plans import assembly
 
 
@@ -51,6 +51,14 @@ def merged_counts(spark, sf_dir):
     return assembly.merged(conversation_parts(spark, sf_dir), unit=units.CODE_POINTS)[1].select("doc_id", "name", F.col("items").cast("bigint").alias("items"))
 
 
+def spoilt(column, faults):
+    """The text with what is replaced in documents doc_id % 16 = n; faults are (n, was, now) of distinct n."""
+    out = F
+    for n, was, now in faults:
+        out = out.when(F.col("doc_id") % 16 == n, F.replace(F.col(column), F.lit(was), F.lit(now)))
+    return out.otherwise(F.col(column))
+
+
 #: Faults that are put in part 0 of the documents doc_id % 16 = n: what is replaced, by what, and the violation's code.
 FAULTS = (
     (1, '"content"', '"contents"', "V09"), (2, '"pageNumber":1,', '"pageNumber":7,', "V17"), (3, '"unit":"inch","spans"', '"unit":"inch","span"', "V21"), (4, '"pages":[', '"pages":[{},', "V07"),
@@ -65,13 +73,75 @@ FAULTS = (
     UNION SELECT conv_id, 'V11' FROM conversations WHERE turn = 1 AND conv_id % 16 = 14""")
 def merge_violations(spark, sf_dir):
     """The violations of documents whose first part has a planted fault; the others have none."""
-    raw = F.col("raw")
-    for n, was, now, _ in FAULTS:
-        raw = F.when((F.col("doc_id") % 16 == n) & (F.col("k") == 0), F.replace(F.col("raw"), F.lit(was), F.lit(now))).otherwise(raw)
+    raw = F.when(F.col("k") == 0, spoilt("raw", [fault[:3] for fault in FAULTS])).otherwise(F.col("raw"))
     parts = conversation_parts(spark, sf_dir).select("doc_id", "k", "planned", raw.alias("raw"))
     return assembly.merged(parts, unit=units.CODE_POINTS)[2].select("doc_id", "code").distinct()
 
 
+BOX = '"polygon":[0,0,1,0,1,1,0,1]'
+#: Faults that are put in the merged results of the documents doc_id % 16 = n: what is replaced, by what, and (rule, path) of the finding.
+BREACHES = (
+    (1, '"styles":[]', '"style":[]', "presence", "/styles"), (2, '"modelId":', '"modelID":', "present", "/modelId"), (3, '"stringIndexType":"unicodeCodePoint"', '"stringIndexType":"words"', "unit", "/stringIndexType"),
+    (4, '"figures":[', '"figures":[{"id":"x"},', "figure-id", "/figures/0"), (6, '"paragraphs":[', '"paragraphs":[{"spans":[{"offset":0,"length":99999999}]},', "span", "/paragraphs/0/spans/0"),
+    (8, '"pages":[', '"pages":[{"pageNumber":0},', "page-numbers", "/pages"), (8, "", "", "page-span", "/pages/0"), (9, '"figures":[{', '"figures":[{"caption":{"elements":["/pages"]},', "pointer", "/figures/0/caption/elements/0"),
+)
+#: The same for faults that every page has.
+PAGE_BREACHES = (
+    (5, '"/paragraphs/', '"/paragraphs/9999', "pointer", "/figures/", "/elements/0"), (7, '"unit":"inch",', '"unit":"inch","barcodes":[],', "presence", "/pages/", "/barcodes"),
+    (10, BOX + ',"score"', '"polygon":[0],"score"', "polygon", "/pages/", "/words/0"), (11, '"page said":', '"content":"?","page said":', "line-content", "/pages/", "/lines/0"),
+)
+
+
+@query("WITH f(n, rule, path) AS (VALUES " + ", ".join(f"({n}, '{rule}', '{path}')" for n, _, _, rule, path in BREACHES) + "), g(n, rule, a, b) AS (VALUES "
+    + ", ".join(f"({n}, '{rule}', '{a}', '{b}')" for n, _, _, rule, a, b in PAGE_BREACHES) + """), c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
+    SELECT conv_id AS doc_id, rule, path FROM c JOIN f ON conv_id % 16 = n WHERE i = 0 UNION ALL SELECT conv_id, rule, a || i || b FROM c JOIN g ON conv_id % 16 = n""")
+def result_findings(spark, sf_dir):
+    """Merged results with words, lines and regions against the invariants; only planted faults are told."""
+    parts = conversation_parts(spark, sf_dir).withColumn("q", quoted("text"))
+    span = F.concat(F.lit('{"offset":0,"length":'), F.length("text"), F.lit("}"))
+    words = F.concat(F.lit('"unit":"inch","words":[{"content":'), F.col("q"), F.lit(f',{BOX},"score":1,"span":'), span, F.lit('}],"lines":[{"content":'), F.col("q"), F.lit(',"page said":1,"spans":['), span, F.lit("]}],"))
+    swaps = (
+        ('"modelId":"m",', F.lit('"modelId":"m","contentFormat":"text","styles":[],')), ('"unit":"inch",', words), ('"score":1.50', F.concat(F.lit('"content":'), F.col("q"))),
+        ('[{"pageNumber":1}]', F.lit('[{"pageNumber":1,' + BOX + "}]")), ('"id":"1.7"', F.lit('"id":"1.1"')),
+    )
+    raw = F.col("raw")
+    for was, now in swaps:
+        raw = F.replace(raw, F.lit(was), now)
+    out, _, _ = assembly.merged(parts.select("doc_id", "k", "planned", raw.alias("raw")), unit=units.CODE_POINTS)
+    result = spoilt("result", [(n, was, now) for n, was, now, *_ in (*BREACHES, *PAGE_BREACHES) if was])
+    return invariants.result_findings(out.select("doc_id", result.alias("result")))
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 8 WHEN 1 THEN 'result' WHEN 2 THEN 'result' WHEN 3 THEN 'error-member' ELSE 'key-order' END AS rule,
+    CASE o_orderkey % 8 WHEN 1 THEN '/analyzeResult' WHEN 2 THEN '/analyzeResult' WHEN 3 THEN '/error' ELSE '/' END AS path FROM orders WHERE o_orderkey % 8 BETWEEN 1 AND 4""")
+def envelope_findings(spark, sf_dir):
+    """Envelopes of orders: finished ones have results; some have none, one too early, an error, or times before the status."""
+    n, at = F.col("o_orderkey") % 8, F.concat(F.lit('"createdDateTime":"'), F.col("o_orderdate").cast("string"), F.lit('"'))
+    status = F.when(n.isin(0, 1, 5), F.lit('"status":"succeeded"')).otherwise(F.lit('"status":"running"'))
+    head = F.when(n == 4, F.concat(at, F.lit(","), status)).otherwise(F.concat(status, F.lit(","), at))
+    tail = F.when(n.isin(0, 2, 5), F.lit(',"analyzeResult":{}')).when(n == 3, F.lit(',"error":{}')).otherwise(F.lit(""))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("{"), head, tail, F.lit("}")).alias("body"))
+    return invariants.envelope_findings(orders)
+
+
+@query(P + """, r AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS i FROM p), n AS (SELECT doc_id, bool_and(page = i + 1) AS plain FROM r GROUP BY doc_id)
+    SELECT doc_id, 'page-numbers' AS rule, '/readResults' AS path FROM n WHERE NOT plain
+    UNION ALL SELECT doc_id, 'bbox', '/readResults/' || i || '/lines/0' FROM r WHERE page % 4 = 1
+    UNION ALL SELECT doc_id, 'line-words', '/readResults/' || i || '/lines/0' FROM r WHERE page % 4 = 2
+    UNION ALL SELECT doc_id, 'confidence', '/readResults/' || i || '/lines/0/words/0' FROM r WHERE page % 4 = 3""")
+def line_result_findings(spark, sf_dir):
+    """Results of lines, a page for each of an order's line numbers, with a fault that the page's number decides."""
+    box = "[0,0,1,0,1,1,0,1]"
+    n = F.col("page") % 4
+    line = F.concat(
+        F.lit('{"page":'), F.col("page"), F.lit(',"unit":"inch","lines":[{"text":"a'), F.when(n == 2, " b").otherwise(""), F.lit('","appearance":{},"boundingBox":'), F.when(n == 1, "[0]").otherwise(box),
+        F.lit(',"words":[{"text":"a","boundingBox":' + box + ',"confidence":'), F.when(n == 3, "1.5").otherwise("0.5"), F.lit("}]}]}"),
+    )
+    pages_ = F.transform(F.array_sort(F.collect_list(F.struct("page", line.alias("v")))), lambda p: p["v"])
+    whole = F.concat(F.lit('{"version":"3.2.0","modelVersion":"m","readResults":['), F.array_join(pages_, ","), F.lit("]}"))
+    return invariants.read_findings(order_pages(spark, sf_dir).groupBy("doc_id").agg(whole.alias("result")), model="m", unit="inch")
+
+
 @query(P + """ SELECT doc_id, count(*) AS pages, md5('{"version":"3.2","modelVersion":"m","readResults":[' || string_agg('{ "page":' || page || ', "lines":[{"text":"' || doc_id || '-' || page || '"}]}', ',' ORDER BY page) || ']}') AS result_md5 FROM p GROUP BY doc_id""")
 def read_round_trip(spark, sf_dir):
     """Results without cross-references: cut by a balanced plan, merged again, equal in every byte."""

@@ -238,7 +238,7 @@ def table_found(t: Column, i: Column) -> Column:
 def sections_found() -> Column:
     named = lambda items: F.coalesce(F.flatten(F.transform(items, lambda x: F.coalesce(x["elements"], F.array().cast("array<string>")))), F.array().cast("array<string>"))
     captions = lambda items: named(F.transform(items, lambda x: x["caption"]))
-    pointers = F.concat(named(F.col("r.sections")), named(F.col("r.figures")), captions(F.col("r.figures")), captions(F.col("r.tables")), named(F.flatten(F.transform("r.tables", lambda t: t["cells"]))))
+    pointers = F.concat(named(F.col("r.sections")), named(F.col("r.figures")), captions(F.col("r.figures")), captions(F.col("r.tables")), named(F.flatten(F.array_compact(F.transform("r.tables", lambda t: t["cells"])))))
     to = F.filter(F.transform(pointers, lambda e: F.regexp_extract(e, r"^/sections/(0|[1-9][0-9]*)\z", 1).try_cast("bigint")), lambda i: i.isNotNull())
     n = sized(F.col("r.sections")).cast("bigint")
     tree = lambda to: F.filter(F.array_sort(to), lambda i: i < n) != F.when(n > 1, F.sequence(F.lit(1).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -274,7 +274,8 @@ def result_findings(results: DataFrame, doc: str = "doc_id", raw: str = "result"
     rows = rows.withColumn("markdown", F.coalesce(F.col("r.contentFormat") == "markdown", F.lit(False)))
 
     has = lambda name: F.array_contains("keys", name)
-    last = F.array_max(F.flatten(F.transform("r.pages", lambda p: F.transform(F.filter(p["spans"], sound), lambda s: s["offset"] + s["length"]))))
+    ends = F.transform("r.pages", lambda p: F.array_max(F.transform(F.filter(p["spans"], sound), lambda s: s["offset"] + s["length"])))
+    last = F.array_max(ends)
     paragraph = lambda p, i: F.concat(F.when(F.col("markdown"), spans_found(p["spans"], "/paragraphs/", i)).otherwise(content_found("paragraph-content", p, ("\n", "", " "), "/paragraphs/", i)), regions_found(p, "/paragraphs/", i))
     whole_rules = [
         *(when(~has(k), "present", f"/{k}") for k in PRESENT), *(expected(k, v) for k, v in (expect or {}).items()),

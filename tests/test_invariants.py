@@ -67,6 +67,8 @@ FAULTS = [
     (lambda d: d["sections"][1].update(elements=["/sections/0"]), [("section-tree", "/sections/0")]),
     (lambda d: d["sections"][1].update(spans=spans((6, 2), (0, 2))), [("section-spans", "/sections/1/spans/1")]),
     (lambda d: d["sections"][1].update(spans=spans((0, 2), (6, 99))), [("span", "/sections/1/spans/1")]),
+    (lambda d: without(d["pages"][1], "spans"), [("page-span", "/pages/1"), ("word-page", "/pages/1/words/0"), ("page-end", "/pages")]),
+    (lambda d: without(d["tables"][0], "cells"), []),
     (lambda d: d["paragraphs"][0]["spans"][0].update(offset=None), [("span", "/paragraphs/0/spans/0")]),
 ]
 
