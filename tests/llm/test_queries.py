@@ -19,6 +19,7 @@ COLUMNS = {
     "op8_media_chunks": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
     "op9_token_files": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op10_html_extraction": "page_id bigint, url string, text string, n_chars bigint",
+    "op11_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
 }
 
 
