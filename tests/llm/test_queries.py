@@ -20,6 +20,8 @@ COLUMNS = {
     "op9_token_files": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op10_html_extraction": "page_id bigint, url string, text string, n_chars bigint",
     "op11_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op12_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op13_source_divergence": "lang string, source string, part string, item string, value bigint, rank int",
 }
 
 
@@ -34,7 +36,7 @@ def test_columns_and_rows(spark, found, name):
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     assert {c: kinds.get(c) for c in (x.split(" ")[0] for x in COLUMNS[name].split(", "))} == dict(x.split(" ") for x in COLUMNS[name].split(", "))
     rows = found[name] = df.collect()
-    if name not in ("op1_chat_formatting", "op7_licences", "op10_html_extraction"):
+    if name not in ("op1_chat_formatting", "op7_licences", "op10_html_extraction", "op13_source_divergence"):
         docs = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
         assert {r.doc_id for r in rows} == docs and len(rows) == len(docs)
 
@@ -45,6 +47,7 @@ def test_what_the_queries_add(spark, found):
     trap = chat.TRAP
     assert (extra.n_turns, extra.turns_sha256, extra.loss_chars, extra.loss_sha256) == (2, sha(f"user\n{trap}\nassistant\n{trap}\n"), len(trap), sha(trap))
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in found["op4_toxicity"])
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5) for r in found["op12_quality"])
     for r in found["op2_pii"]:
         base = [s for s in r.spans.split(",") if s.split(":")[0] in ("email", "ip", "card", "phone")]
         assert r.base_sha256 == sha(",".join(base)) and len(base) == r.n_email + r.n_ip + r.n_card + r.n_phone
