@@ -70,7 +70,7 @@ def values(text: str) -> Iterator[tuple[tuple, str, int, int, int]]:
                 yield tuple(path), kind, begin, at, -1
         elif wanted in ("name", "name or }"):
             if string:
-                if len(string) > MOST_NAME + 2:
+                if len(string) > MOST_NAME + 2 or not string.isascii() and len(string.encode()) > MOST_NAME + 2:
                     raise Malformed("a name is too long")
                 path[-1] = string[1:-1]
                 wanted = ":"
@@ -116,19 +116,18 @@ def rewrite(text: str, visit: Callable, prefix: tuple = ()) -> str:
 
 
 def array_items(text: str, visit: Callable, name: str) -> tuple[str, int]:
-    """(items without their brackets, number of them) of an array member, its scalars rewritten."""
-    items = 0
-
-    def counted(path, kind, raw):
-        return visit(path, kind, raw)
-
-    new = rewrite(text, counted, (name,))
-    for path, kind, _, _, n in values(text):
-        if not path:
-            if kind != "Array":
-                raise Malformed("no array")
+    """(items without their brackets, number of them) of an array member, its scalars rewritten, in one pass."""
+    out, done, items, prefix = [], 0, -1, (name,)
+    for path, kind, begin, end, n in values(text):
+        if kind in SCALARS:
+            if (new := visit(prefix + path, kind, text[begin:end])) is not None:
+                out += [text[done:begin], new]
+                done = end
+        elif not path and kind == "Array":
             items = n
-    return new.strip(" \t\r\n")[1:-1], items
+    if items < 0:
+        raise Malformed("no array")
+    return "".join([*out, text[done:]]).strip(" \t\r\n")[1:-1], items
 
 
 def members(text: str) -> list[tuple[str, str, int, str]]:

@@ -51,6 +51,53 @@ def merged_counts(spark, sf_dir):
     return assembly.merged(conversation_parts(spark, sf_dir), unit=units.CODE_POINTS)[1].select("doc_id", "name", F.col("items").cast("bigint").alias("items"))
 
 
+#: Spelled sections of a turn's part: every third turn opens a section of its own, the others have a root alone.
+TREES = """case when {k} % 3 = 0 then concat(',"sections":[{{"spans":[{{"offset":0,"length":', {n}, '}}],"elements":["/sections/1"]}},{{"spans":[{{"offset":0,"length":', {n}, '}}],"elements":["/paragraphs/0","/paragraphs/1"]}}]}}')
+    else concat(',"sections":[{{"spans":[{{"offset":0,"length":', {n}, '}}],"elements":["/paragraphs/0"]}}]}}') end"""
+
+
+def sectioned_parts(spark, sf_dir):
+    """(doc_id, k, planned, raw): every turn as a result with sections; the turns of a section are a heading's and those behind it."""
+    parts = conversation_parts(spark, sf_dir).withColumn("n", F.length("text"))
+    heading = F.replace("raw", F.lit('"paragraphs":['), F.lit('"paragraphs":[{"role":"sectionHeading","spans":[]},'))
+    raw = F.expr(f"concat(substring(raw, 1, length(raw) - 1), {TREES.format(k='k', n='n')})")
+    return parts.withColumn("raw", F.when(F.col("k") % 3 == 0, heading).otherwise(F.col("raw"))).select("doc_id", "k", "planned", raw.alias("raw"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, coalesce(sum(length(coalesce(text, '')) + 1) OVER w, 0)::BIGINT AS o,
+        coalesce(sum(CASE WHEN turn % 3 = 0 THEN 2 ELSE 1 END) OVER w, 0)::BIGINT AS base, turn // 3 AS g FROM conversations
+        WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    g AS (SELECT conv_id, g, min(o) AS a, max(o + n) AS b, string_agg('"/paragraphs/' || base || '"' || CASE WHEN turn % 3 = 0 THEN ',"/paragraphs/' || (base + 1) || '"' ELSE '' END, ',' ORDER BY turn) AS e FROM s GROUP BY conv_id, g),
+    d AS (SELECT conv_id, '[{"spans":[{"offset":0,"length":' || max(b) || '}],"elements":[' || string_agg('"/sections/' || (g + 1) || '"', ',' ORDER BY g) || ']},'
+        || string_agg('{"spans":[{"offset":' || a || ',"length":' || (b - a) || '}],"elements":[' || e || ']}', ',' ORDER BY g) || ']' AS tree, count(*) + 1 AS items FROM g GROUP BY conv_id)
+    SELECT conv_id AS doc_id, md5(tree) AS sections_md5, items FROM d""")
+def merged_sections(spark, sf_dir):
+    """Turns without a heading continue the section that an earlier turn left open; one section for three turns."""
+    found = assembly.documents(sectioned_parts(spark, sf_dir), unit=units.CODE_POINTS)
+    tree = F.substring_index("result", '"sections":', -1)
+    n = F.filter("counts", lambda c: c["name"] == "sections")
+    return found.where(F.size("codes") == 0).select("doc_id", F.md5(F.left(tree, F.length(tree) - 1)).alias("sections_md5"), F.get(n, F.lit(0))["items"].alias("items"))
+
+
+#: Faults that are put in the second part of the documents doc_id % 8 = n: what is replaced, by what, and the violation's code.
+SECTION_FAULTS = (
+    (1, '"sections":[{', '"sections":[],"sectiones":[{', "V22"), (2, '"sections":[{"spans"', '"sections":[{"spans":[],"spans"', "V23"), (3, '"sections":[{"spans":[{"offset":0,', '"sections":[{"spans":[{"offset":0.0,', "V24"),
+    (4, '"sections":[{"spans":[{"offset":0,"length":', '"sections":[{"spans":[{"offset":0,"length":9', "V25"), (5, '"elements":["/paragraphs/0"]}]}', '"elements":["/sections/1"]},{"spans":[{"offset":99999,"length":1}],"elements":["/paragraphs/0"]}]}', "V26"),
+    (6, '"elements":["/paragraphs/0"]}]}', '"elements":["/paragraphs/9","/sections/1"]},{"spans":[],"elements":[]}]}', "V27"), (7, '"sections":[{', '"sections":[{"elements":[],"z":0,"zz":1},{', "V25"),
+)
+
+
+@query("WITH f(n, code) AS (VALUES " + ", ".join(f"({n}, '{code}')" for n, _, _, code in SECTION_FAULTS) + """)
+    SELECT conv_id AS doc_id, CAST(turn AS BIGINT) AS k, code FROM conversations JOIN f ON conv_id % 8 = n WHERE turn = 1 AND length(text) > 0""")
+def section_violations(spark, sf_dir):
+    """The violations of documents whose second part has a planted fault in its sections; the others have none."""
+    raw = F
+    for n, was, now, _ in SECTION_FAULTS:
+        raw = raw.when((F.col("doc_id") % 8 == n) & (F.col("k") == 1) & ~F.contains("raw", F.lit('"content":""')), F.replace("raw", F.lit(was), F.lit(now)))
+    parts = sectioned_parts(spark, sf_dir).withColumn("raw", raw.otherwise(F.col("raw")))
+    return assembly.merged(parts, unit=units.CODE_POINTS)[2].select("doc_id", F.col("k").cast("bigint").alias("k"), "code")
+
+
 def spoilt(column, faults):
     """The text with what is replaced in documents doc_id % 16 = n; faults are (n, was, now) of distinct n."""
     out = F

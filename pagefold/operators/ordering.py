@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def keeps(order: list[str], given: list[str]) -> bool:
@@ -49,12 +50,23 @@ def union(lists: list[list[str]]) -> list[str] | None:
 def member_orders(members: DataFrame, doc: str, part: str, at: str, name: str) -> DataFrame:
     """(doc, names): the merged member order of each document's parts; null where they contradict (V14).
 
-    A document has a few members a part, so its group is small whatever the corpus.
+    Spark gathers each document's distinct lists of names; the few that a corpus has are united once in a task each.
     """
+    lists = members.groupBy(doc, part).agg(F.array_sort(F.collect_list(F.struct(at, name))).alias("own"))
+    lists = lists.select(doc, part, F.transform("own", lambda m: m[name]).alias("own"))
+    whole = lists.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(part, "own"))).alias("lists"))
+    whole = whole.select(F.col(doc).alias("doc"), F.array_distinct(F.transform("lists", lambda p: p["own"])).alias("lists"))
 
-    def run(key, frame):
-        lists = [g[name].tolist() for _, g in frame.sort_values([part, at]).groupby(part, sort=True)]
-        return pd.DataFrame({doc: [key[0]], "names": [union(lists)]})
+    def run(batches):
+        known: dict = {}
+        for b in batches:
+            told = []
+            for given in b.column(1).to_pylist():
+                key = tuple(map(tuple, given))
+                if key not in known:
+                    known[key] = union(given)
+                told.append(known[key])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(told, pa.list_(pa.string()))], ["doc", "names"])
 
     kind = members.schema[doc].dataType.simpleString()
-    return members.select(doc, part, at, name).groupBy(doc).applyInPandas(run, f"{doc} {kind}, names array<string>")
+    return whole.mapInArrow(run, f"doc {kind}, names array<string>").withColumnRenamed("doc", doc)

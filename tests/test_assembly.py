@@ -48,6 +48,8 @@ def test_members_are_united_in_order_and_markdown_is_joined_as_it_is_spelled(spa
     assert '\\u003cp\\u003e\\n\\u003c!-- PageBreak --\\u003e\\nq' in got[1]
 
 
+SECTIONS = '[{"spans":[{"offset":0,"length":2}],"elements":["/sections/1"]},{"spans":[{"offset":0,"length":2}],"elements":["/paragraphs/0"]}]'
+
 FAULTS = {
     "V03": (part([1])[:-1], None), "V04": (part([1], extra=',"\\u0061":1'), None), "V05": (part([1], extra=',"modelId":"m"'), None), "V06": (part([1], pages="{}"), None),
     "V07": (part([1], pages="[{}]"), None), "V08": (part([1], pages='[{"pageNumber":1.0}]'), None), "V09": (part([1]).replace('"content"', '"contents"'), None),
@@ -55,7 +57,11 @@ FAULTS = {
     "V13": (part([1], extra=',"z":[]'), part([1], extra=',"z":1')), "V14": (part([1], extra=',"z":[],"y":[]'), part([1], extra=',"y":[],"z":[]')), "V16": (part([1, 2]), None),
     "V17": (part([4]), None), "V18": (part([1], stringIndexType='"utf16CodeUnit"'), part([1], stringIndexType='"utf16CodeUnit"')), "V19": (part([1], contentFormat='"rtf"'), part([1], contentFormat='"rtf"')),
     "V21": (part([1]).replace('"length":2', '"length":3'), None), "V29": (part([1], figures='[{"span":{"offset":0.5}}]'), None), "V30": (part([1], tables='[{"boundingRegions":[{"pageNumber":2}]}]'), None),
-    "V31": (part([1], figures='[{"elements":["/paragraphs/1"]}]'), None), "V32": (part([1], figures='[{"id":"1"}]'), None), "sections": (part([1], sections="[{}]"), part([1], sections="[{}]")),
+    "V31": (part([1], figures='[{"elements":["/paragraphs/1"]}]'), None), "V32": (part([1], figures='[{"id":"1"}]'), None), "V22": (part([1], sections=SECTIONS), None),
+    "V23": (part([1], sections='[{"spans":[],"spans":[]}]'), part([1], sections=SECTIONS)), "V24": (part([1], sections='[{"spans":[{"offset":0,"length":2,"x":1}]}]'), part([1], sections=SECTIONS)),
+    "V25": (part([1], sections='[{"spans":[{"offset":0,"length":3}]}]'), part([1], sections=SECTIONS)), "V26": (part([1], sections=SECTIONS), part([1], sections=SECTIONS.replace('2}],"elements":["/p', '9}],"elements":["/p'))),
+    "V27": (part([1], sections=SECTIONS), part([1], sections=SECTIONS.replace('["/sections/1"]', '["/paragraphs/7","/sections/1"]'))),
+    "V28": (part([1], sections=SECTIONS), part([1], sections='[{"elements":[],"spans":[{"offset":0,"length":2}]}]')),
 }
 
 
