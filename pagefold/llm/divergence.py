@@ -111,7 +111,7 @@ def kept_counts(counts: DataFrame, shards: int, least_docs: int) -> DataFrame:
                 waits += b.num_rows
                 if waits > max(HELD_ROWS, most):
                     db.execute(f"CREATE OR REPLACE TABLE seen AS {SUMMED}")
-                    waits, most = 0, db.execute("SELECT count(*) FROM seen").fetchone()[0]
+                    waits, most = 0, db.execute("SELECT count(*) FROM seen").fetchall()[0][0]
             db.execute(f"CREATE OR REPLACE TABLE seen AS {SUMMED}")
             yield from arrow(db, KEPT_SQL.format(least=least_docs), ("lang", "source", "term", "n")).to_batches()
 

@@ -60,7 +60,8 @@ def brute(rows, least, prior, top):
 def test_equal_brute_force_in_one_and_many_shards(spark, monkeypatch, seed, cells, held):
     monkeypatch.setattr(divergence, "SHARD_CELLS", cells)
     monkeypatch.setattr(divergence, "HELD_TERMS", held)
-    monkeypatch.setattr(divergence, "HELD_ROWS", 40 if held == 5 else 10**6)
+    monkeypatch.setattr(divergence, "HELD_ROWS", 4 if held == 5 else 10**6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7 if held == 5 else 10_000)
     rows = made(seed)
     found = divergence.divergence(spark.createDataFrame(rows, KIND).repartition(5), least_docs=9, top_terms=6).collect()
     assert sorted(tuple(r) for r in found) == brute(rows, 9, 5, 6)
@@ -96,4 +97,4 @@ def test_arithmetic_is_exact_beyond_64_bits(spark):
         db.execute("CREATE TABLE kept AS SELECT 'l' AS lang, NULL::VARCHAR AS source, 't' AS term, 4000000000000000001::BIGINT AS n")
         db.execute("CREATE TABLE groups AS SELECT 'l' AS lang, NULL::VARCHAR AS source, 4000000000000000007::BIGINT AS total, 1::BIGINT AS terms")
         db.execute(divergence.SHARES_SQL.format(scale=10**9, prior=5))
-        assert db.execute("SELECT p FROM shares").fetchone()[0] == 1 + 10**9 * 4000000000000000006 // 4000000000000000012
+        assert db.execute("SELECT p FROM shares").fetchall()[0][0] == 1 + 10**9 * 4000000000000000006 // 4000000000000000012
