@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +18,13 @@ from pyspark.sql import functions as F
 from pagefold.llm.common import pieces, table
 
 # Element classes of HTML.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-RAW = frozenset("script style noscript template iframe object svg math select button textarea title audio video canvas".split())
-NESTED = frozenset("object svg math template".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics".split()
+)
+#: Elements without text of their own: what is run or drawn, what a form offers, and a formula's other spellings.
+RAW = frozenset("script style noscript template iframe object svg select button textarea title audio video canvas annotation annotation-xml".split())
+NESTED = frozenset("object svg template".split())
 MAIN = frozenset("article main".split())
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,9 +44,14 @@ PLACES = frozenset(
 )
 # Words that turn a hint behind them, or before them, into a state of the page ("has-sidebar", "ad-free").
 STATES, STATES_BEHIND = frozenset("has have no non not with without".split()), frozenset("free less".split())
+# Words that name furniture at a name's end, whatever stands before them ("user-comments"), or at its beginning.
+ENDINGS = frozenset("comments comment replies disqus sidebar navbar nav breadcrumb breadcrumbs ads advert adverts advertisement advertisements newsletter".split())
+BEGINNINGS = frozenset("comments comment disqus".split())
 BODY_HINTS = frozenset("article post entry story articlebody".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
+#: A quotation mark opens a value only behind "="; elsewhere, and where nothing closes it, it is a character like others.
+ATTRIBUTES = r"""((?:[^>=]++|=[ \t\r\n\f]*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)?+)*+)"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+){ATTRIBUTES}>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s/=]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in ("script", "style")}
@@ -214,6 +224,7 @@ def hints(attributes: str) -> tuple[bool, bool, bool]:
             # The whole name must be furniture: "related-posts" is, "related-work" is not.
             plain = all(p in HINTS or p in PLACES for p in parts)
             furniture |= plain and any(p in HINTS and STATES_BEHIND.isdisjoint(parts[i + 1 : i + 2]) for i, p in enumerate(parts))
+            furniture |= bool(parts) and (parts[-1] in ENDINGS or parts[0] in BEGINNINGS and STATES_BEHIND.isdisjoint(parts)) and STATES.isdisjoint(parts)
             body |= not BODY_HINTS.isdisjoint(parts) and m[1].lower() == "class"
     return hidden, furniture, body and not furniture and not hidden
 
@@ -236,6 +247,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, in main, in furniture, heading) of every block that has text, in page order."""
     out, held, linked = [], [], []
     open_: list[tuple[str, bool, bool, bool, int]] = []  # tag, main, furniture, hinted furniture, hinted outside
+    opened: Counter[str] = Counter()  # tags of open_
     main = furniture = hinted = link = 0  # hinted: furniture by class, id or role alone, inside the nearest MAIN element
     wrapped = 0  # hinted furniture around the MAIN elements that are open
     heading = False
@@ -256,6 +268,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     def leave() -> str:
         nonlocal main, furniture, hinted, wrapped
         tag, was_main, was_furniture, was_hinted, outside = open_.pop()
+        opened[tag] -= 1
         main -= was_main
         furniture -= was_furniture
         hinted += outside - was_hinted
@@ -294,7 +307,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                         at = next_tag if next_tag >= 0 else end
                     else:  # left open: an ordinary container
                         flush()
-            if tag not in ("svg", "math", "select", "button"):
+            if tag not in ("svg", "select", "button"):
                 continue
             held.append(" ")
         elif tag == "a":
@@ -310,23 +323,24 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             elif closing:
                 heading = False
             if closing:
-                if any(o[0] == tag for o in open_):
+                if opened[tag]:
                     while leave() != tag:
                         pass
             elif tag not in VOID and tag not in ("p", "li", "html", "head", "body", *HEADINGS):
                 while open_ and open_[-1][0] in ENDS.get(tag, ()):
                     leave()
                 hidden, named, body = hints(attributes) if attributes else (False, False, False)
-                is_furniture = tag in FURNITURE or (tag == "header" and not main) or hidden and tag not in MAIN
+                is_furniture = tag in FURNITURE or (tag == "header" and not main) or hidden and not main and tag not in MAIN
                 is_hinted = not is_furniture and named and tag not in MAIN
                 is_main = not is_furniture and not is_hinted and (tag in MAIN or body)
                 outside = hinted if tag in MAIN else 0
                 open_.append((tag, is_main, is_furniture, is_hinted, outside))
+                opened[tag] += 1
                 main += is_main
                 furniture += is_furniture
                 hinted += is_hinted - outside
                 wrapped += outside
-            elif attributes and tag in ("p", "li") and any(hints(attributes)[:2]):
+            elif attributes and tag in ("p", "li") and any(hints(attributes)[1 if main else 0 : 2]):
                 # Furniture of one block: it ends where the next block begins.
                 close = re.compile(rf"</?(?:{tag}|div|section|article|main|footer|aside|nav|ul|ol)\b", re.IGNORECASE).search(page, at)
                 at = close.start() if close else end
@@ -342,11 +356,13 @@ def main_text(page: str | None, tree) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """(id, *keep, text) of every page, one row for each input row.
+    """(id, *keep, text) of every page, one row for each input row; `keep` may not name a column called text.
 
-    A null or empty page, or one without main text, gives ''.  Character references are decoded, white space in a
+    Words that the article hides stay, as do formulas; what a form's controls say goes.  A null or empty page, or one without main text, gives ''.  Character references are decoded, white space in a
     block is one space, blocks are joined by an empty line.  Rows that repeat stay; other columns are not read.
     """
+    if "text" in (id_col, *keep):
+        raise ValueError("a kept column is called text, as the result's own is: rename it first")
     rows = pages.select(id_col, *keep, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("__html"))
     at, tree = len(keep) + 1, fitted()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", text string"
