@@ -236,20 +236,45 @@ def shredded_values(spark, sf_dir):
     return rows.groupBy("path", "pattern", "kind").agg(F.count("*").alias("n"), F.md5(F.array_join(raw, ",")).alias("raw_md5"))
 
 
-@query("""WITH d AS (SELECT event_id, CASE event_id % 6 WHEN 1 THEN [('.kind', '.kind', 'changed', event_type, 'other')] WHEN 2 THEN [('.tags', '.tags', 'length', '3 items', '2 items')] WHEN 3 THEN [('.deep', '.deep', 'missing', '1 items', NULL)]
-        WHEN 4 THEN [('.none', '.none', 'type', '0 items', 'null'), ('.new', '.new', 'added', NULL, '1 items')] ELSE [] END AS found FROM events), u AS (SELECT event_id, unnest(found) AS f FROM d)
-    SELECT event_id, f[1] AS path, f[3] AS kind, f[4] AS whole, f[5] AS split FROM u""")
-def json_diff(spark, sf_dir):
-    """Documents against copies of which some are changed, cut, extended or respelled."""
-    docs = event_documents(spark, sf_dir)
-    part = F.col("event_id") % 6
+def changed_documents(spark, sf_dir):
+    """(event_id, doc, copy): documents with a text beyond 4 KiB, and copies of which some are changed, cut, extended or respelled."""
+    docs = event_documents(spark, sf_dir).withColumn("doc", F.replace("doc", F.lit('"none":{}'), F.concat(F.lit('"long":"'), F.repeat(F.lit("0123456789"), F.when(F.col("event_id") % 8 == 5, 410).otherwise(1)), F.col("event_id"), F.lit('", "none":{}'))))
+    part = F.col("event_id") % 8
     copy = (
         F.when(part == 0, F.replace("doc", F.lit("1.50"), F.lit("15e-1"))).when(part == 1, F.regexp_replace("doc", '"kind" : "[a-z]+"', '"kind":"other"'))
         .when(part == 2, F.regexp_replace("doc", " , [0-9]+\\]", "]")).when(part == 3, F.regexp_replace("doc", ', "deep":.*', "}"))
-        .when(part == 4, F.replace("doc", F.lit('"none":{}'), F.lit('"new":[{"a":1}], "none":null'))).otherwise(F.col("doc"))
+        .when(part == 4, F.replace("doc", F.lit('"none":{}'), F.lit('"new":[{"a":1}], "none":null'))).when(part == 5, F.replace("doc", F.lit('", "none"'), F.lit('x", "none"')))
+        .when(part == 6, F.regexp_replace("doc", '^\\{ "id":([0-9]+), "kind" : ("[a-z]+")', '{ "kind":$2, "id":$1')).otherwise(F.col("doc"))
     )
-    side = lambda d: shred.shred(d, "event_id", "doc", containers=True)
-    return shred.json_differences(side(docs), side(docs.select("event_id", copy.alias("doc"))), "event_id").drop("pattern")
+    return docs.withColumn("copy", copy)
+
+
+LONG = "repeat('0123456789', 410) || event_id"
+
+
+@query(f"""WITH d AS (SELECT event_id, CASE event_id % 8 WHEN 1 THEN [('.kind', '.kind', 'changed', event_type, 'other')] WHEN 2 THEN [('.tags', '.tags', 'length', '3 items', '2 items')] WHEN 3 THEN [('.deep', '.deep', 'missing', '1 items', NULL)]
+        WHEN 4 THEN [('.none', '.none', 'type', '0 items', 'null'), ('.new', '.new', 'added', NULL, '1 items')] WHEN 5 THEN [('.long', '.long', 'changed', {LONG}, {LONG} || 'x')] ELSE [] END AS found FROM events), u AS (SELECT event_id, unnest(found) AS f FROM d)
+    SELECT event_id, f[1] AS path, 'document-level' AS level, f[3] AS kind, f[4] AS whole, f[5] AS split FROM u""")
+def json_diff(spark, sf_dir):
+    return shred.document_differences(changed_documents(spark, sf_dir), "event_id", "doc", "copy").drop("pattern")
+
+
+@query(f"""WITH d AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN [('.n', '1.50', '15e-1')] WHEN 1 THEN [('.kind', '"' || event_type || '"', '"other"')] WHEN 2 THEN [('.tags (length)', '3', '2')]
+        WHEN 3 THEN [(' (member order)', 'id,kind,n,tags,long,none,deep', 'id,kind,n,tags,long,none')] WHEN 4 THEN [(' (member order)', 'id,kind,n,tags,long,none,deep', 'id,kind,n,tags,long,new,none,deep'), ('.none', '{{}}', 'null')]
+        WHEN 5 THEN [('.long', left('"' || {LONG}, 160) || '…', left('"' || {LONG}, 160) || '…')] WHEN 6 THEN [(' (member order)', 'id,kind,n,tags,long,none,deep', 'kind,id,n,tags,long,none,deep')] ELSE [] END AS found FROM events),
+    u AS (SELECT event_id, unnest(found) AS f FROM d) SELECT event_id, f[1] AS path, f[2] AS whole, f[3] AS split FROM u""")
+def exact_diff(spark, sf_dir):
+    """Where documents and their copies are spelled differently, the order of members included."""
+    return shred.exact_differences(changed_documents(spark, sf_dir), "event_id", "doc", "copy")
+
+
+@query("""WITH m(name, n) AS (VALUES ('id', 9), ('kind', 1), ('n', 0), ('tags', 2), ('long', 5), ('none', 4), ('deep', 3))
+    SELECT event_id, name AS member, event_id % 8 <> m.n AS identical, CAST(CASE WHEN event_id % 8 = m.n THEN 1 ELSE 0 END AS BIGINT) AS n, CASE WHEN event_id % 8 = m.n THEN name || CASE WHEN name = 'tags' THEN ' (length)' ELSE '' END ELSE '' END AS paths FROM events, m
+    UNION ALL SELECT event_id, 'new', false, 1, 'new' FROM events WHERE event_id % 8 = 4""")
+def member_comparison(spark, sf_dir):
+    """Documents and their copies compared member by member."""
+    found = shred.member_report(changed_documents(spark, sf_dir), "event_id", "doc", "copy")
+    return found.withColumn("paths", F.array_join("paths", ","))
 
 
 @query("""SELECT page_id, '{"url":"<base>/x","id":"<guid>", "at" : "<datetime:2006-01-02T15:04:05.00Z>","n":1e-07,"seen":["at 2024-05-06T07:08:09Z"]}' AS doc FROM pages""")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from pagefold.functions import jsontext, text
+from pagefold.functions import jsontext, jsontree, text
 
 MALFORMED = "Malformed"
 PLAIN_NAME = re.compile(r'[^.\[\]"\\]+')
@@ -31,10 +34,8 @@ def scalars(document: str, containers: bool = False):
         if items > 0 and not containers:
             continue
         raw = document[begin:end]
-        if kind == "String":
-            raw = jsontext.plain(raw)
-        elif kind == "LongString":
-            raw = None
+        if kind in ("String", "LongString"):
+            kind, raw = "String", jsontext.plain(raw)
         elif items >= 0:
             raw = str(items) if containers else raw[0] + raw[-1]
         names = tuple(jsontext.plain(f'"{p}"') if isinstance(p, str) and "\\" in p else p for p in path)
@@ -170,23 +171,100 @@ def json_differences(whole: DataFrame, split: DataFrame, doc: str) -> DataFrame:
     return found.select(doc, "path", "pattern", "kind", shown("w").alias("whole"), shown("s").alias("split"))
 
 
-def exact_differences(whole: DataFrame, split: DataFrame, doc: str, limit: int = 20) -> DataFrame:
-    """(doc, path, whole, split): values whose place among the document's values or whose spelling differs, the first few of each document."""
-    side = lambda d, n: d.select(doc, "ord", "path", F.concat_ws(":", "kind", "raw").alias(n))
-    both = side(whole, "whole").join(side(split, "split"), [doc, "ord", "path"], "full").where(~F.col("whole").eqNullSafe(F.col("split")))
-    nth = F.row_number().over(Window.partitionBy(doc).orderBy("ord", "path"))
-    return both.withColumn("nth", nth).where(F.col("nth") <= limit).select(doc, "path", "whole", "split")
+#: Members, at a path's top or anywhere in it, that a page's own analysis decides.
+PAGE_TOPS, PAGE_PARTS = frozenset(("pages", "readResults", "figures")), "boundingRegions"
+
+
+def level_of(path: tuple) -> str:
+    """Whether a page decides a value by itself (`page-level`) or the document as a whole does (`document-level`)."""
+    names = [p for p in path if isinstance(p, str)]
+    page = names and (names[0] in PAGE_TOPS or PAGE_PARTS in names or names[0] == "tables" and "cells" in names)
+    return "page-level" if page else "document-level"
+
+
+def as_number(raw: str):
+    value = float(raw)
+    return raw if value in (float("inf"), float("-inf")) else value
+
+
+def value_differences(whole: jsontree.Node | None, split: jsontree.Node | None, path: tuple = ()):
+    """(path, kind, whole, split) of two trees, as json_differences tells them; a missing tree is a malformed text."""
+    show = lambda n: n and (f"{len(n.items)} items" if n.kind in ("Object", "Array") else jsontext.plain(n.raw) if n.kind == "String" else n.raw)
+    if whole is None or split is None or whole.kind != split.kind:
+        if whole is not split:
+            yield path, "type", show(whole), show(split)
+    elif whole.kind == "Object":
+        mine, other = members_of(whole), members_of(split)
+        for key, value in mine.items():
+            if key in other:
+                yield from value_differences(value, other[key], (*path, key[0]))
+            else:
+                yield (*path, key[0]), "missing", show(value), None
+        yield from (((*path, key[0]), "added", None, show(value)) for key, value in other.items() if key not in mine)
+    elif whole.kind == "Array":
+        if len(whole.items) != len(split.items):
+            yield path, "length", show(whole), show(split)
+        for i, (a, b) in enumerate(zip(whole.items, split.items, strict=False)):
+            yield from value_differences(a, b, (*path, i))
+    elif show(whole) != show(split) and not (whole.kind == "Number" and as_number(whole.raw) == as_number(split.raw)):
+        yield path, "changed", show(whole), show(split)
+
+
+def members_of(node: jsontree.Node) -> dict:
+    """An object's members by name and by how often the name came before."""
+    seen, out = {}, {}
+    for key, value in zip(node.keys, node.items, strict=True):
+        key = jsontext.plain(f'"{key}"') if "\\" in key else key
+        seen[key] = seen.get(key, 0) + 1
+        out[key, seen[key]] = value
+    return out
+
+
+def compared(docs: DataFrame, doc: str, whole: str, split: str, told, schema: str) -> DataFrame:
+    """(doc, *schema): the rows that told(whole tree, split tree) gives for the two texts of each row.
+
+    Both sides of a document are compared in one task, so that nothing but differences leaves it.  A null or malformed
+    text is None; two of them are alike.
+    """
+    rows = docs.select(F.col(doc).alias("doc"), F.col(whole).alias("whole"), F.col(split).alias("split"))
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for b in batches:
+            out = [(i, *row) for i, (w, s) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)) for row in told(jsontree.parsed(w), jsontree.parsed(s))]
+            at, *columns = zip(*out, strict=True) if out else [()] * (1 + len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), f.type) for c, f in zip(columns, target, strict=True))], ["doc", *names])
+
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, {schema}").withColumnRenamed("doc", doc)
+
+
+def document_differences(docs: DataFrame, doc: str, whole: str, split: str) -> DataFrame:
+    """(doc, path, pattern, level, kind, whole, split) of the two texts of each row: json_differences without a shuffle."""
+
+    def told(w, s):
+        for path, *rest in value_differences(w, s):
+            yield spelled_path(path), spelled_path(path, "[*]"), level_of(path), *rest
+
+    return compared(docs, doc, whole, split, told, "path string, pattern string, level string, kind string, whole string, split string")
+
+
+def exact_differences(docs: DataFrame, doc: str, whole: str, split: str, limit: int = 20) -> DataFrame:
+    """(doc, path, whole, split): where the two texts of each row are spelled differently, the first `limit` of a document.
+
+    The order of members counts, white space between tokens does not.
+    """
+    return compared(docs, doc, whole, split, lambda w, s: itertools.islice(jsontree.differences(w, s), limit), "path string, whole string, split string")
+
+
+def member_report(docs: DataFrame, doc: str, whole: str, split: str, most: int = 12) -> DataFrame:
+    """(doc, member, identical, n, paths): each top-level member of the two texts of a row, with its first differing paths."""
 
+    def told(w, s):
+        for member, identical, found in jsontree.report(w, s):
+            yield member, identical, len(found), [p for p, *_ in found[:most]]
 
-def member_report(whole: DataFrame, split: DataFrame, doc: str, shown: int = 12) -> DataFrame:
-    """(doc, top, identical, n, paths): each top-level member of two shredded relations, with its first differing paths."""
-    tops = whole.select(doc, "top").unionByName(split.select(doc, "top")).distinct()
-    side = lambda d, n: d.select(doc, "top", "path", F.struct("kind", "raw").alias(n))
-    differ = side(whole, "w").join(side(split, "s"), [doc, "top", "path"], "full").where(~F.col("w").eqNullSafe(F.col("s")))
-    ranked = differ.withColumn("nth", F.row_number().over(Window.partitionBy(doc, "top").orderBy("path")))
-    kept = ranked.groupBy(doc, "top").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("nth") <= shown, F.col("path")))).alias("paths"))
-    out = tops.join(kept, [doc, "top"], "left")
-    return out.select(doc, "top", F.col("n").isNull().alias("identical"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("paths", F.array().cast("array<string>")).alias("paths"))
+    return compared(docs, doc, whole, split, told, "member string, identical boolean, n bigint, paths array<string>")
 
 
 def verdict(whole_ok: Column, split_ok: Column, n_differences: Column) -> Column:

@@ -42,15 +42,50 @@ def test_spelling_duplicates_limits_and_refusals(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     rows = shred.shred(frame, "id", "text")
     kinds = {(r.id, r.path, r.kind, r.raw) for r in rows.collect()}
-    assert {(0, ".a", "Number", "1.50"), (0, ".a", "Number", "1e-07"), (0, ".b.c[0]", "Bool", "true"), (4, "", "LongString", None)} <= kinds
+    assert {(0, ".a", "Number", "1.50"), (0, ".a", "Number", "1e-07"), (0, ".b.c[0]", "Bool", "true"), (4, "", "String", "s" * 5000)} <= kinds
     assert {i for i, _, k, _ in kinds if k == shred.MALFORMED} == {1, 2, 3, 5}
     assert [tuple(r) for r in shred.duplicates(rows, "id").collect()] == [(0, ".a", 2)]
     assert {r.path for r in shred.shred(frame.where("id = 0"), "id", "text", under=("b",)).collect()} == {".b.c[0]"}
 
 
 def compared(spark, a, b):
+    """Both ways of comparing give the same."""
     side = lambda t: shred.shred(spark.createDataFrame([(1, t)], "id int, text string"), "id", "text", containers=True)
-    return {(r.path, r.pattern, r.kind, r.whole, r.split) for r in shred.json_differences(side(a), side(b), "id").collect()}
+    found = {(r.path, r.pattern, r.kind, r.whole, r.split) for r in shred.json_differences(side(a), side(b), "id").collect()}
+    both = spark.createDataFrame([(1, a, b)], "id int, whole string, split string")
+    assert found == {(r.path, r.pattern, r.kind, r.whole, r.split) for r in shred.document_differences(both, "id", "whole", "split").collect()}
+    return found
+
+
+def test_long_strings_are_compared_whole(spark):
+    a, b = (json.dumps({"content": "s" * 5000 + c, "n": 1}) for c in "xy")
+    assert compared(spark, a, b) == {(".content", ".content", "changed", "s" * 5000 + "x", "s" * 5000 + "y")} and compared(spark, a, a) == set()
+    assert {r[2] for r in compared(spark, a, json.dumps({"content": "s" * 4000, "n": 1.0}))} == {"changed"}
+    both = spark.createDataFrame([(1, a, b)], "id int, whole string, split string")
+    assert [r.path for r in shred.exact_differences(both, "id", "whole", "split").collect()] == [".content"]
+    assert {r.member: (r.identical, r.n) for r in shred.member_report(both, "id", "whole", "split").collect()} == {"content": (False, 1), "n": (True, 0)}
+
+
+def test_differences_of_random_documents(spark):
+    rng = random.Random(3)
+    pairs = []
+    for i in range(150):
+        a = value(rng)
+        b = json.loads(json.dumps(a))
+        if isinstance(b, dict) and b:
+            b[rng.choice(list(b))] = value(rng)
+        pairs.append((i, json.dumps(a), json.dumps(b if rng.random() < 0.7 else value(rng))))
+    pairs += [(900, None, "{}"), (901, "{", None), (902, "", "[")]
+    docs = spark.createDataFrame(pairs, "id int, whole string, split string")
+    side = lambda c: shred.shred(docs.select("id", c), "id", c, containers=True)
+    key = lambda rows: sorted(((r.id, r.path, r.pattern, r.kind, r.whole, r.split) for r in rows), key=str)
+    assert key(shred.json_differences(side("whole"), side("split"), "id").collect()) == key(shred.document_differences(docs, "id", "whole", "split").collect())
+
+
+def test_levels():
+    paths = {("pages", 0, "angle"): "page", ("readResults", 1): "page", ("figures",): "page", ("paragraphs", 3, "boundingRegions", 0): "page", ("tables", 0, "cells", 2, "content"): "page"}
+    paths |= {("tables", 0, "rowCount"): "document", ("paragraphs", 3, "role"): "document", (): "document", ("sections", 0): "document"}
+    assert {p: shred.level_of(p) for p in paths} == {p: f"{level}-level" for p, level in paths.items()}
 
 
 def test_differences(spark):
@@ -75,10 +110,18 @@ def test_members_masks_and_reports(spark):
     want = '{ "t":"<datetime:2006-01-02 15:04:05.000-07:00>" ,"u":["<base>/<guid>"], "n":1e-07}'
     got = shred.masked(spark.createDataFrame([(1, odd), (2, "{"), (3, None)], "id int, text string"), "text", "http://h").orderBy("id").collect()
     assert [r.text for r in got] == [want, None, None]
-    side = lambda t: shred.shred(spark.createDataFrame([(1, t)], "id int, text string"), "id", "text")
-    a, b = side('{"p":[1,2],"q":1}'), side('{"p":[1,3],"q":1}')
-    assert {(r.top, r.identical, r.n, tuple(r.paths)) for r in shred.member_report(a, b, "id").collect()} == {("p", False, 1, (".p[1]",)), ("q", True, 0, ())}
-    assert [tuple(r)[1:] for r in shred.exact_differences(side('{"p":1.0}'), side('{"p":1}'), "id").collect()] == [(".p", "Number:1.0", "Number:1")]
+    rows = [(1, '{"p":[1,2],"q":1}', '{"p":[1,3] , "q":1}'), (2, '{"p":1.0,"a":{"x":1,"y":2},"l":[1]}', '{"p":1,"a":{"y":2,"x":1},"l":[1,2],"new":0}'), (3, "[1]", "[2]"), (4, None, "{}"), (5, "{", None)]
+    both = spark.createDataFrame(rows, "id int, whole string, split string")
+    found = [tuple(r) for r in shred.member_report(both, "id", "whole", "split").collect()]
+    assert found == [
+        (1, "p", False, 1, ["p[1]"]), (1, "q", True, 0, []), (2, "p", False, 1, ["p"]), (2, "a", False, 1, ["a (member order)"]), (2, "l", False, 1, ["l (length)"]), (2, "new", False, 1, ["new"]),
+        (3, "(result)", False, 1, ["(result)"]), (4, "(result)", False, 1, ["(result)"]), (5, "(result)", False, 1, ["(result)"]),
+    ]
+    exact = [tuple(r) for r in shred.exact_differences(both, "id", "whole", "split").collect()]
+    assert exact == [
+        (1, ".p[1]", "2", "3"), (2, " (member order)", "p,a,l", "p,a,l,new"), (2, ".p", "1.0", "1"), (2, ".a (member order)", "x,y", "y,x"), (2, ".l (length)", "1", "2"), (3, "[0]", "1", "2"), (4, "", None, "{}"),
+    ]
+    assert shred.exact_differences(both, "id", "whole", "split", limit=2).where("id = 2").count() == 2
 
 
 @pytest.mark.parametrize("text", ["", "01", "1 2", "[1,]", '{"a":1,}', '{"a"}', "{1:2}", '"\\x"', '"a\nb"', "tru", "[", '{"a":', "-", "1.", "nan", '"' + "a", "1" * 5000, "[" * 10_001])
