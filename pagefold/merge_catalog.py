@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagefold.catalog import ATTEMPTS, JOBS, NOW, P, attempt_log, job_rows, order_pages, query, read
 from pagefold.functions import pages, policy, text, units
 from pagefold.operators import attempts, diffing, invariants, jobs, metrics, planning, shred
-from pagefold.plans import assembly
+from pagefold.plans import assembly, cutting
 
 
 def quoted(column):
@@ -59,7 +59,8 @@ TREES = """case when {k} % 3 = 0 then concat(',"sections":[{{"spans":[{{"offset"
 def sectioned_parts(spark, sf_dir):
     """(doc_id, k, planned, raw): every turn as a result with sections; the turns of a section are a heading's and those behind it."""
     parts = conversation_parts(spark, sf_dir).withColumn("n", F.length("text"))
-    heading = F.replace("raw", F.lit('"paragraphs":['), F.lit('"paragraphs":[{"role":"sectionHeading","spans":[]},'))
+    parts = parts.withColumn("raw", F.replace("raw", F.lit('"id":"1.7"'), F.lit('"id":"1.7","boundingRegions":[{"pageNumber":1}]')))
+    heading = F.replace("raw", F.lit('"paragraphs":['), F.lit('"paragraphs":[{"role":"sectionHeading","spans":[],"boundingRegions":[{"pageNumber":1}]},'))
     raw = F.expr(f"concat(substring(raw, 1, length(raw) - 1), {TREES.format(k='k', n='n')})")
     return parts.withColumn("raw", F.when(F.col("k") % 3 == 0, heading).otherwise(F.col("raw"))).select("doc_id", "k", "planned", raw.alias("raw"))
 
@@ -79,6 +80,51 @@ def merged_sections(spark, sf_dir):
     return found.where(F.size("codes") == 0).select("doc_id", F.md5(F.left(tree, F.length(tree) - 1)).alias("sections_md5"), F.get(n, F.lit(0))["items"].alias("items"))
 
 
+@query("SELECT conv_id AS doc_id, count(*) AS pages, ceil(count(*) / 2.0)::BIGINT AS parts, true AS same FROM conversations GROUP BY conv_id")
+def layout_round_trip(spark, sf_dir):
+    """Whole results with sections, figures and pointers, cut into parts of two pages and merged again, equal in every byte."""
+    whole = assembly.merged(sectioned_parts(spark, sf_dir), unit=units.CODE_POINTS)[0].select("doc_id", "result", "pages")
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("pages") - 1) / 2))
+    planned = F.sequence(2 * F.col("k") + 1, F.least(2 * F.col("k") + 2, F.col("pages")))
+    plan = whole.select("doc_id", "pages", F.explode(numbers).alias("k")).select("doc_id", "k", planned.alias("planned"))
+    again = assembly.documents(cutting.cut(whole, plan, units.CODE_POINTS), unit=units.CODE_POINTS)
+    sides = whole.select("doc_id", "pages", F.md5("result").alias("a")).join(again.select("doc_id", F.md5("result").alias("b")), "doc_id")
+    parts = plan.groupBy("doc_id").agg(F.count("*").alias("parts"))
+    return sides.join(parts, "doc_id").select("doc_id", "pages", "parts", (F.col("a") == F.col("b")).alias("same"))
+
+
+#: Faults that are put in the whole results of the documents doc_id % 8 = n: what is replaced, by what, and the first problem.
+CUT_FAULTS = (
+    (1, '"id":"1.7"', '"id":"1"', 'figures[0].id "1" is not <page>.<n>'), (2, '"figures":[', '"figures":[{"elements":["/pages/0"]},', 'figures[0].elements[0] "/pages/0" points into pages, which the cut does not renumber'),
+    (3, '"pageNumber":1,"unit"', '"pageNumber":0,"unit"', "pages[0].pageNumber 0 is not a page number"), (4, '"content":', '"contents":', "content (absent) is no text"),
+    (5, '"stringIndexType":"unicodeCodePoint"', '"stringIndexType":"words"', 'stringIndexType "words" is not the unit that the cut counts in'), (6, '"figures":[', '"styles":0,"figures":[', "styles is 0, not an array"),
+)
+
+
+@query("WITH f(n, problem) AS (VALUES " + ", ".join(f"({n}, '{problem}')" for n, _, _, problem in CUT_FAULTS) + """)
+    SELECT conv_id AS doc_id, problem FROM (SELECT DISTINCT conv_id FROM conversations) JOIN f ON conv_id % 8 = n""")
+def cut_problems(spark, sf_dir):
+    """The first problem of each whole result that cannot be cut; bad results are rows and end nothing."""
+    whole = assembly.merged(sectioned_parts(spark, sf_dir), unit=units.CODE_POINTS)[0]
+    raw = F
+    for n, was, now, _ in CUT_FAULTS:
+        raw = raw.when(F.col("doc_id") % 8 == n, F.replace(F.col("result"), F.lit(was), F.lit(now)))
+    plan = whole.select("doc_id", F.lit(0).alias("k"), F.sequence(F.lit(1).cast("bigint"), F.col("pages")).alias("planned"))
+    cut = cutting.cut(whole.select("doc_id", raw.otherwise(F.col("result")).alias("result")), plan, units.CODE_POINTS)
+    return cut.where(F.size("problems") > 0).select("doc_id", F.get("problems", F.lit(0)).alias("problem"))
+
+
+@query("SELECT conv_id AS doc_id, 2 * count(*) AS pages, 2 * count(*) AS figures, true AS numbered FROM conversations GROUP BY conv_id")
+def composed_results(spark, sf_dir):
+    """Each document's whole result twice, as one of twice the pages; its figures' ids name their own pages."""
+    whole = assembly.merged(conversation_parts(spark, sf_dir), unit=units.CODE_POINTS)[0]
+    twice = whole.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), F.col("result").alias("raw"))
+    found, _ = cutting.compose(twice, units.CODE_POINTS)
+    told = cutting.figures(F.col("result"))
+    numbered = F.transform(told, lambda f: f["page"]) == F.sequence(F.lit(1).cast("bigint"), F.size(told).cast("bigint"))
+    return found.select("doc_id", F.size(F.from_json("result", "pages array<struct<pageNumber: bigint>>")["pages"]).cast("bigint").alias("pages"), F.size(told).cast("bigint").alias("figures"), numbered.alias("numbered"))
+
+
 #: Faults that are put in the second part of the documents doc_id % 8 = n: what is replaced, by what, and the violation's code.
 SECTION_FAULTS = (
     (1, '"sections":[{', '"sections":[],"sectiones":[{', "V22"), (2, '"sections":[{"spans"', '"sections":[{"spans":[],"spans"', "V23"), (3, '"sections":[{"spans":[{"offset":0,', '"sections":[{"spans":[{"offset":0.0,', "V24"),
