@@ -33,6 +33,15 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows, key):
+    """rows in as many partitions as there are cores at least: a small file is one, and what is made of its rows is large.
+
+    Scans of large tables have more, and are left as they are.
+    """
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n, key) if rows.rdd.getNumPartitions() < n else rows
+
+
 def order_pages(spark, sf_dir):
     """(doc_id, page): the distinct line numbers of each order."""
     return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("bigint").alias("page")).distinct()

@@ -12,10 +12,14 @@ from collections.abc import Callable, Iterator
 # Limits of a scalar's, a name's and a document's spelling.
 MOST_STRING, MOST_NUMBER, MOST_NAME, MOST_DEPTH = 4096, 4096, 4096, 10_000
 
-TOKEN = re.compile(
-    r'[ \t\r\n]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")'
-    r"|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)|(true|false|null))"
-)
+_PLAIN = r'[^"\\\x00-\x1f]*+'
+_STRING = rf'"{_PLAIN}(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{{4}}){_PLAIN})*+"'
+_NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
+_BLANK = r"[ \t\r\n]*+"
+#: A value's beginning: an opened container, a scalar with the mark behind it, if there is one, or the end of an empty array.
+VALUE = re.compile(rf"{_BLANK}(?:([{{\[])|(?:({_STRING})|({_NUMBER})|(true|false|null)){_BLANK}([,\]}}])?|(\]))")
+NAME = re.compile(rf"{_BLANK}({_STRING}){_BLANK}:")
+MARK = re.compile(rf"{_BLANK}([,\]}}])")
 BLANK = re.compile(r"[ \t\r\n]*")
 SCALARS = frozenset(("String", "LongString", "Number", "Bool", "Null"))
 CANONICAL = re.compile(r"0|[1-9][0-9]{0,17}")
@@ -36,73 +40,93 @@ def plain(raw: str) -> str:
     return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+def bytes_beyond(string: str, most: int) -> bool:
+    """Whether a spelled string has more than `most` bytes between its quotation marks."""
+    n = len(string) - 2
+    return n > most or n * 4 > most and not string.isascii() and len(string.encode()) - 2 > most
+
+
 def values(text: str) -> Iterator[tuple[tuple, str, int, int, int]]:
     """(path, kind, start, end, items) of every value, containers when they end; items is -1 for a scalar.
 
     A path is a tuple of spelled names (without quotes) and indexes.
     """
-    path: list = []
-    open_: list[list] = []  # kind, start, items
-    at, wanted = 0, "value"
+    # Of each open container: kind, start, its path, items; key: the name or index of the value that comes next.
+    stack: list[list] = []
+    at, path, key, empty = 0, (), None, False
+    value_at, name_at, mark_at = VALUE.match, NAME.match, MARK.match
+
+    def name(at: int) -> tuple[str, int]:
+        if not (m := name_at(text, at)):
+            raise Malformed(f"no name at {at}")
+        if bytes_beyond(m[1], MOST_NAME):
+            raise Malformed("a name is too long")
+        return m[1][1:-1], m.end()
+
     while True:
-        if not (m := TOKEN.match(text, at)):
-            raise Malformed(f"no token at {at}")
-        mark, string, number, word = m.groups()
+        if not (m := value_at(text, at)):
+            raise Malformed(f"no value at {at}")
+        opened, string, number, word, mark, closed = m.groups()
         at = m.end()
-        begin = at - len(mark or string or number or word)
-        ended = None
-        if wanted in ("value", "value or ]"):
-            if mark in ("{", "["):
-                if len(open_) >= MOST_DEPTH:
-                    raise Malformed("too deep")
-                open_.append(["Object" if mark == "{" else "Array", begin, 0])
-                path.append("" if mark == "{" else 0)
-                wanted = "name or }" if mark == "{" else "value or ]"
+        if opened:
+            if len(stack) >= MOST_DEPTH:
+                raise Malformed("too deep")
+            path = (*path, key) if stack else ()
+            if opened == "[":
+                stack.append(["Array", at - 1, path, 0])
+                key, empty = 0, True
                 continue
-            if mark == "]" and wanted == "value or ]":
-                ended = True
-            elif mark:
-                raise Malformed(f"{mark} at {begin}")
-            else:
-                if number and len(number) > MOST_NUMBER:
-                    raise Malformed("a number is too long")
-                kind = "Number" if number else "Null" if word == "null" else "Bool" if word else "String" if len(string.encode()) - 2 <= MOST_STRING else "LongString"
-                yield tuple(path), kind, begin, at, -1
-        elif wanted in ("name", "name or }"):
-            if string:
-                if len(string) > MOST_NAME + 2 or not string.isascii() and len(string.encode()) > MOST_NAME + 2:
-                    raise Malformed("a name is too long")
-                path[-1] = string[1:-1]
-                wanted = ":"
+            stack.append(["Object", at - 1, path, 0])
+            if not ((m := mark_at(text, at)) and m[1] == "}"):
+                key, at = name(at)
+                empty = False
                 continue
-            if mark == "}" and wanted == "name or }":
-                ended = True
-            else:
-                raise Malformed(f"no name at {begin}")
-        elif wanted == ":":
-            if mark != ":":
-                raise Malformed(f"no colon at {begin}")
-            wanted = "value"
-            continue
-        elif mark == ",":
-            wanted = "name" if open_[-1][0] == "Object" else "value"
-            continue
-        elif mark == ("}" if open_[-1][0] == "Object" else "]"):
-            ended = True
+            mark, at = "}", m.end()
+        elif closed:
+            if not empty:
+                raise Malformed(f"] at {at - 1}")
+            mark = "]"
         else:
-            raise Malformed(f"no comma at {begin}")
-        if ended:
-            kind, start, items = open_.pop()
-            path.pop()
-            yield tuple(path), kind, start, at, items
-        if not open_:
-            if BLANK.fullmatch(text, at) is None:
-                raise Malformed("more behind the value")
-            return
-        open_[-1][2] += 1
-        if open_[-1][0] == "Array":
-            path[-1] += 1
-        wanted = "comma"
+            own = (*path, key) if stack else ()
+            if string:
+                yield own, "LongString" if bytes_beyond(string, MOST_STRING) else "String", m.start(2), m.end(2), -1
+            elif number:
+                if len(number) > MOST_NUMBER:
+                    raise Malformed("a number is too long")
+                yield own, "Number", m.start(3), m.end(3), -1
+            else:
+                yield own, "Null" if word == "null" else "Bool", m.start(4), m.end(4), -1
+            if not stack:
+                if mark:
+                    raise Malformed("more behind the value")
+                break
+            stack[-1][3] += 1
+        empty = False
+        # Behind a value, or at a container's end: the next value, or the end of what holds it.
+        while True:
+            if mark is None:
+                if not (m := mark_at(text, at)):
+                    raise Malformed(f"no comma at {at}")
+                mark, at = m[1], m.end()
+            top = stack[-1]
+            if mark == ",":
+                if top[0] == "Object":
+                    key, at = name(at)
+                else:
+                    key = top[3]
+                break
+            if mark != ("}" if top[0] == "Object" else "]"):
+                raise Malformed(f"{mark} at {at - 1}")
+            stack.pop()
+            yield top[2], top[0], top[1], at, top[3]
+            if not stack:
+                break
+            stack[-1][3] += 1
+            path, mark = stack[-1][2], None
+        if not stack:
+            break
+    if BLANK.fullmatch(text, at) is None:
+        raise Malformed("more behind the value")
 
 
 def rewrite(text: str, visit: Callable, prefix: tuple = ()) -> str:

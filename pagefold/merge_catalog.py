@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagefold.catalog import ATTEMPTS, JOBS, NOW, P, attempt_log, job_rows, order_pages, query, read
+from pagefold.catalog import ATTEMPTS, JOBS, NOW, P, attempt_log, job_rows, order_pages, query, read, spread
 from pagefold.functions import pages, policy, text, units
 from pagefold.operators import attempts, diffing, invariants, jobs, metrics, planning, shred
 from pagefold.plans import assembly, cutting
@@ -25,7 +25,7 @@ PART = """concat('{{"apiVersion":"v1","modelId":"m","stringIndexType":"unicodeCo
 
 def conversation_parts(spark, sf_dir):
     """(doc_id, k, planned, raw, text): every turn as the result of the page behind its number."""
-    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = spread(read(spark, sf_dir, "conversations"), "conv_id").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.withColumn("q", quoted("text"))
     return turns.select("doc_id", "k", F.array((F.col("k") + 1).cast("int")).alias("planned"), F.expr(PART.format(q="q", n="length(text)")).alias("raw"), "text")
 
@@ -250,7 +250,7 @@ def read_round_trip(spark, sf_dir):
 def event_documents(spark, sf_dir):
     """(event_id, doc): a JSON document for each event."""
     doc = F.concat(F.lit('{ "id":'), F.col("event_id"), F.lit(', "kind" : "'), F.col("event_type"), F.lit('", "n":1.50, "tags":["a", "b\\u00e9" , '), F.col("user_id"), F.lit('], "none":{}, "deep":{"x.y":[[true],null]} }'))
-    return read(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
+    return spread(read(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), "event_id").select("event_id", doc.alias("doc"))
 
 
 @query("""SELECT event_id, '{ "id":' || (event_id + 1) || ', "kind" : "<kind>", "n":1.50, "tags":["a", "b\\u00e9" , ' || user_id || '], "none":{}, "deep":{"x.y":[[false],null]} }' AS doc FROM events""")

@@ -220,11 +220,11 @@ def members_of(node: jsontree.Node) -> dict:
     return out
 
 
-def compared(docs: DataFrame, doc: str, whole: str, split: str, told, schema: str) -> DataFrame:
+def compared(docs: DataFrame, doc: str, whole: str, split: str, told, schema: str, told_equal: bool = False) -> DataFrame:
     """(doc, *schema): the rows that told(whole tree, split tree) gives for the two texts of each row.
 
     Both sides of a document are compared in one task, so that nothing but differences leaves it.  A null or malformed
-    text is None; two of them are alike.
+    text is None; two of them are alike, as equal texts are.  told_equal: whether equal texts have rows all the same.
     """
     rows = docs.select(F.col(doc).alias("doc"), F.col(whole).alias("whole"), F.col(split).alias("split"))
     names = [c.split(" ")[0] for c in schema.split(", ")]
@@ -232,7 +232,7 @@ def compared(docs: DataFrame, doc: str, whole: str, split: str, told, schema: st
 
     def run(batches):
         for b in batches:
-            out = [(i, *row) for i, (w, s) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)) for row in told(jsontree.parsed(w), jsontree.parsed(s))]
+            out = [(i, *row) for i, (w, s) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)) if told_equal or w != s for row in told(jsontree.parsed(w), jsontree.parsed(s))]
             at, *columns = zip(*out, strict=True) if out else [()] * (1 + len(names))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), f.type) for c, f in zip(columns, target, strict=True))], ["doc", *names])
 
@@ -264,7 +264,7 @@ def member_report(docs: DataFrame, doc: str, whole: str, split: str, most: int =
         for member, identical, found in jsontree.report(w, s):
             yield member, identical, len(found), [p for p, *_ in found[:most]]
 
-    return compared(docs, doc, whole, split, told, "member string, identical boolean, n bigint, paths array<string>")
+    return compared(docs, doc, whole, split, told, "member string, identical boolean, n bigint, paths array<string>", told_equal=True)
 
 
 def verdict(whole_ok: Column, split_ok: Column, n_differences: Column) -> Column:

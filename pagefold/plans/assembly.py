@@ -288,14 +288,15 @@ class Document:
 
     profile: Profile
     parts: list[dict]
+    spoilt: bool = False
 
     def order(self) -> list[str] | None:
         return ordering.union(list(dict.fromkeys(tuple(m["name"] for m in p["members"]) for p in self.parts)))
 
     def codes(self) -> list[tuple[int | None, str]]:
         """(k, code) of what was told of the parts and of the document before anything is renumbered."""
-        found = [(p["k"], c) for p in self.parts for c in (*p["own"], *p["mutual"])] + [(None, c) for p in self.parts for c in p["agree"]]
-        if not any(p["own"] for p in self.parts) and self.order() is None:
+        found = [(p["k"], c) for p in self.parts for c in p["codes"] or ()] + [(None, c) for p in self.parts for c in p["agree"] or ()]
+        if not self.spoilt and self.order() is None:
             found.append((None, "V14"))
         return found
 
@@ -330,7 +331,7 @@ class Document:
     def assembled(self, order: list[str]) -> tuple:
         numbers = [Renumber(self.profile, p["planned"], p["local"], p["shift"], p["bases"], p["counts"]) for p in self.parts]
         by = [{m["name"]: m for m in p["members"]} for p in self.parts]
-        tree = self.plan_sections(numbers) if self.profile.di and any("sections" in m for m in by) else None
+        tree = self.plan_sections(numbers) if any("sections" in m for m in by) and self.profile.di else None
         out, counts, refused = [], [], []
         for name in order:
             having = [(p, number, m[name]) for p, number, m in zip(self.parts, numbers, by, strict=True) if name in m]
@@ -372,8 +373,10 @@ def gathered(parts: DataFrame, profile: Profile, unit: str) -> DataFrame:
     rows = rows.withColumn("bad", F.max((F.size("own") > 0) | (F.size("mutual") > 0) | (F.size("agree") > 0)).over(whole()))
     bare = F.transform("members", lambda m: F.struct(m["name"].alias("name"), m["is_array"].alias("is_array"), m["items"].alias("items"), F.when(~F.col("bad"), m["raw"]).alias("raw")))
     rows = rows.withColumn("members", bare)
-    kept = F.struct("k", "planned", "members", "own", "mutual", "agree", "separator", "length", "shift", "local", "counts", "bases")
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(kept)).alias("parts"))
+    told = lambda codes: F.when(F.size(codes) > 0, codes)
+    placed = [F.when(F.lit(profile.di), F.col(c)).alias(c) for c in ("separator", "length", "shift", "counts", "bases")]
+    kept = F.struct("k", "planned", "members", told(F.concat("own", "mutual")).alias("codes"), told(F.col("agree")).alias("agree"), "local", *placed)
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(kept)).alias("parts"), F.max("spoilt").alias("spoilt"))
 
 
 CODE = pa.struct([("k", pa.int64()), ("code", pa.string())])
@@ -387,9 +390,9 @@ def documents(parts: DataFrame, profile: Profile = DI, unit: str = units.GRAPHEM
     def run(batches):
         for b in batches:
             told = []
-            for given in b.column(1):
+            for given, spoilt in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 given = given.as_py()
-                codes, result, counts = Document(profile, given).merged()
+                codes, result, counts = Document(profile, given, spoilt).merged()
                 told.append(([{"k": k, "code": c} for k, c in dict.fromkeys(codes)], result, counts, sum(len(p["planned"] or []) for p in given)))
             codes, results, counts, pages = map(list, zip(*told, strict=True)) if told else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.list_(CODE)), pa.array(results, pa.string()), pa.array(counts, pa.list_(COUNT)), pa.array(pages, pa.int64())], ["doc_id", "codes", "result", "counts", "pages"])
