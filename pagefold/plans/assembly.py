@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagefold.functions import jsontext, policy, text, units
+from pagefold.functions import arrowrows, jsontext, policy, text, units
 from pagefold.operators import ordering, sections
 from pagefold.operators.sections import Refused
 
@@ -390,8 +390,7 @@ def documents(parts: DataFrame, profile: Profile = DI, unit: str = units.GRAPHEM
     def run(batches):
         for b in batches:
             told = []
-            for given, spoilt in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                given = given.as_py()
+            for given, spoilt in zip(arrowrows.values(b.column(1)), b.column(2).to_pylist(), strict=True):
                 codes, result, counts = Document(profile, given, spoilt).merged()
                 told.append(([{"k": k, "code": c} for k, c in dict.fromkeys(codes)], result, counts, sum(len(p["planned"] or []) for p in given)))
             codes, results, counts, pages = map(list, zip(*told, strict=True)) if told else ([], [], [], [])
@@ -471,7 +470,7 @@ def cut(results: DataFrame, plan: DataFrame, profile: Profile = READ) -> DataFra
     def run(batches):
         for b in batches:
             at, ks, planned, raws, told = [], [], [], [], []
-            for i, (raw, plans) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            for i, (raw, plans) in enumerate(zip(b.column(1).to_pylist(), arrowrows.values(b.column(2)), strict=True)):
                 wanted = [(p["k"], p["planned"] or []) for p in plans]
                 texts, problems = cut_pages(raw, wanted, profile)
                 at += [i] * len(wanted)

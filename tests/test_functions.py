@@ -104,3 +104,18 @@ def test_differences_and_blobs(spark):
 
 def test_redaction(spark):
     assert one(spark, text.redact_url(F.col("t")), t="http://u:p@h/x") == "http://u:xxxxx@h/x" and one(spark, text.redact_url(F.col("t")), t="http://h:8/x@y") == "http://h:8/x@y"
+
+
+def test_nested_arrow_columns_as_python_values():
+    import random
+
+    import pyarrow as pa
+
+    from pagefold.functions import arrowrows
+
+    rng = random.Random(1)
+    kind = pa.list_(pa.struct([("k", pa.int64()), ("m", pa.list_(pa.struct([("n", pa.string()), ("b", pa.bool_())]))), ("s", pa.list_(pa.int64()))]))
+    inner = lambda: None if rng.random() < 0.2 else [{"n": rng.choice(["a", None]), "b": True} for _ in range(rng.randint(0, 3))]
+    rows = [None if rng.random() < 0.1 else [{"k": rng.choice([1, None]), "m": inner(), "s": [1, 2]} for _ in range(rng.randint(0, 4))] for _ in range(200)]
+    column = pa.array(rows, kind)
+    assert arrowrows.values(column) == rows and arrowrows.values(column.slice(33, 50)) == rows[33:83] and arrowrows.values(column.slice(0, 0)) == []
