@@ -1,14 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five transducers are composed.  The insult and the threat transducer read the words of a clause; their arcs have the
+Transducers are composed.  The insult and the threat transducer read the words of a clause; their arcs have the
 lexicon's weights.  Words that they pass, targets, negations, reporting words and others, become their class.  Then
-negation rewrites an insult or threat near before it and weakens its weight, reported speech does so with those behind
-a reporting word, and targets raise the weight of the insults and threats that they meet.  The score of a text rests
-on its matched clauses, not on isolated words: the composed weight of each and what the machine writes for it are
-weighed by a logistic model.
-
-The insult lexicon (words and word beginnings) and the model are fitted on labelled rows; threats, targets,
-negations and reporting words are closed classes, given below.
+negation rewrites an insult or threat near behind it and weakens its weight, as far as the next comma or `but`; reported
+speech does so with those behind a reporting word, up to the end of what is quoted; targets raise the weight of the
+insults that they meet.  A threat is a verb with a target near behind it, more so behind a word of intention: a verb
+alone (to kill time, to shoot a film) keeps a small part of its weight.  The score of a text rests on its matched
+clauses, not on isolated words: the composed weight of each and what the machine writes for it are weighed by a
+logistic model.
+
+The insult lexicon (words and word beginnings), the factors of negation, report and target, and the model are fitted on
+labelled rows; threats, intentions, targets, negations and reporting words are closed classes, given below.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from pagefold.llm.fsa import Composed, Lexical, Transducer
 
 #: At most so many labelled rows are read for the fit, those of the smallest crc32 (documented bound).
 MAX_FIT_ROWS = 12_000
+#: Tasks that the rows of the fit are dealt to.
+FIT_TASKS = 32
 #: Words whose class and weight a task keeps; beyond that it starts anew.
 CACHE_WORDS = 500_000
 
@@ -35,31 +40,66 @@ SEED_INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic"
 THREATS = ["kill", "murder", "strangle", "shoot", "stab", "beat", "destroy", "umbringen", "töten", "erschießen", "tuer", "matar", "matarte"]
 TARGETS = ["you", "your", "yours", "u", "him", "her", "them", "these", "those", "people", "du", "dich", "dein", "euch", "ihr", "tu", "toi", "vous", "votre", "tú", "usted", "ustedes"]
 NEGATIONS = ["not", "never", "no", "isn", "aren", "wasn", "don", "doesn", "won", "nicht", "kein", "keine", "nie", "pas", "jamais", "ne", "nunca", "jamás"]
+INTENTIONS = ["will", "ll", "gonna", "going", "shall", "want", "must", "should", "werde", "werden", "will", "vais", "veux", "voy", "quiero"]
+CONTRASTS = ["but", "however", "aber", "sondern", "mais", "pero", "sino"]
 REPORTS = ["said", "says", "wrote", "quoted", "claimed", "called", "reported", "alleged", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió"]
-CLASS_OF = {w: c for c, words in (("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
+CLASS_OF = {w: c for c, words in (("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("M", INTENTIONS), ("B", CONTRASTS)) for w in words}
 
 WORD = re.compile(r"[^\W\d_]+")
-#: A colon or a quotation mark ends no clause: what is reported stands behind it.
-CLAUSE_END = re.compile(r"[.!?;\n]")
+#: What ends a clause, but for a new line only outside of quotation marks: what is reported goes on to their end.
+CLAUSE_END, QUOTES = frozenset(".!?;\n"), frozenset('"“”„«»')
+BOUND = re.compile(r'[.!?;\n"“”„«»]')
+#: A clause's words and marks: a comma, or a sentence's end inside a quotation, bounds a negation (B); quotation marks (Q).
+PART = re.compile(r'[^\W\d_]+|[,.!?;"“”„«»]')
+MARKS = dict.fromkeys(",.!?;", ("B", 0.0)) | dict.fromkeys(QUOTES, ("Q", 0.0))
 STEMS = (4, 5, 6)
-#: How far a negation reaches, in words of the clause.
+#: How far a negation, an intention and a threat reach, in words of the clause.
 REACH = 3
-#: Weight of a seed insult and of a threat; what negation and report leave of a weight; what a target before an insult
-#: or threat makes of its weight, and what one behind it adds.
-SEED, WEAKER, AIMED, AIMED_BEHIND = 2.0, 0.25, 1.5, 1.0
-
-# I insult, T threat, Y target, N negation, R report, o other; i and t: weakened; J and U: aimed at a target.
-NEGATE = Transducer(
-    arcs={(s, "N"): (1, "N", 1.0, 0.0) for s in range(REACH + 1)} | {(s, c): (s, c.lower(), WEAKER, 0.0) for s in range(1, REACH + 1) for c in "IT"},
-    rest={s: (s + 1) % (REACH + 1) for s in range(1, REACH + 1)},
-)
-REPORTED = Transducer(arcs={(s, "R"): (1, "R", 1.0, 0.0) for s in (0, 1)} | {(1, c): (1, c.lower(), WEAKER, 0.0) for c in "IT"})
-#: State 1: a target was met; state 2: an insult was met that waits for one.
-AIM = Transducer(
-    arcs={(0, "Y"): (1, "Y", 1.0, 0.0), (1, "Y"): (1, "Y", 1.0, 0.0), (2, "Y"): (1, "A", 1.0, AIMED_BEHIND)}
-    | {(0, "I"): (2, "I", 1.0, 0.0), (2, "I"): (2, "I", 1.0, 0.0), (1, "I"): (1, "J", AIMED, 0.0), (1, "T"): (1, "U", AIMED, 0.0), (0, "T"): (2, "T", 1.0, 0.0)}
-)
-GRAMMAR = (NEGATE, REPORTED, AIM)
+#: Weight of a seed insult and of a threat; what is left of a threat's without a target; what a target adds to it, and one
+#: with an intention.
+SEED, LOOSE, THREATENS, INTENDS = 2.0, 0.25, 1.0, 2.5
+
+
+class Factors(NamedTuple):
+    """What negation and report leave of a weight, what a target before an insult makes of it, what one behind it adds."""
+
+    weaker: float = 0.25
+    aimed: float = 1.5
+    aimed_behind: float = 1.0
+
+
+#: The factors that the fit tries, the plain ones first.
+TRIED = (Factors(), *(Factors(w, a) for w in (0.25, 0.1, 0.5) for a in (1.5, 1.0, 2.0) if (w, a) != (0.25, 1.5)))
+
+
+def grammar(factors: Factors = TRIED[0]) -> tuple[Transducer, ...]:
+    """Negation, report, intention and aim.
+
+    I insult, T threat, Y target, N negation, R report, M intention, B bound, Q quotation mark, o other; i and t:
+    weakened; J: an insult behind a target; V: an intended threat; A and U: a target behind an insult or threat, behind
+    an intended threat.
+    """
+    steps = range(1, REACH + 1)
+    fading = {s: (s + 1) % (REACH + 1) for s in steps}
+    negate = Transducer(
+        arcs={(s, "N"): (1, "N", 1.0, 0.0) for s in (0, *steps)} | {(s, "B"): (0, "B", 1.0, 0.0) for s in steps} | {(s, c): (s, c.lower(), factors.weaker, 0.0) for s in steps for c in "IT"},
+        rest=fading,
+    )
+    # State 1: behind a reporting word; state 2: inside the quotation behind it.
+    reported = Transducer(
+        arcs={(s, "R"): (max(s, 1), "R", 1.0, 0.0) for s in (0, 1, 2)} | {(1, "Q"): (2, "Q", 1.0, 0.0), (2, "Q"): (0, "Q", 1.0, 0.0)} | {(s, c): (s, c.lower(), factors.weaker, 0.0) for s in (1, 2) for c in "IT"}
+    )
+    intend = Transducer(arcs={(s, "M"): (1, "M", 1.0, 0.0) for s in (0, *steps)} | {(s, "T"): (0, "V", 1.0, 0.0) for s in steps} | {(s, "B"): (0, "B", 1.0, 0.0) for s in steps}, rest=fading)
+    # State 1: a target was met; state 2: an insult was met that waits for one; from 10 and from 20 on: a threat waits, an intended one.
+    waits = [*range(10, 10 + REACH), *range(20, 20 + REACH)]
+    arcs = {(0, "Y"): (1, "Y", 1.0, 0.0), (1, "Y"): (1, "Y", 1.0, 0.0), (2, "Y"): (1, "A", 1.0, factors.aimed_behind)}
+    arcs |= {(s, "I"): (2, "I", 1.0, 0.0) for s in (0, 2, *waits)} | {(1, "I"): (1, "J", factors.aimed, 0.0)}
+    arcs |= {(s, c): (at, "t", LOOSE, 0.0) for s in (0, 1, 2, *waits) for c, at in (("T", 10), ("V", 20))}
+    arcs |= {(s, "Y"): (1, "A", 1.0, THREATENS) if s < 20 else (1, "U", 1.0, INTENDS) for s in waits}
+    aim = Transducer(arcs=arcs, rest={s: s + 1 if s + 1 in waits else 0 for s in waits})
+    return negate, reported, intend, aim
+
+
 THREAT = Lexical("T", dict.fromkeys(THREATS, SEED))
 FEATURES = ("I", "i", "J", "A", "T", "t", "U")
 
@@ -81,9 +121,9 @@ def lower_bound(hits: float, tries: float, z: float = 2.6) -> float:
 class Scorer:
     """Features and score of one text; made on each task from the fitted lexicon and weights."""
 
-    def __init__(self, lexicon: dict[str, float], weights: list[float] | None = None):
+    def __init__(self, lexicon: dict[str, float], weights: list[float] | None = None, factors: Factors = TRIED[0]):
         self.insult = Lexical("I", lexicon)
-        self.machine = Composed(*GRAMMAR)
+        self.machine = Composed(*grammar(factors))
         self.weights = weights
         self.known: dict[str, tuple[str, float]] = {}
         self.weighty: set[str] = set()
@@ -106,23 +146,33 @@ class Scorer:
                 if told[1]:
                     self.weighty.add(w)
 
-    def clauses(self, text: str) -> list[tuple[int, int, list[str], float]]:
-        """(start, end, grammar output, composed weight) of every clause that holds an insult or a threat."""
+    def matched(self, text: str) -> list[tuple[int, int, list[tuple[str, float]]]]:
+        """(start, end, classes and weights of words and marks) of every clause that holds an insult or a threat."""
         low = text.lower()
         words = set(WORD.findall(low))
         self.learn(words)
         triggers = words & self.weighty
         if not triggers:
             return []
-        out, at = [], 0
-        for end in [*(m.start() for m in CLAUSE_END.finditer(low)), len(low)]:
-            words = WORD.findall(low, at, end)
-            if not triggers.isdisjoint(words):
-                symbols, weights = zip(*map(self.known.__getitem__, words), strict=True)
-                out.append((at, end, *self.machine.run(symbols, weights)))
+        out, at, quoted = [], 0, False
+        for end in [*(m.start() for m in BOUND.finditer(low)), len(low)]:
+            mark = low[end : end + 1]
+            if mark in QUOTES and mark:
+                quoted = not quoted
+                continue
+            if quoted and mark and mark != "\n":
+                continue
+            quoted = False
+            parts = PART.findall(low, at, end)
+            if not triggers.isdisjoint(parts):
+                out.append((at, end, [MARKS.get(p) or self.known[p] for p in parts]))
             at = end + 1
         return out
 
+    def clauses(self, text: str) -> list[tuple[int, int, list[str], float]]:
+        """(start, end, grammar output of its words, composed weight) of every clause that holds an insult or a threat."""
+        return [(a, b, *run(self.machine, parts)) for a, b, parts in self.matched(text)]
+
     def features(self, text: str) -> list[float]:
         return self.measures(self.clauses(text))
 
@@ -141,12 +191,26 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def run(machine: Composed, parts: list[tuple[str, float]]) -> tuple[list[str], float]:
+    """What a machine writes for a clause's words, and the composed weight."""
+    outs, weight = machine.run(*zip(*parts, strict=True))
+    return [o for o in outs if o not in "BQ"], weight
+
+
+class Model(NamedTuple):
+    """What fit() learns, and a Scorer needs."""
+
+    lexicon: dict[str, float]
+    weights: list[float]
+    factors: Factors
+
+
 def crc(column: str):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: int = MAX_FIT_ROWS):
-    """(lexicon, weights) from the labelled rows whose crc32(id as text) mod 5 is not 0.
+    """The Model of the labelled rows whose crc32(id as text) mod 5 is not 0.
 
     At most max_rows of them are read, those of the smallest crc32, ties by id, and at most max_rows distinct texts of
     these, should ids repeat.  Ids, text copies and null labels: a null id or label is left out; labels that repeat for
@@ -157,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: in
     marked = marked.groupBy(F.col(id_col).alias("fit_id")).agg(F.max("toxic").alias("y"))
     marked = marked.orderBy(crc("fit_id"), "fit_id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("fit_id"), text_or_empty().alias("text")).join(F.broadcast(marked), "fit_id")
-    rows = stored(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y")).orderBy("h").limit(max_rows), "fit")
+    rows = stored(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y")).orderBy("h").limit(max_rows).repartition(FIT_TASKS, "h"), "fit")
 
     def terms(batches):
         for b in batches:
@@ -177,18 +241,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: in
             lexicon[r["k"]] = round(math.log((r["n1"] + 0.5) / (r["n0"] + 0.5) * max(1, n["n"] - n["y"]) / max(1, n["y"])) * low, 4)
 
     def features(batches):
-        scorer = Scorer(lexicon)
+        scorer, machines = Scorer(lexicon), [Composed(*grammar(f)) for f in TRIED]
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"x": pa.array([scorer.features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64())), "y": b.column(2).cast(pa.int32())})
+            found = [scorer.matched(t) for t in b.column(1).to_pylist()]
+            x = [[scorer.measures([(a, e, *run(m, parts)) for a, e, parts in clauses]) for m in machines] for clauses in found]
+            yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.list_(pa.float64()))), "y": b.column(2).cast(pa.int32())})
 
-    sample = rows.mapInArrow(features, "x array<double>, y int").collect()
+    sample = rows.mapInArrow(features, "x array<array<double>>, y int").collect()
     if len({bool(r["y"]) for r in sample}) < 2:
-        return lexicon, [-4.0, 0.0, 4.0, *[0.0] * (2 + len(FEATURES))]
-    return lexicon, logistic(np.array([r["x"] for r in sample]), np.array([float(bool(r["y"])) for r in sample]))
+        return Model(lexicon, [-4.0, 0.0, 4.0, *[0.0] * (2 + len(FEATURES))], TRIED[0])
+    y = np.array([float(bool(r["y"])) for r in sample])
+    tried = [logistic(np.array([r["x"][i] for r in sample]), y) for i in range(len(TRIED))]
+    best = min(range(len(TRIED)), key=lambda i: round(tried[i][1], 6))
+    return Model(lexicon, tried[best][0], TRIED[best])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> list[float]:
-    """Newton's method on the ridge-penalised likelihood; the intercept first."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[list[float], float]:
+    """(weights, the intercept first; their cost) by Newton's method on the ridge-penalised likelihood."""
     order = np.lexsort((*x.T[::-1], y))  # the same weights whatever the order of rows
     x, y = np.c_[np.ones(len(x)), x][order], y[order]
     w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
@@ -199,7 +268,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    return [round(float(v), 6) for v in w]
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-12, 1 - 1e-12)
+    cost = -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum() + (penalty @ w @ w) / 2
+    return [round(float(v), 6) for v in w], float(cost)
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,16 +279,15 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     A null or empty text is scored as a text without matches.  clauses: spans of matched clauses, code points of the
     lower-cased text.  Only the text is read.
     """
-    lexicon, weights = model
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marks", pa.string())]))
 
     def run(batches):
-        scorer = Scorer(lexicon, weights)
+        scorer = Scorer(*model)
         for b in batches:
             matched = [scorer.clauses(t) for t in b.column(1).to_pylist()]
             scores = [scorer.judged(m) for m in matched]
-            found = [[{"start": a, "end": e, "marks": "".join(c for c in outs if c in FEATURES)} for a, e, outs, _ in m] if s >= 0.5 else [] for m, s in zip(matched, scores, strict=True)]
+            found = [[{"start": a, "end": e, "marks": "".join(c for c in outs if c in FEATURES)} for a, e, outs, _ in m] for m in matched]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(found, kind)], ["id", "score", "predicted", "clauses"])
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int, clauses array<struct<start:bigint,end:bigint,marks:string>>"
@@ -226,11 +296,10 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_clean(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     """docs without the rows whose text is scored 0.5 or more; all columns stay."""
-    lexicon, weights = model
     at = docs.columns.index(text_col)
 
     def run(batches):
-        scorer = Scorer(lexicon, weights)
+        scorer = Scorer(*model)
         for b in batches:
             yield b.filter(pa.array([scorer.score(t or "") < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
