@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagefold.catalog import ATTEMPTS, JOBS, NOW, P, attempt_log, job_rows, order_pages, query, read, spread
 from pagefold.functions import pages, policy, text, units
-from pagefold.operators import attempts, diffing, invariants, jobs, metrics, planning, shred
+from pagefold.operators import attempts, diffing, invariants, jobs, metrics, planning, schema, shred
 from pagefold.plans import assembly, cutting
 
 
@@ -205,6 +205,38 @@ def result_findings(spark, sf_dir):
     return invariants.result_findings(out.select("doc_id", result.alias("result")))
 
 
+#: A description of the documents that orders are made to, and faults that orders o_orderkey % 16 = n have: what is replaced, by what, and the finding.
+ORDER_SCHEMA = """{"definitions": {
+    "Base": {"type": "object", "required": ["id"], "properties": {"id": {"type": "integer", "format": "int32", "minimum": 1}}},
+    "State": {"type": "string", "enum": ["O", "F", "P"]}, "Level": {"type": "string", "enum": ["HIGH"], "x-ms-enum": {"modelAsString": true}},
+    "Order": {"allOf": [{"$ref": "#/definitions/Base"}], "required": ["state", "items"], "properties": {
+        "state": {"$ref": "#/definitions/State"}, "level": {"$ref": "#/definitions/Level"}, "at": {"type": "string", "format": "date-time"}, "total": {"type": "number", "minimum": 0},
+        "clerk": {"type": "string", "pattern": "^Clerk#[0-9]+$", "maxLength": 15}, "note": {"type": "string", "x-nullable": true},
+        "items": {"type": "array", "minItems": 1, "items": {"$ref": "#/definitions/Item"}}}},
+    "Item": {"type": "object", "properties": {"n": {"type": "integer"}, "parts": {"type": "array", "items": {"$ref": "#/definitions/Item"}}}}}}"""
+SCHEMA_FAULTS = (
+    (1, '"state":"', '"state":"X', "error", "enum", "/state"), (2, '"level":"HIGH"', '"level":"LOW"', "warning", "enum-open", "/level"), (3, "T00:00:00Z", " 00:00", "error", "format", "/at"),
+    (4, '"total":', '"total":-', "error", "minimum", "/total"), (5, "Clerk#", "clerk ", "error", "pattern", "/clerk"), (6, '"note":null', '"note":3', "error", "type", "/note"), (7, '"items":[{"n":1', '"items":[{"n":1.0', "error", "type", "/items/0/n"),
+    (8, '"parts":[{', '"parts":[{"parts":[{"x":0}],', "error", "unknown-property", "/items/0/parts/0/parts/0/x"), (9, '"id":', '"ids":', "error", "required", "/"), (10, '"items":[', '"items":[],"_":[', "error", "minItems", "/items"),
+    (11, '"level":"HIGH"', '"level":null', "error", "null", "/level"), (12, '{"id"', '["id"', "error", "malformed", "/"), (13, "Clerk#", "Clerk#1234567", "error", "maxLength", "/clerk"),
+)
+
+
+@query("WITH f(n, severity, rule, path) AS (VALUES " + ", ".join(f"({n}, '{severity}', '{rule}', '{path}')" for n, _, _, severity, rule, path in SCHEMA_FAULTS) + """, (9, 'error', 'unknown-property', '/ids'), (10, 'error', 'unknown-property', '/_'))
+    SELECT o_orderkey AS doc_id, severity, rule, path FROM orders JOIN f ON o_orderkey % 16 = n""")
+def schema_findings(spark, sf_dir):
+    """Orders as documents against a description; only planted faults are told."""
+    doc = F.concat(
+        F.lit('{"id":'), F.col("o_orderkey") + 1, F.lit(',"state":"'), F.col("o_orderstatus"), F.lit('","level":"HIGH","at":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('T00:00:00Z","total":'), F.abs(F.round(F.col("o_totalprice"))).cast("bigint") + 1,
+        F.lit(',"clerk":"Clerk#'), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 9, "0"), F.lit('","note":null,"items":[{"n":1,"parts":[{"n":2}]}]}'),
+    )
+    text = F
+    for n, was, now, *_ in SCHEMA_FAULTS:
+        text = text.when(F.col("o_orderkey") % 16 == n, F.replace(doc, F.lit(was), F.lit(now)))
+    orders = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice"), "o_orderkey")
+    return schema.schema_findings(orders.select(F.col("o_orderkey").alias("doc_id"), text.otherwise(doc).alias("text")), "doc_id", "text", ORDER_SCHEMA, "Order")
+
+
 @query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 8 WHEN 1 THEN 'result' WHEN 2 THEN 'result' WHEN 3 THEN 'error-member' ELSE 'key-order' END AS rule,
     CASE o_orderkey % 8 WHEN 1 THEN '/analyzeResult' WHEN 2 THEN '/analyzeResult' WHEN 3 THEN '/error' ELSE '/' END AS path FROM orders WHERE o_orderkey % 8 BETWEEN 1 AND 4""")
 def envelope_findings(spark, sf_dir):
