@@ -6,7 +6,7 @@ is reduced before it is indexed, without loss: words that no phrase has, and run
 window, become one break symbol, since no window can reach across them.
 
 The benchmark's windows are a table, dealt to groups of bounded size and prepared by tasks; a task that searches
-documents reads group after group from the shared folder and holds one.  Spans and items of all groups are joined on
+documents reads group after group from the shared folder, each once for many pieces of text, and holds one.  Spans and items of all groups are joined on
 the whole text, so results do not depend on the number of groups.
 """
 
@@ -29,6 +29,8 @@ SHARD = 1 << 20
 PASS_WINDOWS = 200_000
 #: Bytes of the texts that are cut to words at once.
 PIECE = 2 << 20
+#: Words of the pieces that a group of windows is read once for.
+HELD_WORDS = 4_000_000
 #: Rows located at once.
 LOCATE = 1 << 20
 
@@ -174,28 +176,60 @@ FOUND = "n_words bigint, spans array<struct<first:bigint,last:bigint,start:bigin
 SPAN = pa.struct([(f, pa.int64()) for f in ("first", "last", "start", "end")])
 
 
-def search(texts: pa.Array, groups, powers: Powers):
-    """For each text: number of words, merged spans (words, last exclusive, and UTF-8 bytes), items."""
-    first, starts, ends, hashes = words(texts, ALNUM, powers)
-    n = len(texts)
-    spans, items = [[] for _ in range(n)], [set() for _ in range(n)]
-    depth = np.zeros(len(hashes) + 1, np.int64)
-    doc = np.repeat(np.arange(n), np.diff(first))
-    for phrases in groups:
-        at, which = occurrences(phrases, first, hashes)
-        np.add.at(depth, at, 1)
-        np.add.at(depth, at + phrases.lengths[which], -1)
-        for d, w in np.unique(np.c_[doc[at], which], axis=0).tolist():
-            items[d].update(phrases.items[w])
-    covered = np.cumsum(depth)[:-1] > 0
-    if covered.any():
-        opens = np.flatnonzero(covered & np.r_[True, ~covered[:-1] | (doc[1:] != doc[:-1])])
-        closes = np.flatnonzero(covered & np.r_[~covered[1:] | (doc[1:] != doc[:-1]), True]) + 1
-        zero = byte_starts(texts)
-        for o, c in zip(opens.tolist(), closes.tolist(), strict=True):
-            d = int(doc[o])
-            spans[d].append({"first": o - int(first[d]), "last": c - int(first[d]), "start": int(starts[o] - zero[d]), "end": int(ends[c - 1] - zero[d])})
-    return np.diff(first), spans, [sorted(i) for i in items]
+class Piece:
+    """Texts cut to words, and what the groups of windows find in them."""
+
+    def __init__(self, batch: pa.RecordBatch, texts: pa.Array, powers: Powers):
+        self.batch, self.texts = batch, texts
+        self.first, self.starts, self.ends, self.hashes = words(texts, ALNUM, powers)
+        self.items = [set() for _ in range(len(texts))]
+        self.depth = np.zeros(len(self.hashes) + 1, np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
+
+    def meet(self, phrases: Phrases) -> None:
+        at, which = occurrences(phrases, self.first, self.hashes)
+        np.add.at(self.depth, at, 1)
+        np.add.at(self.depth, at + phrases.lengths[which], -1)
+        for d, w in np.unique(np.c_[self.doc[at], which], axis=0).tolist():
+            self.items[d].update(phrases.items[w])
+
+    def found(self) -> tuple[np.ndarray, list[list[dict]], list[list[str]]]:
+        """For each text: number of words, merged spans (words, last exclusive, and UTF-8 bytes), items."""
+        spans, doc, first = [[] for _ in self.items], self.doc, self.first
+        covered = np.cumsum(self.depth)[:-1] > 0
+        if covered.any():
+            opens = np.flatnonzero(covered & np.r_[True, ~covered[:-1] | (doc[1:] != doc[:-1])])
+            closes = np.flatnonzero(covered & np.r_[~covered[1:] | (doc[1:] != doc[:-1]), True]) + 1
+            zero = byte_starts(self.texts)
+            for o, c in zip(opens.tolist(), closes.tolist(), strict=True):
+                d = int(doc[o])
+                spans[d].append({"first": o - int(first[d]), "last": c - int(first[d]), "start": int(self.starts[o] - zero[d]), "end": int(self.ends[c - 1] - zero[d])})
+        return np.diff(first), spans, [sorted(i) for i in self.items]
+
+
+def searched(batches, at: int, groups: Groups):
+    """(batch, *found) of all pieces of the batches, their texts in column `at`.
+
+    Where there are several groups, pieces of HELD_WORDS words wait for one another, so that a group is read once for
+    all of them.
+    """
+    powers, held, n = Powers(), [], 0
+
+    def flush():
+        for phrases in groups if held else ():
+            for p in held:
+                p.meet(phrases)
+        for p in held:
+            yield p.batch, *p.found()
+
+    for batch in batches:
+        for b in pieces(batch, at, PIECE):
+            held.append(Piece(b, b.column(at).cast(pa.string()), powers))
+            n += len(held[-1].hashes)
+            if groups.n < 2 or n >= HELD_WORDS:
+                yield from flush()
+                held, n = [], 0
+    yield from flush()
 
 
 def byte_starts(texts: pa.Array) -> np.ndarray:
@@ -215,11 +249,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     folder, n = grouped_windows(benchmark, item_col, item_text_col)
 
     def run(batches):
-        powers, groups = Powers(), Groups(folder, n)
-        for batch in batches:
-            for b in pieces(batch, 1, PIECE):
-                n_words, spans, items = search(b.column(1), groups, powers)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
+        for b, n_words, spans, items in searched(batches, 1, Groups(folder, n)):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {FOUND}").withColumnRenamed("id", id_col)
 
@@ -251,11 +282,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length
     folder, n = grouped_windows(benchmark, "item_id", "text")
 
     def run(batches):
-        powers, groups = Powers(), Groups(folder, n)
-        for batch in batches:
-            for b in pieces(batch, at, PIECE):
-                n_words, spans, _ = search(b.column(at).cast(pa.string()), groups, powers)
-                yield cut(b, at, n_words, spans)
+        for b, n_words, spans, _ in searched(batches, at, Groups(folder, n)):
+            yield cut(b, at, n_words, spans)
 
     docs = docs.mapInArrow(run, schema)
     if length_col in names:

@@ -251,7 +251,9 @@ def read(media: DataFrame, each=described, fields=FIELDS, schema: str = SCHEMA)
     whole = media.where("size(drops) = 0").select(columns).mapInArrow(alone, schema)
     parts = media.where("size(drops) > 0").select(columns)
     chunks = media.where("size(lends) > 0").select("recipe", "drops", "lends", "pack").mapInArrow(lent, "lent_digest binary, bytes binary")
-    wanted = parts.select(F.col("key").alias("wanted_key"), F.explode("drops").alias("ord"), F.col("recipe")).select("wanted_key", "ord", F.expr("recipe[ord].digest").alias("digest"))
+    # A dropped chunk's row has its digest alone, never the whole list of chunks.
+    dropped = F.expr("transform(drops, d -> struct(d as ord, recipe[d].digest as digest))")
+    wanted = parts.select(F.col("key").alias("wanted_key"), F.explode(dropped).alias("drop")).select("wanted_key", "drop.ord", "drop.digest")
     fetched = wanted.join(chunks.hint("merge"), F.col("digest") == F.col("lent_digest")).groupBy("wanted_key").agg(F.collect_list(F.struct("ord", "bytes")).alias("fetched"))
     return whole.unionByName(parts.join(fetched.hint("merge"), F.col("key") == F.col("wanted_key")).select(*columns, "fetched").mapInArrow(together, schema))
 

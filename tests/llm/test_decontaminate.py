@@ -102,12 +102,15 @@ def test_several_passes_give_what_one_pass_gives(spark, monkeypatch):
     data = [(1, " ".join(w[:25]), 1, 0), (2, " ".join([*w[:25], "end"]), 1, 0), (3, joined, 1, 0), (4, "clean", 1, 0), (4, "clean", 1, 0), (5, None, 1, 0), (6, f"x {b}", 1, 0), (6, f"x {b}", 1, 0)]
     docs = spark.createDataFrame(data, "doc_id long, text string, n_chars long, spans int")
     got = []
-    for windows in (200_000, 11):
+    # The windows in one group, in several, and in several with pieces of text that wait for one another, or do not.
+    for windows, piece, held in ((200_000, 2 << 20, 4_000_000), (11, 2 << 20, 4_000_000), (11, 40, 60), (11, 40, 1)):
         monkeypatch.setattr(decontaminate, "PASS_WINDOWS", windows)
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        monkeypatch.setattr(decontaminate, "HELD_WORDS", held)
         cut = sorted((tuple(r) for r in decontaminate.remove(docs, items).collect()), key=repr)
         found = sorted((repr(r) for r in decontaminate.find(docs, items).collect()))
         got.append((cut, found))
-    assert got[0] == got[1] and len(got[0][1]) == len(data)
+    assert all(g == got[0] for g in got) and len(got[0][1]) == len(data)
     assert [(r[0], r[1]) for r in got[0][0]] == [(2, " end"), (3, "p0 p1 p2 p3 p4  q0 q1 q2 q3 q4"), (4, "clean"), (4, "clean"), (5, None), (6, "x "), (6, "x ")]
 
 
@@ -119,3 +122,23 @@ def test_groups_split_a_window_of_many_items(spark, monkeypatch):
     assert n == 4 and 1 < len(groups) <= n and sum(len(i) for g in groups for i in g.items) == 12
     found = decontaminate.find(spark.createDataFrame([(1, "x b c d e f g h i j k y")], "doc_id long, text string"), items).first()
     assert found["items"] == sorted(str(i) for i in range(1, 12, 2)) and [(s.first, s.last) for s in found.spans] == [(1, 11)]
+
+
+def test_a_group_is_read_once_for_many_pieces(monkeypatch):
+    import pyarrow as pa
+
+    class Told(decontaminate.Groups):
+        reads = 0
+
+        def __iter__(self):
+            Told.reads += 1
+            yield decontaminate.Phrases([("i", np.arange(10, dtype=np.uint64))])
+
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(50)), "text": ["word " * 30] * 50}) for _ in range(4)]
+    monkeypatch.setattr(decontaminate, "PIECE", 1000)
+    for n, held, reads in ((2, 10**6, 1), (2, 1500, 4), (1, 10**6, None)):
+        monkeypatch.setattr(decontaminate, "HELD_WORDS", held)
+        Told.reads = 0
+        found = list(decontaminate.searched(batches, 1, Told("", n)))
+        assert sum(b.num_rows for b, *_ in found) == 200 and [x for _, words, *_ in found for x in words.tolist()] == [30] * 200
+        assert Told.reads == (reads or len(found))
