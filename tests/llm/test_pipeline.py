@@ -44,3 +44,42 @@ def test_near_duplicates_are_linked_by_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
     assert kept == {j for j in range(len(sets)) if not any(10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) for i in range(j))}
+
+
+LONG = " ".join(f"word{i}" for i in range(60_000))
+EDGES = [
+    (1, None), (2, ""), (3, " \n "), (4, LONG), (5, LONG + " tail"), (6, "the same short text of some words"), (6, "the same short text of some words"), (7, "the same short text of some words"),
+    (None, "a row without an id, and with words of its own"), (8, "write to someone@example.com or not"), (9, "You idiot moron, you pathetic scum and loser, you worthless trash. You idiot."), (10, None), (2, ""),
+]
+KIND = "doc_id long, text string, lang string, source string, n_chars long, score string, spans int, key string, h int, id int, component_id long, y int, x int, folder string"
+
+
+def edge_docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "score", 1, "key", 2, 3, -4, 5, 6, "f") for i, t in rows], KIND)
+
+
+def test_edges_of_every_stage(spark):
+    docs = edge_docs(spark, EDGES)
+    key = lambda rows: sorted(((r.doc_id, r.text) for r in rows), key=repr)
+    kept = {name: stage(spark, docs, SF) for name, stage in corpus_pipeline.STAGES}
+    for name in ("toxicity", "near_duplicates", "decontamination", "pii"):
+        assert kept[name].columns == docs.columns, name
+        rows = kept[name].collect()
+        assert {(r.score, r.spans, r.key, r.h, r.id, r.component_id, r.y, r.x, r.folder) for r in rows} == {("score", 1, "key", 2, 3, -4, 5, 6, "f")}, name
+        kept[name] = rows
+    assert key(kept["toxicity"]) == key(r for r in docs.collect() if r.doc_id != 9)
+    assert key(kept["decontamination"]) == key(docs.collect())
+    # One of the long texts, which share all but a few shingles, and one of the three equal ones; texts without words all stay.
+    want = [r for r in EDGES if r[0] not in (5, 6, 7)] + [(6, EDGES[5][1])]
+    assert key(kept["near_duplicates"]) == sorted(want, key=repr)
+    assert key(r for r in kept["pii"] if r.doc_id != 8) == key(r for r in docs.collect() if r.doc_id != 8)
+    assert [r.text.startswith("write to [") and r.text.endswith("] or not") for r in kept["pii"] if r.doc_id == 8] == [True]
+    assert all(r.n_chars == len(r.text or "") for r in kept["pii"])
+    tokens = kept["bpe"].collect()
+    assert len(tokens) == len(EDGES) and all(r.n_tokens == len(r.ids) for r in tokens) and sum(r.n_tokens == 0 for r in tokens) == 5
+
+
+def test_empty_tables(spark):
+    none = edge_docs(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).collect() == [], name
