@@ -10,6 +10,22 @@ from pagefold.functions import pages, units
 # The error vocabulary by status; retriable statuses.
 CODE_OF_STATUS = {401: "Unauthorized", 403: "Forbidden", 404: "NotFound", 405: "MethodNotAllowed", 409: "Conflict", 415: "UnsupportedMediaType", 503: "ServiceUnavailable"}
 READ_CODE_OF_STATUS = {401: "Unauthorized", 415: "UnsupportedMediaType"}
+# The messages of codes and of inner codes, and the statuses of codes.
+MESSAGES = {
+    "InvalidRequest": "Invalid request.", "InvalidArgument": "Invalid argument.", "Unauthorized": "Access denied due to invalid subscription key.",
+    "Forbidden": "Access forbidden due to policy or other configuration.", "NotFound": "Resource not found.", "MethodNotAllowed": "The requested HTTP method isn't allowed.",
+    "Conflict": "The request couldn't be completed due to a conflict.", "UnsupportedMediaType": "Request content type isn't supported.", "InternalServerError": "An unexpected error occurred.",
+    "ServiceUnavailable": "A transient error occurred. Try again.",
+}
+INNER_MESSAGES = {
+    "InvalidContent": "The file is corrupted or format is unsupported. Refer to documentation for the list of supported formats.",
+    "InvalidContentLength": "The input image is too large. Refer to documentation for the maximum file size.",
+    "InvalidContentDimensions": "The input image dimensions are out of range. Refer to documentation for supported image dimensions.",
+    "OperationNotFound": "The requested operation wasn't found. The identifier is invalid or the operation is expired.",
+    "ModelNotFound": "The requested model wasn't found. It was deleted or still building.", "ContentSourceTimeout": "Timeout while receiving the file from client.", "Unknown": "Unknown error.",
+}
+STATUS_OF_CODE = {"InvalidRequest": 400, "InvalidArgument": 400, "Unauthorized": 401, "Forbidden": 403, "NotFound": 404, "MethodNotAllowed": 405, "Conflict": 409, "UnsupportedMediaType": 415, "InternalServerError": 500, "ServiceUnavailable": 503}
+NO_DETAIL = "The upstream container reported the analysis as failed without detail."
 RETRIABLE = (408, 429, 500, 502, 503, 504)
 ERROR = "error struct<code string, message string, target string, innererror struct<code string, message string>>, code string, message string, requestId string, status string"
 
@@ -86,7 +102,7 @@ def parsed_error(body: Column) -> Column:
     return (
         F.when(F.coalesce(e["code"], F.lit("")) != "", made(e["code"], text(e["message"]), e["target"], e["innererror"]["code"], e["innererror"]["message"], none))
         .when(F.coalesce(b["code"], F.lit("")) != "", made(b["code"], b["message"], none, none, none, b["requestId"]))
-        .when(F.lower(b["status"]) == "failed", made(F.lit("InternalServerError"), F.lit("The analysis was reported as failed without detail."), none, none, none, none))
+        .when(F.lower(b["status"]) == "failed", made(F.lit("InternalServerError"), F.lit(NO_DETAIL), none, none, none, none))
     )
 
 
@@ -101,6 +117,23 @@ def code_of_status(surface: Column, status: Column) -> Column:
     return F.when(surface == "read", read.when(client, "BadArgument").otherwise("InternalServerError")).otherwise(di.when(client, "InvalidRequest").otherwise("InternalServerError"))
 
 
+def looked_up(table: dict, key: Column) -> Column:
+    """The value of a small fixed table, null for a key that it lacks."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+
+
+def message_of_code(code: Column) -> Column:
+    return looked_up(MESSAGES, code)
+
+
+def message_of_inner_code(code: Column) -> Column:
+    return looked_up(INNER_MESSAGES, code)
+
+
+def status_of_code(code: Column) -> Column:
+    return looked_up(STATUS_OF_CODE, code)
+
+
 def retriable(status: Column) -> Column:
     return F.coalesce(status.isin(*RETRIABLE), F.lit(False))
 

@@ -395,7 +395,7 @@ BODIES = """CASE event_id % 8 WHEN 0 THEN '{"error":{"code":"Conflict","message"
 
 
 @query(f"""WITH b AS (SELECT event_id, event_id % 8 AS b, [400, 404, 415, 500, 503, 409, 429, 200][event_id % 7 + 1] AS status FROM events)
-    SELECT event_id, CASE b WHEN 0 THEN 'Conflict:m:In:im:-' WHEN 1 THEN 'Flat:f:-:-:r' WHEN 2 THEN 'InternalServerError:The analysis was reported as failed without detail.:-:-:-' END AS error,
+    SELECT event_id, CASE b WHEN 0 THEN 'Conflict:m:In:im:-' WHEN 1 THEN 'Flat:f:-:-:r' WHEN 2 THEN 'InternalServerError:The upstream container reported the analysis as failed without detail.:-:-:-' END AS error,
         CASE status WHEN 404 THEN 'NotFound' WHEN 409 THEN 'Conflict' WHEN 415 THEN 'UnsupportedMediaType' WHEN 503 THEN 'ServiceUnavailable' WHEN 500 THEN 'InternalServerError' ELSE 'InvalidRequest' END AS di_code,
         CASE status WHEN 415 THEN 'UnsupportedMediaType' WHEN 500 THEN 'InternalServerError' WHEN 503 THEN 'InternalServerError' ELSE 'BadArgument' END AS read_code, status IN (429, 500, 503) AS retriable,
         CASE b WHEN 2 THEN 'Failed:false:false:true' WHEN 5 THEN 'succeeded:true:false:false' WHEN 7 THEN 'running:false:false:false' WHEN 3 THEN ':false:false:false' WHEN 4 THEN ':false:false:false' ELSE 'succeeded:true:true:false' END AS envelope,
@@ -516,3 +516,36 @@ def json_copied(spark, sf_dir):
     rows = shred.rewritten(read(spark, sf_dir, "events").select("event_id", "props"), "props", lambda path, kind, raw: None)
     return rows.select("event_id", F.md5("props").alias("props_md5"), F.col("props").isNotNull().alias("one_value"))
 
+
+
+def sql_values(table: dict) -> str:
+    return ", ".join(f"('{k}', '{str(v).replace(chr(39), chr(39) * 2)}')" for k, v in table.items())
+
+
+@query(ATTEMPTS + f""", m(code, message) AS (VALUES {sql_values(policy.MESSAGES)}), s(code, back) AS (VALUES {sql_values(policy.STATUS_OF_CODE)}),
+    c AS (SELECT event_id, status, CASE WHEN status IN (401, 403, 404, 405, 409, 415, 503) THEN CASE status WHEN 404 THEN 'NotFound' WHEN 405 THEN 'MethodNotAllowed' WHEN 503 THEN 'ServiceUnavailable' END
+        WHEN status BETWEEN 400 AND 499 THEN 'InvalidRequest' ELSE 'InternalServerError' END AS code FROM a WHERE status >= 400)
+    SELECT c.status, code, message, CAST(back AS INT) AS back, count(*) AS n FROM c JOIN m USING (code) JOIN s USING (code) GROUP BY ALL""")
+def error_messages(spark, sf_dir):
+    """The failed calls of the log by status, with the error that is made of each: code, message, and the code's own status."""
+    failed = attempt_log(spark, sf_dir).where("status >= 400").withColumn("code", policy.code_of_status(F.lit("di"), F.col("status")))
+    return failed.select("status", "code", policy.message_of_code(F.col("code")).alias("message"), policy.status_of_code(F.col("code")).alias("back")).groupBy("status", "code", "message", "back").agg(F.count("*").alias("n"))
+
+
+ROLES = "CASE event_id % 5 WHEN 0 THEN 'title' WHEN 1 THEN 'sectionHeading' WHEN 2 THEN NULL ELSE event_type END"
+
+
+@query(f"""SELECT event_id, coalesce({ROLES} IN ('title', 'sectionHeading'), false) AS heading, CASE WHEN value > 10 THEN (value - value / 4) / value END AS usage,
+    CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN event_type || ': ' || user_id ELSE CAST(user_id AS VARCHAR) END AS summary,
+    CASE WHEN event_id % 4 = 0 THEN 'whole' WHEN event_id % 3 > 0 THEN 'whole_after_merge' ELSE 'merged' END AS fallback, 'part-' || (event_id % 90 + 1) || '-' || (event_id % 90 + 1 + event_id % 7) || '.json' AS label,
+    CASE WHEN value <= 0.25 THEN 0.25::DOUBLE WHEN value <= 0.5 THEN 0.5 WHEN value <= 1 THEN 1 WHEN value <= 2 THEN 2 WHEN value <= 5 THEN 5 WHEN value <= 10 THEN 10 WHEN value <= 30 THEN 30 WHEN value <= 60 THEN 60 WHEN value <= 120 THEN 120 WHEN value <= 300 THEN 300 END AS bucket FROM events""")
+def small_rules(spark, sf_dir):
+    """Headings, the used share of a volume, status lines, fallbacks, part names and histogram buckets of the events' values."""
+    n, value = F.col("event_id"), F.col("value")
+    role = F.when(n % 5 == 0, "title").when(n % 5 == 1, "sectionHeading").when(n % 5 != 2, F.col("event_type"))
+    status, message = F.when(n % 3 == 2, "").otherwise(F.col("event_type")), F.when(n % 3 == 0, "").otherwise(F.col("user_id").cast("string"))
+    numbers = F.sequence(n % 90 + 1, n % 90 + 1 + n % 7)
+    return read(spark, sf_dir, "events").select(
+        "event_id", policy.heading(role).alias("heading"), policy.usage(F.when(value > 10, value).otherwise(0.0), value / 4).alias("usage"), policy.summary(status, message).alias("summary"),
+        attempts.fallback(F.when(n % 4 == 0, "whole").otherwise("split"), n % 3).alias("fallback"), pages.label(numbers, "part", ".json").alias("label"), metrics.bucket(value).alias("bucket"),
+    )
