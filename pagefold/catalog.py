@@ -246,10 +246,11 @@ TREE = """WITH RECURSIVE e(parent, child) AS (SELECT 'root', 'r' || r_regionkey
 @query(TREE.replace("depth, count", "CAST(depth AS BIGINT) AS depth, count"))
 def section_depth(spark, sf_dir):
     """Sections as a tree of regions, nations and customers, walked from its root."""
-    for name in ("region", "nation", "customer"):
-        read(spark, sf_dir, name).createOrReplaceTempView(f"tree_{name}")
-    sql = TREE.replace("e(parent, child) AS", "e(parent, child) AS").replace("FROM region", "FROM tree_region").replace("FROM nation", "FROM tree_nation").replace("FROM customer", "FROM tree_customer")
-    return spark.sql(sql).select(F.col("depth").cast("bigint").alias("depth"), "nodes")
+    name = lambda letter, key: F.concat(F.lit(letter), key)
+    of = lambda table, parent, child: read(spark, sf_dir, table).select(parent.alias("parent"), child.alias("child"))
+    edges = of("region", F.lit("root"), name("r", "r_regionkey")).unionByName(of("nation", name("r", "n_regionkey"), name("n", "n_nationkey")))
+    edges = edges.unionByName(of("customer", name("n", "c_nationkey"), name("c", "c_custkey")))
+    return checks.tree_depths(edges, "root").groupBy("depth").agg(F.count("*").alias("nodes"))
 
 
 def hour():

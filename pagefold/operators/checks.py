@@ -30,3 +30,13 @@ def numbering(rows: DataFrame, group: list[str], order: list[str], number: str)
     """Rows whose number is not their place in their group, from 1."""
     place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return rows.withColumn("expected", place.cast("bigint")).where(F.col(number) != F.col("expected"))
+
+
+def tree_depths(edges: DataFrame, root: str) -> DataFrame:
+    """(node, depth) of every node that is reached from the root along edges (parent, child), once for each way to it.
+
+    Spark's recursive query: a join a level, up to spark.sql.cteRecursionLevelLimit levels, so that a tree that loops
+    ends with an error and not never, and up to spark.sql.cteRecursionRowLimit rows.  An unknown root has depth 0.
+    """
+    sql = "WITH RECURSIVE t(node, depth) AS (SELECT :root, 0L UNION ALL SELECT child, depth + 1 FROM {edges} JOIN t ON parent = node) SELECT node, depth FROM t"
+    return edges.sparkSession.sql(sql, args={"root": root}, edges=edges.select("parent", "child"))
