@@ -12,6 +12,7 @@ from pagefold.catalog import ATTEMPTS, JOBS, NOW, P, attempt_log, job_rows, orde
 from pagefold.functions import pages, policy, text, units
 from pagefold.operators import attempts, diffing, invariants, jobs, metrics, planning, schema, shred
 from pagefold.plans import assembly, cutting
+from pagefold.sources import generated
 
 
 def quoted(column):
@@ -549,3 +550,16 @@ def small_rules(spark, sf_dir):
         "event_id", policy.heading(role).alias("heading"), policy.usage(F.when(value > 10, value).otherwise(0.0), value / 4).alias("usage"), policy.summary(status, message).alias("summary"),
         attempts.fallback(F.when(n % 4 == 0, "whole").otherwise("split"), n % 3).alias("fallback"), pages.label(numbers, "part", ".json").alias("label"), metrics.bucket(value).alias("bucket"),
     )
+
+
+@query("SELECT c_custkey AS doc_id, 1 + c_custkey % 7 AS pages, 1 + (c_custkey % 7) // 3 AS sections, true AS same FROM customer")
+def generated_round_trip(spark, sf_dir):
+    """A result of some pages made for each customer, cut by pages of two, merged again: equal in every byte, with its sections."""
+    documents = spread(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (1 + F.col("c_custkey") % 7).alias("pages")), "doc_id")
+    whole = generated.layout_results(documents)
+    k = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("pages") - 1) / 2))
+    plan = documents.select("doc_id", "pages", F.explode(k).alias("k")).select("doc_id", "k", F.sequence(2 * F.col("k") + 1, F.least(2 * F.col("k") + 2, F.col("pages"))).alias("planned"))
+    again = assembly.documents(cutting.cut(whole, plan, units.CODE_POINTS), unit=units.CODE_POINTS)
+    n = F.get(F.filter("counts", lambda c: c["name"] == "sections"), F.lit(0))["items"] - 1
+    both = whole.join(again.select("doc_id", n.alias("sections"), F.col("result").alias("merged")), "doc_id")
+    return both.select("doc_id", "pages", "sections", (F.col("result") == F.col("merged")).alias("same"))
