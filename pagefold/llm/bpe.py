@@ -27,6 +27,8 @@ from pagefold.llm.common import stored, table, text_or_empty
 
 #: Characters of the texts of one block; a longer text is a block of its own.
 BLOCK_CHARS = 32 << 20
+#: Tasks that join blocks, for each bucket: there are about as many blocks as buckets, and a task should not hash several.
+BLOCK_TASKS = 4
 #: Words in one row of coded texts, about.
 ROW_WORDS = 200_000
 ABOVE_LATIN = re.compile("[^\0-ſ]")
@@ -198,8 +200,9 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     # that what a task holds does not.
     buckets = max(16, docs.rdd.getNumPartitions())
     both = stored(coded(docs, id_col, text_col, buckets, block_chars), "coded")
-    words = encoded_words(both.where("bucket is not null").select("bucket", "block", "codes", "words"), tokenizer, buckets).repartition(buckets, "block")
-    texts = both.where("bucket is null").select("block", "ids", "codes", F.col("words").alias("sizes")).repartition(buckets, "block")
+    joins = BLOCK_TASKS * buckets
+    words = encoded_words(both.where("bucket is not null").select("bucket", "block", "codes", "words"), tokenizer, buckets).repartition(joins, "block")
+    texts = both.where("bucket is null").select("block", "ids", "codes", F.col("words").alias("sizes")).repartition(joins, "block")
     pieces = vocabulary(tokenizer)
     kind = docs.schema[id_col].dataType
 
