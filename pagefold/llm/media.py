@@ -140,6 +140,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     A recipe lists a medium's chunks in order; pack has the owned ones' bytes joined and compressed, drops the numbers
     of those owned elsewhere, lends the numbers of those that other media use.  Null texts are empty; equal texts are
     one medium; rows that repeat keep a row each.  An empty table gives empty tables.  Other columns are not read.
+    Ids are taken as bigint; one that is no number is an error.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
     rows = stored(listed(docs), "media-rows")

@@ -10,7 +10,6 @@ import array
 import base64
 import os
 import re
-import tempfile
 import zlib
 
 import numpy as np
@@ -119,23 +118,37 @@ class Files:
         (os.replace if self.fs is None else self.fs.move)(part, f"{self.at}/{name}")
         return total
 
-    def mapped(self, name: str, dtype) -> np.ndarray:
+    def mapped(self, name: str, dtype):
+        """A file's numbers, by slices: a memory map, or ranges of a store that has no local paths."""
         path = f"{self.at}/{name}"
         if self.fs is not None:
-            with tempfile.NamedTemporaryFile() as copy, self.fs.open_input_stream(path) as f:
-                while chunk := f.read(1 << 24):
-                    copy.write(chunk)
-                copy.flush()
-                return np.memmap(copy.name, dtype, "r") if os.path.getsize(copy.name) else np.zeros(0, dtype)
+            return Ranged(self.fs, path, dtype)
         return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
 
 
+class Ranged:
+    """The numbers of a remote file; a slice reads its own bytes and no others."""
+
+    def __init__(self, fs, path: str, dtype):
+        self.file, self.dtype = fs.open_input_file(path), np.dtype(dtype)
+        self.n = self.file.size() // self.dtype.itemsize
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        a, b, _ = part.indices(self.n)
+        self.file.seek(a * self.dtype.itemsize)
+        return np.frombuffer(self.file.read(max(0, b - a) * self.dtype.itemsize), self.dtype)
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, ranks: str | None, end_id: int, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Write the ids of every whole text in order of id, each text's behind it end_id; return the files' manifest.
 
     For each file: .ids (flat dtype), .offsets (int64, n + 1 starts within the file), .keys (int64 ids) and .nulls
     (one byte, 1 for a null id).  Null ids come first; ties of an id are ordered by text; rows that repeat are
     written each.  Null texts are empty: end_id alone.  An empty table writes no file.  Other columns are not read.
+    Ids are taken as bigint; one that is no number is an error.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
     # As many files as input partitions: the files' lengths follow the partitions' sizes.
@@ -188,7 +201,8 @@ def read(spark, folder: str, manifest: list[dict], dtype: str = "<u2") -> DataFr
                 keys, nulls = files.mapped(f"{part['name']}.keys", "<i8"), files.mapped(f"{part['name']}.nulls", np.uint8)
                 for at in range(0, len(keys), 8192):
                     cuts = offsets[at : at + 8193]
-                    crc = [zlib.crc32(ids[a:e].astype("<u4").tobytes()) for a, e in zip(cuts[:-1], cuts[1:], strict=True)]
+                    own_ids, zero = ids[cuts[0] : cuts[-1]], cuts[0]
+                    crc = [zlib.crc32(own_ids[a - zero : e - zero].astype("<u4").tobytes()) for a, e in zip(cuts[:-1], cuts[1:], strict=True)]
                     own = pa.array(keys[at : at + 8192].astype(np.int64), mask=nulls[at : at + 8192].astype(bool))
                     yield pa.RecordBatch.from_arrays([own, pa.array(cuts[:-1] + part["base"]), pa.array(np.diff(cuts)), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 

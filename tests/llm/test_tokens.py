@@ -83,3 +83,30 @@ def test_token_files_round_trip(spark, docs):
 def test_token_files_of_nothing(spark, docs):
     folder = scratch_path(spark, "test-files")
     assert tokenfiles.read(spark, folder, tokenfiles.write(docs[1].limit(0), folder, BYTE_FILE, RANKS, end_id=2)).collect() == []
+
+
+def test_files_of_a_store_are_read_by_ranges(spark, docs, monkeypatch):
+    """The same through a file system that has no local paths, as a remote store has none."""
+    frame = docs[1].where("doc_id < 400 or doc_id is null")
+    folder = scratch_path(spark, "ids")
+    manifest = tokenfiles.write(frame, folder, BYTE_FILE, RANKS, end_id=2)
+    want = sorted(map(tuple, tokenfiles.read(spark, folder, manifest).collect()), key=repr)
+    near = tokenfiles.Files(folder)
+
+    class Far(tokenfiles.Files):
+        def __init__(self, uri):
+            from pyarrow import fs
+
+            self.at = tokenfiles.re.sub(r"^file:(//)?(?=/)", "", uri)
+            self.fs = fs.LocalFileSystem()
+
+    monkeypatch.setattr(tokenfiles, "Files", Far)
+    assert sorted(map(tuple, tokenfiles.read(spark, folder, manifest).collect()), key=repr) == want and len(want) > 400
+    again = scratch_path(spark, "ids")
+    written = tokenfiles.write(frame, again, BYTE_FILE, RANKS, end_id=2)
+    assert sorted(map(tuple, tokenfiles.read(spark, again, written).collect()), key=repr) == want
+    far = Far(folder).mapped(f"{manifest[0]['name']}.ids", "<u2")
+    whole = near.mapped(f"{manifest[0]['name']}.ids", "<u2")
+    assert isinstance(far, tokenfiles.Ranged) and len(far) == len(whole)
+    for a, b in ((0, 5), (3, 3), (7, 400), (len(whole) - 2, len(whole) + 9)):
+        assert (far[a:b] == whole[a:b]).all()
