@@ -96,3 +96,37 @@ def page(files, after: tuple[str, str] | None, limit: int):
 
     rows = files if after is None else files.where((F.col("shard") > after[0]) | (F.col("shard") == after[0]) & (F.col("name") > after[1])).where(F.col("shard") >= after[0])
     return rows.orderBy("shard", "name").limit(limit)
+
+#: Bytes that a task reads of a file at once.
+CHUNK = 1 << 20
+
+
+def member_ranges(files, path: str = "path", store: str = "", most_bytes: int | None = None):
+    """(path, name, start, end, problem): where the members of the JSON object in each file begin and end.
+
+    A task holds a chunk of a file and no more, so that files may be larger than memory; `store` is put before each path
+    (as `s3://`).  A file that cannot be read, is no JSON object, or has more than most_bytes gives one row with its
+    problem, behind the members that were told before it was met.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from pagefold.functions import bytescan
+
+    def scanned(uri: str):
+        try:
+            fs, at = opened(uri)
+            with fs.open_input_stream(at) as f:
+                yield from ((*found, None) for found in bytescan.member_ranges(iter(lambda: f.read(CHUNK), b""), most_bytes))
+        except (OSError, ValueError) as e:
+            yield None, None, None, f"{type(e).__name__}: {e}"
+
+    def run(batches):
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                if rows := list(scanned(store + at)):
+                    names, starts, ends, problems = map(list, zip(*rows, strict=True))
+                    told = [pa.array(names, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(problems, pa.string())]
+                    yield pa.RecordBatch.from_arrays([pa.array([at] * len(rows), pa.string()), *told], ["path", "name", "start", "end", "problem"])
+
+    return files.where(F.col(path).isNotNull()).select(F.col(path).alias("path")).mapInArrow(run, "path string, name string, start bigint, end bigint, problem string")

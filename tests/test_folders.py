@@ -67,3 +67,17 @@ def test_reader_alone(tmp_path):
 
 def test_null_columns_do_not_match(spark, listed):
     assert load(spark, str(listed[0])).where(F.col("shard").isNull()).collect() == []
+
+
+def test_members_of_files_by_range(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(folders, "CHUNK", 5)
+    texts = {"a": '{"x": [1, 2], "y":"é"}', "b": '{"x":', "c": "{}", "d": '{"long":"' + "s" * 100 + '"}'}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    files = spark.createDataFrame([(str(tmp_path / n),) for n in ("a", "b", "c", "d", "none")] + [(None,)], "path string")
+    rows = folders.member_ranges(files, most_bytes=60).collect()
+    told = sorted((os.path.basename(r.path), r.name, r.start, r.end, (r.problem or "").split(":")[0]) for r in rows)
+    assert [t for t in told if t[0] == "a"] == [("a", "x", 6, 12, ""), ("a", "y", 18, 22, "")]
+    assert [t[:2] + t[4:] for t in told if t[0] != "a"] == [("b", None, "Malformed"), ("d", None, "Malformed"), ("none", None, "FileNotFoundError")]
+    raw = (tmp_path / "a").read_bytes()
+    assert raw[6:12] == b"[1, 2]" and raw[18:22].decode() == '"é"'
