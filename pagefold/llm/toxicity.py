@@ -33,7 +33,7 @@ MAX_FIT_ROWS = 12_000
 #: Tasks that the rows of the fit are dealt to.
 FIT_TASKS = 32
 #: Words whose class and weight a task keeps; beyond that it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 # Closed word classes in English, German, French and Spanish.
 SEED_INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile", "vermin"]
