@@ -33,13 +33,13 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows, key):
-    """rows in as many partitions as there are cores at least: a small file is one, and what is made of its rows is large.
+def spread(rows, key, each=20_000):
+    """rows dealt to tasks of about `each`, and to as many as there are cores at least: what is made of the rows is large.
 
-    Scans of large tables have more, and are left as they are.
+    A scan is no measure of that: its splits are of bytes, and one of them gets all rows of a row group.
     """
-    n = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(n, key) if rows.rdd.getNumPartitions() < n else rows
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // each)
+    return rows.repartition(n, key)
 
 
 def order_pages(spark, sf_dir):

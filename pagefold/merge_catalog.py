@@ -26,7 +26,7 @@ PART = """concat('{{"apiVersion":"v1","modelId":"m","stringIndexType":"unicodeCo
 
 def conversation_parts(spark, sf_dir):
     """(doc_id, k, planned, raw, text): every turn as the result of the page behind its number."""
-    turns = spread(read(spark, sf_dir, "conversations"), "conv_id").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = spread(read(spark, sf_dir, "conversations"), "conv_id", 5_000).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.withColumn("q", quoted("text"))
     return turns.select("doc_id", "k", F.array((F.col("k") + 1).cast("int")).alias("planned"), F.expr(PART.format(q="q", n="length(text)")).alias("raw"), "text")
 
@@ -311,8 +311,7 @@ def member_listing(spark, sf_dir):
         WHEN '.tags[2]' THEN CAST(user_id AS VARCHAR) WHEN '.none' THEN '{}' WHEN '.deep."x.y"[1]' THEN 'null' ELSE 'true' END, ',' ORDER BY event_id)) AS raw_md5 FROM events, m GROUP BY ALL""")
 def shredded_values(spark, sf_dir):
     rows = shred.shred(event_documents(spark, sf_dir), "event_id", "doc")
-    raw = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "raw"))), lambda r: r["raw"])
-    return rows.groupBy("path", "pattern", "kind").agg(F.count("*").alias("n"), F.md5(F.array_join(raw, ",")).alias("raw_md5"))
+    return shred.digests(rows, ["path", "pattern", "kind"], "event_id", "raw", "raw_md5")
 
 
 def changed_documents(spark, sf_dir):
@@ -555,7 +554,7 @@ def small_rules(spark, sf_dir):
 @query("SELECT c_custkey AS doc_id, 1 + c_custkey % 7 AS pages, 1 + (c_custkey % 7) // 3 AS sections, true AS same FROM customer")
 def generated_round_trip(spark, sf_dir):
     """A result of some pages made for each customer, cut by pages of two, merged again: equal in every byte, with its sections."""
-    documents = spread(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (1 + F.col("c_custkey") % 7).alias("pages")), "doc_id")
+    documents = spread(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), (1 + F.col("c_custkey") % 7).alias("pages")), "doc_id", 2_000)
     whole = generated.layout_results(documents)
     k = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("pages") - 1) / 2))
     plan = documents.select("doc_id", "pages", F.explode(k).alias("k")).select("doc_id", "k", F.sequence(2 * F.col("k") + 1, F.least(2 * F.col("k") + 2, F.col("pages"))).alias("planned"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import re
@@ -140,6 +141,48 @@ def masked(docs: DataFrame, text_col: str, base: str = "") -> DataFrame:
     return rewritten(docs, text_col, visit)
 
 
+#: Ids whose values are one block of a digest.
+DIGEST_BLOCK = 8192
+
+
+def digests(rows: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """(keys, n, name): the number of rows of each group, and the MD5 of their values, joined by commas in order.
+
+    A null value is left out of the text, as array_join leaves it out, and is counted.  Blocks of neighbouring ids
+    (integers, not null) are joined first, in parallel; a group's digest then runs over its sorted blocks, of which a
+    task holds one at a time.  Keys are strings.
+    """
+    value_of = lambda r: r["v"]
+    found = F.filter(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), value_of), lambda v: v.isNotNull())
+    at = F.floor(F.col(order) / DIGEST_BLOCK).alias("block")
+    blocks = rows.groupBy(*keys, at).agg(F.count("*").alias("n"), F.when(F.size(found) > 0, F.array_join(found, ",")).alias("text"))
+    ordered = blocks.select(*keys, "block", "n", "text").repartition(*keys).sortWithinPartitions(*keys, "block")
+    names = [*keys, "n", name]
+
+    def run(batches):
+        now = n = None
+        told, begun = hashlib.md5(usedforsecurity=False), False
+
+        def row():
+            return pa.RecordBatch.from_arrays([*(pa.array([k], pa.string()) for k in now), pa.array([n], pa.int64()), pa.array([told.hexdigest()], pa.string())], names)
+
+        for b in batches:
+            for i in range(b.num_rows):
+                *key, _, more, text = (c[i].as_py() for c in b.columns)
+                if key != now:
+                    if now is not None:
+                        yield row()
+                    now, n, told, begun = key, 0, hashlib.md5(usedforsecurity=False), False
+                n += more
+                if text is not None:
+                    told.update(("," + text if begun else text).encode())
+                    begun = True
+        if now is not None:
+            yield row()
+
+    return ordered.mapInArrow(run, f"{', '.join(f'{k} string' for k in keys)}, n bigint, {name} string")
+
+
 def duplicates(shredded: DataFrame, doc: str) -> DataFrame:
     """(doc, path, n): members that a document names more than once."""
     return shredded.where(F.col("kind") != MALFORMED).groupBy(doc, "path").agg(F.count("*").alias("n")).where("n > 1")
