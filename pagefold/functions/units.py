@@ -30,13 +30,11 @@ def unit_slice(text: Column, offset: Column, length: Column, unit: str) -> Colum
     if unit == GRAPHEMES:
         clusters = F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0))
         return F.when(offset + length <= F.size(clusters), F.array_join(F.slice(clusters, offset + 1, length), ""))
-    # A character above U+FFFF is two units: its place in units is looked up, so that no half of it is taken.
-    chars = F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
-    chars = F.filter(chars, lambda c: c != "")
-    size = lambda c: F.when(F.octet_length(c) == 4, 2).otherwise(1)
-    ends = F.aggregate(chars, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + size(c))))
-    first, last = F.array_position(ends, offset.cast("int")), F.array_position(ends, (offset + length).cast("int"))
-    return F.when((first > 0) & (last > 0), F.array_join(F.slice(chars, first.cast("int"), (last - first).cast("int")), ""))
+    # A unit is two bytes.  A character above U+FFFF is two units, of which the second is DC00 to DFFF: no slice begins or ends there.
+    spelled, begin, end = F.encode(text, "UTF-16BE"), offset.cast("int"), (offset + length).cast("int")
+    whole = lambda at: ~F.hex(F.substring(spelled, 2 * at + 1, F.lit(1))).rlike("^D[C-F]")
+    inside = (begin >= 0) & (begin <= end) & (2 * end <= F.octet_length(spelled))
+    return F.when(inside & whole(begin) & whole(end), F.decode(F.substring(spelled, 2 * begin + 1, 2 * (end - begin)), "UTF-16BE"))
 
 
 def canonical_integer(text: Column, digits: int = 18) -> Column:

@@ -30,3 +30,16 @@ def test_digests_by_blocks_equal_those_of_whole_groups(spark):
     for k in "abcd":
         own = sorted((i, v or "") for key, i, v in data if key == k and v is not None)
         assert found[k] == (sum(key == k for key, *_ in data), hashlib.md5(",".join(v for _, v in own).encode()).hexdigest())
+
+
+def test_slices_of_utf16_units_split_no_character(spark):
+    texts = ["a😀b", "", "😀😀", "é\n中x", None]
+    for at in range(-1, 5):
+        for n in range(0, 5):
+            got = [r.c for r in spark.createDataFrame([(t,) for t in texts], "t string").select(units.unit_slice(F.col("t"), F.lit(at), F.lit(n), units.UTF16).alias("c")).collect()]
+            for t, c in zip(texts, got, strict=True):
+                places = [0]
+                for ch in t or "":
+                    places.append(places[-1] + len(ch.encode("utf-16-be")) // 2)
+                ok = t is not None and at in places and at + n in places
+                assert c == (t[places.index(at) : places.index(at + n)] if ok else None), (t, at, n)
