@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.functions import jsontext, jsontree
+from pagefold.functions import arrowrows, jsontext, jsontree
 
 #: Rules that a description may have, so that their table is small beside any task's memory.
 MOST_RULES = 100_000
@@ -145,7 +145,7 @@ def shredded(docs: DataFrame, doc: str, text: str, rules: Rules) -> DataFrame:
     names = [c.split(" ")[0] for c in VALUE.split(", ")]
 
     def run(batches):
-        for b in batches:
+        for b in arrowrows.slices(batches):
             out = [(i, *row) for i, t in enumerate(b.column(1).to_pylist()) for row in placed(t, places)]
             at, *columns = zip(*out, strict=True) if out else [()] * (1 + len(names))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], ["doc", *names])

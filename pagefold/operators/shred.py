@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from pagefold.functions import jsontext, jsontree, text
+from pagefold.functions import arrowrows, jsontext, jsontree, text
 
 MALFORMED = "Malformed"
 PLAIN_NAME = re.compile(r'[^.\[\]"\\]+')
@@ -59,7 +59,7 @@ def shred(docs: DataFrame, doc: str, text: str, under: tuple[str, ...] = (), con
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in arrowrows.slices(batches):
             out = []
             for i, t in enumerate(b.column(1).to_pylist()):
                 try:
@@ -82,7 +82,7 @@ def members(docs: DataFrame, doc: str, text: str) -> DataFrame:
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in arrowrows.slices(batches):
             out = []
             for i, t in enumerate(b.column(1).to_pylist()):
                 try:
@@ -105,7 +105,7 @@ def rewritten(docs: DataFrame, text_col: str, visit) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in arrowrows.slices(batches):
             new = []
             for t in b.column(at).to_pylist():
                 try:
@@ -274,7 +274,7 @@ def compared(docs: DataFrame, doc: str, whole: str, split: str, told, schema: st
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for b in batches:
+        for b in arrowrows.slices(batches):
             out = [(i, *row) for i, (w, s) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)) if told_equal or w != s for row in told(jsontree.parsed(w), jsontree.parsed(s))]
             at, *columns = zip(*out, strict=True) if out else [()] * (1 + len(names))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), f.type) for c, f in zip(columns, target, strict=True))], ["doc", *names])

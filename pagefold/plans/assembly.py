@@ -118,7 +118,7 @@ def measured(parts: DataFrame, profile: Profile = DI) -> DataFrame:
     rows = parts.select("doc_id", "k", F.col("planned").cast("array<bigint>").alias("planned"), "raw")
 
     def run(batches):
-        for b in batches:
+        for b in arrowrows.slices(batches):
             told = zip(*(measure(r, profile) for r in b.column(3).to_pylist()), strict=True) if b.num_rows else [()] * 5
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(list(c), t) for c, t in zip(told, MEASURES.values(), strict=True))], ["doc_id", "k", "planned", *MEASURES])
 
@@ -388,7 +388,7 @@ def documents(parts: DataFrame, profile: Profile = DI, unit: str = units.GRAPHEM
     rows = gathered(parts, profile, unit)
 
     def run(batches):
-        for b in batches:
+        for b in arrowrows.slices(batches):
             told = []
             for given, spoilt in zip(arrowrows.values(b.column(1)), b.column(2).to_pylist(), strict=True):
                 codes, result, counts = Document(profile, given, spoilt).merged()
@@ -468,7 +468,7 @@ def cut(results: DataFrame, plan: DataFrame, profile: Profile = READ) -> DataFra
     kind_k = plan.schema["k"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in arrowrows.slices(batches):
             at, ks, planned, raws, told = [], [], [], [], []
             for i, (raw, plans) in enumerate(zip(b.column(1).to_pylist(), arrowrows.values(b.column(2)), strict=True)):
                 wanted = [(p["k"], p["planned"] or []) for p in plans]

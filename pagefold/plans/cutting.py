@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagefold.functions import jsontext, units
+from pagefold.functions import arrowrows, jsontext, units
 from pagefold.operators import cutting
 from pagefold.plans import assembly
 
@@ -33,7 +33,7 @@ def cut(results: DataFrame, plan: DataFrame, unit: str = units.GRAPHEMES) -> Dat
     kind_k = plan.schema["k"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in arrowrows.slices(batches):
             at, rows = [], []
             for i, (result, wanted, sizes) in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)):
                 planned = [p["planned"] or [] for p in wanted]
@@ -64,7 +64,7 @@ def bare(results: DataFrame) -> DataFrame:
         return raw, max(0, found.get("pages", ("", 0))[1])
 
     def run(batches):
-        for b in batches:
+        for b in arrowrows.slices(batches):
             told = [one(r) for r in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([r for r, _ in told], pa.string()), pa.array([n for _, n in told], pa.int64())], ["doc_id", "k", "raw", "n_pages"])
 

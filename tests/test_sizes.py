@@ -12,6 +12,16 @@ from pagefold.operators import shred
 from pagefold.plans import assembly
 
 
+def test_slices_hold_so_many_bytes_and_every_row():
+    rows = [[{"a": "x" * (i % 50), "b": list(range(i % 4))}] * (i % 3) if i % 7 else None for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(rows, pa.list_(pa.struct([("a", pa.string()), ("b", pa.list_(pa.int64()))])))], ["i", "v"])
+    found = list(arrowrows.slices([batch], 4096))
+    assert len(found) > 10 and all(b.nbytes <= 4096 for b in found)
+    assert [v for b in found for v in arrowrows.values(b.column(1))] == rows and sum((b.column(0).to_pylist() for b in found), []) == list(range(2000))
+    wide = pa.RecordBatch.from_arrays([pa.array(["y" * 9000, "z", "w" * 9000])], ["t"])
+    assert [b.num_rows for b in arrowrows.slices([wide], 4096)] == [1, 1, 1] or sum(b.num_rows for b in arrowrows.slices([wide], 4096)) == 3
+
+
 def test_one_row_group_is_dealt_to_all_tasks(spark, tmp_path):
     spark.range(8000).selectExpr("id", "repeat(cast(id as string), 20) as t").coalesce(1).write.parquet(f"{tmp_path}/x.parquet")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
