@@ -63,6 +63,24 @@ class PageNumbers:
         elif len(path) == 4 and path[1] == "spans" and kind == "Number" and path[3] in ("offset", "length"):
             self.spans.setdefault(path[:3], {})[path[3]] = jsontext.canonical(raw[begin:end])
 
+    def see_array(self, pages: list) -> None:
+        """All values of an array, as `see` would be told of them; places are not kept."""
+        self.items = len(pages)
+        for i, page in enumerate(pages):
+            for name, value in page if type(page) is jsontext.Pairs else ():
+                if name == self.key:
+                    v = jsontext.canonical(value) if type(value) is jsontext.Number else None
+                    if not v:
+                        self.codes.add("V08")
+                    elif i != len(self.numbers):
+                        self.codes.add("V07")
+                    self.numbers.append(v or 0)
+                if name == "spans" and type(value) in (list, jsontext.Pairs):
+                    for j, span in enumerate(value) if type(value) is list else value:
+                        for key, at in span if type(span) is jsontext.Pairs else ():
+                            if key in ("offset", "length") and type(at) is jsontext.Number:
+                                self.spans.setdefault((i, j), {})[key] = jsontext.canonical(at)
+
     def told(self) -> tuple[list[int], int, list[str]]:
         """(page numbers, furthest end of a page's span or -1, codes)."""
         if len(self.numbers) != self.items:
@@ -78,17 +96,24 @@ def mark(raw: str) -> str:
 def measure(raw: str | None, profile: Profile) -> tuple:
     """(codes, members, pages, page_end, content) of one part's result, in one pass over it."""
     raw, found, pages = raw or "", [], PageNumbers(profile.page_key)
-    try:
-        for path, kind, begin, end, items in jsontext.values(raw):
-            if not path:
-                if kind != "Object":
-                    return ["V03"], [], [], -1, None
-            elif len(path) == 1:
-                found.append((path[0], kind, items, raw[begin:end]))
-            if path and path[0] == profile.page_array:
-                pages.see(path[1:], kind, raw, begin, end, items)
-    except ValueError:
-        return ["V03"], [], [], -1, None
+    told = jsontext.decoded_members(raw)
+    if told is not None and len({m[0] for m in told}) == len(told):
+        for name, value, own in told:
+            found.append((name, jsontext.kind_of(value), len(value) if type(value) in (list, jsontext.Pairs) else -1, own))
+            if name == profile.page_array and type(value) is list:
+                pages.see_array(value)
+    else:
+        try:
+            for path, kind, begin, end, items in jsontext.values(raw):
+                if not path:
+                    if kind != "Object":
+                        return ["V03"], [], [], -1, None
+                elif len(path) == 1:
+                    found.append((path[0], kind, items, raw[begin:end]))
+                if path and path[0] == profile.page_array:
+                    pages.see(path[1:], kind, raw, begin, end, items)
+        except ValueError:
+            return ["V03"], [], [], -1, None
     codes, by = [], {m[0]: m for m in found}
     if any("\\" in n for n in by):
         codes.append("V04")

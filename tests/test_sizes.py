@@ -53,3 +53,26 @@ def test_slices_of_utf16_units_split_no_character(spark):
                     places.append(places[-1] + len(ch.encode("utf-16-be")) // 2)
                 ok = t is not None and at in places and at + n in places
                 assert c == (t[places.index(at) : places.index(at + n)] if ok else None), (t, at, n)
+
+
+@pytest.mark.parametrize("text", ['{"a\\u0062":[1.50,-0,1E3,"x\\"\\\\n\\ud83d\\ude00"],"a":null,"a":true}', ' [ {} , [] ] ', '"\\n"', "1", '{"n":01}', "NaN", '["\\x"]', "[1]x", "", '{"' + "n" * 5000 + '":1}', '["a\tb"]'])
+def test_quick_trees_keep_every_spelling_and_refuse_the_same(text):
+    try:
+        want = [(p, k, text[a:b]) for p, k, a, b, n in jsontext.values(text) if n < 0]
+    except ValueError as e:
+        with pytest.raises(jsontext.Malformed) as found:
+            jsontree.parse(text)
+        assert str(found.value) == str(e)
+    else:
+        assert [(p, n.kind, n.raw) for p, n in jsontree.walk(jsontree.parse(text)) if n.kind not in ("Object", "Array")] == want
+
+
+def test_quick_measures_equal_those_of_one_pass(monkeypatch):
+    texts = [
+        '{"content":"a\\n","pages":[{"pageNumber":1,"spans":[{"offset":0,"length":2}]},{"page\\u004eumber":2}],"x":{"a":1}}', '{"pages":[{"pageNumber":1,"pageNumber":2}],"content":3}', '{"pages":{"0":{"pageNumber":1}}}',
+        '{"content":"","pages":[{},{"pageNumber":0},{"spans":{"k":{"offset":1,"length":7}}}]}', '{"pages":[],"pages":[]}', "{}", " {} x", "[]", '{"content":"a",}', '{"p\\u0061ges":[1, 2.0]}',
+    ]
+    quick = [assembly.measure(t, assembly.DI) for t in texts]
+    assert any(jsontext.decoded_members(t) for t in texts)
+    monkeypatch.setattr(jsontext, "decoded_members", lambda text: None)
+    assert quick == [assembly.measure(t, assembly.DI) for t in texts]
