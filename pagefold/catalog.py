@@ -130,9 +130,10 @@ def select_ranges(spark, sf_dir):
 def coverage_violations(spark, sf_dir):
     """Parts from which pages were taken, doubled and made up, against the selection."""
     plan = balanced_plan(spark, sf_dir)
-    parts = plan.where("not (doc_id % 7 = 0 and local_no = 2)").select("doc_id", "page")
-    parts = parts.unionByName(plan.where("doc_id % 11 = 0 and part = 0").select("doc_id", "page"))
-    parts = parts.unionByName(plan.where("doc_id % 13 = 0 and page = 1").select("doc_id", F.lit(99).cast("bigint").alias("page")))
+    doc, page = F.col("doc_id"), F.col("page")
+    kept, twice = F.when(~((doc % 7 == 0) & (F.col("local_no") == 2)), page), F.when((doc % 11 == 0) & (F.col("part") == 0), page)
+    made_up = F.when((doc % 13 == 0) & (page == 1), F.lit(99).cast("bigint"))
+    parts = plan.select("doc_id", F.explode(F.array_compact(F.array(kept, twice, made_up))).alias("page"))
     return planning.coverage_violations(parts, plan.select("doc_id", "page"))
 
 

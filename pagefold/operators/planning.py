@@ -40,7 +40,7 @@ def page_runs(pages: DataFrame, doc: str = "doc_id", page: str = "page") -> Data
 
 def coverage_violations(parts: DataFrame, selected: DataFrame, doc: str = "doc_id", page: str = "page") -> DataFrame:
     """(doc, page, planned): pages that are selected and in no part (0), in more than one part, or not selected (planned > 0)."""
-    planned = parts.groupBy(doc, page).agg(F.count("*").alias("planned"))
-    both = selected.select(doc, page).withColumn("wanted", F.lit(1)).join(planned, [doc, page], "full")
-    both = both.select(doc, page, F.coalesce("wanted", F.lit(0)).alias("wanted"), F.coalesce("planned", F.lit(0)).cast("bigint").alias("planned"))
+    told = lambda rows, wanted: rows.select(doc, page, F.lit(wanted).alias("wanted"), F.lit(1 - wanted).cast("bigint").alias("planned"))
+    # One grouping of both, so that neither side is sorted for a join.
+    both = told(selected, 1).unionByName(told(parts, 0)).groupBy(doc, page).agg(F.max("wanted").alias("wanted"), F.sum("planned").alias("planned"))
     return both.where("wanted != planned").select(doc, page, "planned")

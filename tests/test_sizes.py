@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagefold import catalog
 from pagefold.functions import arrowrows, jsontext, jsontree, units
-from pagefold.operators import shred
+from pagefold.operators import planning, shred
 from pagefold.plans import assembly
 
 
@@ -76,3 +76,11 @@ def test_quick_measures_equal_those_of_one_pass(monkeypatch):
     assert any(jsontext.decoded_members(t) for t in texts)
     monkeypatch.setattr(jsontext, "decoded_members", lambda text: None)
     assert quick == [assembly.measure(t, assembly.DI) for t in texts]
+
+
+def test_coverage_is_one_grouping(spark, capsys):
+    rows = lambda data: spark.createDataFrame(data, "doc_id long, page long")
+    found = planning.coverage_violations(rows([(1, 1), (1, 1), (1, 3), (2, 2)]), rows([(1, 1), (1, 2), (2, 2)]))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 2), (1, 2, 0), (1, 3, 1)]
+    found.explain()
+    assert "Join" not in capsys.readouterr().out
