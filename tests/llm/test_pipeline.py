@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 import corpus_pipeline
 from pagefold.llm import decontaminate, pii, simjoin, toxicity
 
@@ -83,3 +85,18 @@ def test_empty_tables(spark):
     none = edge_docs(spark, [])
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).collect() == [], name
+
+
+def test_tasks_of_a_stage_get_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id doc_id", "repeat('word ', 1000) text")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(key)
+        stage(spark, edge_docs(spark, []), SF)
+        found = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in found) == 4000 and max(r["bytes"] for r in found) < 6 << 20, name
+    spark.conf.unset(key)
