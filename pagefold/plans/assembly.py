@@ -292,6 +292,13 @@ class Renumber:
             return f'"{self.page(jsontext.canonical(page), "V32")}.{rest}"'
         return None
 
+    def items(self, raw: str, name: str) -> tuple[str, int]:
+        """An array member's items, rewritten, and their number; pages without cross-references are rewritten in one place alone."""
+        found = None
+        if not self.profile.di and name == self.profile.page_array:
+            found = jsontext.renumbered(raw, self.profile.page_key, lambda kind, own: self.number((), kind, own, "V30"))
+        return found or jsontext.array_items(raw, self, name)
+
     def number(self, path, kind, raw, code):
         return str(self.page(jsontext.canonical(raw) if kind == "Number" else None, code))
 
@@ -369,7 +376,7 @@ class Document:
                 pieces, total = [], 0
                 for p, number, m in having:
                     try:
-                        new, n = jsontext.array_items(m["raw"], number, name)
+                        new, n = number.items(m["raw"], name)
                         if n != m["items"]:
                             raise Refused("V34")
                     except Refused as e:
@@ -448,6 +455,8 @@ def views(found: DataFrame, most_bytes: int | None = None) -> tuple[DataFrame, D
 def cut_pages(raw: str | None, plans: list[tuple[int, list[int]]], profile: Profile) -> tuple[list[str | None], list[str]]:
     """(the parts' results, problems) of a result whose pages do not refer to one another, in one pass over it."""
     raw, members, items, pages = raw or "", [], [], PageNumbers(profile.page_key)
+    if told := quick_pages(raw, profile):
+        return cut_items(plans, profile, *told)
     try:
         for path, kind, a, b, n in jsontext.values(raw):
             if not path and kind != "Object":
@@ -461,6 +470,35 @@ def cut_pages(raw: str | None, plans: list[tuple[int, list[int]]], profile: Prof
     except ValueError as e:
         return [None] * len(plans), [f"not well-formed: {e}"]
     numbers, _, codes = pages.told()
+    return cut_items(plans, profile, raw, members, items, pages.places, numbers, codes)
+
+
+def quick_pages(raw: str, profile: Profile) -> tuple | None:
+    """(raw, members, items, places, numbers, codes) of a result as cut_items takes them, from the standard library's decoder.
+
+    None where it does not read the text, or a page is not an object with one number: those are told by `values`.
+    """
+    told = jsontext.object_members(raw)
+    if told is None or (names := [m[0] for m in told]).count(profile.page_array) != 1:
+        return None
+    _, begin, end = told[names.index(profile.page_array)]
+    text = raw[begin:end]
+    found = jsontext.array_members(text)
+    if found is None:
+        return None
+    places = [[(a, b) for name, a, b in own or () if name == profile.page_key] for *_, own in found]
+    if any(len(p) != 1 for p in places):
+        return None
+    places = [p for (p,) in places]
+    numbers = [jsontext.canonical(text[a:b]) for a, b in places]
+    if not all(numbers):
+        return None
+    members = [(name, "Array" if raw[a] == "[" else "", raw[a:b]) for name, a, b in told]
+    return text, members, [(a, b) for a, b, _ in found], places, numbers, []
+
+
+def cut_items(plans: list, profile: Profile, raw: str, members: list, items: list, places: list, numbers: list[int], codes: list[str]) -> tuple[list[str | None], list[str]]:
+    """cut_pages() from what was read: top members (name, kind, raw), places of the pages and of their numbers in `raw`, and the numbers."""
     if codes or len(set(numbers)) < len(numbers):
         return [None] * len(plans), [f"the pages of {profile.page_array} are not numbered"]
     at = {n: i for i, n in enumerate(numbers)}
@@ -471,7 +509,7 @@ def cut_pages(raw: str | None, plans: list[tuple[int, list[int]]], profile: Prof
     for _, planned in plans:
         texts = []
         for local, n in enumerate(planned, 1):
-            (a, b), (c, d) = items[at[n]], pages.places[at[n]]
+            (a, b), (c, d) = items[at[n]], places[at[n]]
             texts.append(f"{raw[a:c]}{local}{raw[d:b]}")
         own = (f'"{name}":' + ("[" + ",".join(texts) + "]" if name == profile.page_array and kind == "Array" else value) for name, kind, value in members)
         out.append("{" + ",".join(own) + "}")

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from pagefold.functions import units
+from pagefold.functions import jsontext, units
 from pagefold.plans import assembly
 
 KIND = "doc_id int, k int, planned array<int>, raw string"
@@ -97,3 +97,37 @@ def test_read_results_round_trip(spark):
 def test_no_parts(spark, rows):
     got, bad, _ = run(spark, rows)
     assert not got and not bad
+
+
+PAGES = [
+    '{"version":"3.2","readResults":[{ "page":1, "lines":[{"page":9}]},{"lines":[], "page" : 2 }],"x":{"page":3}}', ' {"readResults" : [ {"page":1} ] , "n":-1.50e3} ', '{"readResults":[]}', '{"readResults":{}}', "{}", "[]", "", "{",
+    '{"readResults":[{"page":1}],"readResults":[{"page":2}]}', '{"readResults":[{"page":1,"page":2}]}', '{"readResults":[{"page":"1"}]}', '{"readResults":[{"page":0}]}', '{"readResults":[{"page":01}]}', '{"readResults":[{"page":1}{"page":2}]}',
+    '{"readResults":[{"page":1},]}', '{"readResults":[{"page":1,}]}', '{"readResults":[1,{"page":1}]}', '{"readResults":[{"page":1},{"page":1}]}', '{"readResults":[{"page":2},{"page":1}]} x', '{"readResults":[{"page":1,"a":NaN}]}',
+    '{"readResults":[{"page":1,"a":"\\u00e9\\"","\\u0070age":2},{"page":2,"b":"é"}]}', '{"readResults":[{"page":1,"' + "n" * 5000 + '":1}]}', '{"readResults":[{"page":1,"a":' + "1" * 5000 + "}]}", '{"readResults":[{"page":1,"a":' + "[" * 3000 + "]" * 3000 + "}]}",
+    '{"readResults":[{"page":1}]]', '{"readResults":[{"page":1]}', '{"readResults":[{"page":null},{"page":[1]}]}', '{"readResults":[{"page":1,"a":"\t"}]}',
+]
+
+
+def test_pages_without_references_are_read_alike_by_both_ways(monkeypatch):
+    plans = [(0, [2, 1]), (1, [1])]
+
+    def told(raw):
+        cut = [assembly.cut_pages(raw, [p], assembly.READ) for p in plans]
+        array = raw[raw.find("[") : raw.rfind("]") + 1]
+        try:
+            new = assembly.Renumber(assembly.READ, [7, 8], True, 0, [], []).items(array, "readResults")
+        except (jsontext.Malformed, assembly.Refused) as e:
+            new = type(e), getattr(e, "code", None)
+        return cut, new
+
+    quick = [told(raw) for raw in PAGES]
+    assert jsontext.array_members('[{"page":1}]') == [(0 + 1, 11, [("page", 9, 10)])]
+    monkeypatch.setattr(jsontext, "array_members", lambda text: None)
+    assert quick == [told(raw) for raw in PAGES]
+
+
+def test_pages_without_references_are_not_read_value_by_value(monkeypatch):
+    monkeypatch.setattr(jsontext, "values", None)
+    cut, problems = assembly.cut_pages(PAGES[0], [(0, [2]), (1, [1])], assembly.READ)
+    assert not problems and '"page" : 1 }' in cut[0]
+    assert assembly.Renumber(assembly.READ, [7], True, 0, [], []).items('[ { "page":1, "x":{"page":5} } ]', "readResults") == (' { "page":7, "x":{"page":5} } ', 1)
