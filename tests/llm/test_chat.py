@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from pagefold.llm import chat
 
 KIND = "conv_id long, turn long, role string, text string, seq string, segment int"
@@ -64,3 +66,18 @@ def test_examples_of_turns_without_a_conversation_are_assembled(spark):
 
 def test_empty(spark):
     assert chat.read_back(chat.format_chat(rows(spark, []))).collect() == []
+
+
+def test_every_example_is_formatted_as_a_whole_and_read_back_from_there(spark):
+    data = [(1, i, "assistant" if i % 3 else "user", f"t{i}<|") for i in range(9)] + [(1, 9, "user", "tail"), (2, 0, "user", "no reply"), (None, 0, "assistant", "r")]
+    formatted = chat.format_chat(rows(spark, data), block=4).cache()
+    own = [f"<|im_start|>{r}\n" + t.replace("<|", "<\\|") + "<|im_end|>\n" for c, _, r, t in data if c == 1]
+    found = {r.seq: r for r in formatted.where("conv_id = 1").collect()}
+    assert {k: r.text for k, r in found.items()} == {i: "".join(own[: i + 1]) if i % 3 else None for i in range(9)} | {9: None}
+    assert all(r.example_chars == len(r.text) and r.text[r.loss_start : r.loss_end] == f"t{k}<\\|" for k, r in found.items() if r.text)
+    back = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    assert (back[1].n_turns, back[1].n_examples, back[1].formatted_chars) == (10, 6, sum(len(r.text) for r in found.values() if r.text))
+    changed = formatted.withColumn("text", F.replace("text", F.lit("t1"), F.lit("u1")))
+    other = {r.conv_id: r for r in chat.read_back(changed).collect()}
+    assert other[1].turns_sha256 != back[1].turns_sha256 and other[1].loss_sha256 != back[1].loss_sha256 and other[2] == back[2]
+    formatted.unpersist()
