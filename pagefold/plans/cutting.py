@@ -17,20 +17,24 @@ def clusters(content):
     return F.transform(F.regexp_extract_all(content, F.lit(r"\X"), F.lit(0)), lambda c: F.length(c))
 
 
-def cut(results: DataFrame, plan: DataFrame, unit: str = units.GRAPHEMES) -> DataFrame:
+def cut(results: DataFrame, plan: DataFrame | None, unit: str = units.GRAPHEMES) -> DataFrame:
     """(doc_id, k, planned, raw, notes, problems): the parts that whole results with cross-references split into.
 
-    results (doc_id, result), bare or in their envelope; plan (doc_id, k, planned array<int>).  Each part is spelled
+    results (doc_id, result), bare or in their envelope; plan (doc_id, k, planned array<int>), or None where results have
+    plans array<struct<k, planned>> in order, so that nothing is joined.  Each part is spelled
     without white space and numbered by itself, so that merging the parts gives the result again.  A result that cannot
     be cut (null, malformed, or with anything that cannot be followed) gives its parts a null raw text and up to eight
     problems by their paths, and ends nothing.  A document without a plan, or a plan without a document, gives nothing.
     Results and plans are shuffled by document, once each.
     """
-    pages = F.col("planned").cast("array<bigint>").alias("planned")
-    plans = plan.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", pages))).alias("plans"))
+    rows = results
+    if plan is not None:
+        pages = F.col("planned").cast("array<bigint>").alias("planned")
+        plans = plan.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", pages))).alias("plans"))
+        rows = results.select("doc_id", "result").join(plans, "doc_id")
     told = clusters(F.coalesce(F.get_json_object("result", "$.analyzeResult.content"), F.get_json_object("result", "$.content"))) if unit == units.GRAPHEMES else F.lit(None).cast("array<int>")
-    joined = results.select("doc_id", "result").join(plans, "doc_id").select("doc_id", "result", "plans", told.alias("clusters"))
-    kind_k = plan.schema["k"].dataType.simpleString()
+    joined = rows.select("doc_id", "result", "plans", told.alias("clusters"))
+    kind_k = joined.schema["plans"].dataType.elementType["k"].dataType.simpleString()
 
     def run(batches):
         for b in arrowrows.slices(batches):

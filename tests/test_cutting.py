@@ -200,3 +200,25 @@ def test_compose(spark):
     assert sorted((r.doc_id, r.k, r.planned) for r in plan.where("doc_id = 1").collect()) == [(1, 0, [1, 2]), (1, 1, [3, 4])]
     back = plan_cutting.cut(whole.where("doc_id = 1"), plan, units.CODE_POINTS).orderBy("k").collect()
     assert [json.loads(r.raw) for r in back] == [one, one]
+
+
+def test_layout_round_trip_merges_the_whole_results_once(spark):
+    from pagefold import merge_catalog
+
+    found = merge_catalog.layout_round_trip(spark, "/root/testdata/sf0.001")
+    assert found.where("not same").count() == 0
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # Two merges, each a measuring and a joining step, and the cut between them.
+    assert plan.count("MapInArrow") == 5 and "ReusedExchange" in plan
+
+
+def test_plans_may_come_with_the_results(spark):
+    from pagefold import merge_catalog
+
+    whole = assembly.merged(merge_catalog.sectioned_parts(spark, "/root/testdata/sf0.001"), unit=units.CODE_POINTS)[0].select("doc_id", "result", "pages")
+    whole = spark.createDataFrame(whole.collect(), whole.schema)
+    plan = whole.selectExpr("doc_id", "explode(sequence(1, pages)) planned").selectExpr("doc_id", "planned - 1 as k", "array(planned) planned")
+    own = whole.selectExpr("doc_id", "result", "transform(sequence(1, pages), p -> struct(p - 1 as k, array(p) as planned)) plans")
+    told = lambda rows: sorted((r.doc_id, r.k, r.planned, r.raw, r.problems) for r in rows.collect())
+    assert told(plan_cutting.cut(own, None, units.CODE_POINTS)) == told(plan_cutting.cut(whole, plan, units.CODE_POINTS))
