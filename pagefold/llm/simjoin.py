@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,26 +26,34 @@ from pagefold.llm.wordhash import NOT_SPACE, Powers, mix, words
 
 #: Counters of the token census: its result is one bit for each, whatever the input's size.
 COUNTERS = 1 << 18
+#: Counters in one row of what a task counts.
+ROW_COUNTERS = 1 << 9
 #: A counter this many times over the mean marks its tokens as common.
 COMMON = 4
 #: Tokens in one part of a block: what a task holds at once.
 BLOCK_TOKENS = 1_500_000
 
 
-def shingles(texts: pa.Array, n: int, powers: Powers):
-    """For each text its distinct shingle hashes, sorted."""
+def windows(texts: pa.Array, n: int, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each text and the end, word hashes, hashes of the n words from each word on)."""
     first, _, _, hashes = words(texts, NOT_SPACE, powers)
-    count = np.diff(first)
     out = np.zeros(len(hashes), np.uint64)
     factor = np.uint64(0x9FB21C651E98DF25)
-    for k in range(n):
-        part = np.zeros(len(hashes), np.uint64)
-        part[: len(hashes) - k] = hashes[k:]
-        out = out * factor + part
-    out = mix(out)
+    for k in range(min(n, len(hashes))):
+        out *= factor
+        out[: len(hashes) - k] += hashes[k:]
+    return first, hashes, mix(out)
+
+
+def shingles(texts: pa.Array, n: int, powers: Powers):
+    """For each text its distinct shingle hashes, sorted."""
+    first, hashes, out = windows(texts, n, powers)
+    count = np.diff(first)
     for i, (begin, c) in enumerate(zip(first[:-1].tolist(), count.tolist(), strict=True)):
         if c >= n:
-            yield np.unique(out[begin : begin + c - n + 1])
+            found = np.sort(out[begin : begin + c - n + 1])
+            twice = found[1:] == found[:-1]
+            yield found[np.r_[True, ~twice]] if twice.any() else found
         elif c:
             short = int.from_bytes(hashlib.blake2b(hashes[begin : begin + c].tobytes(), digest_size=8).digest(), "little")
             yield np.array([short], np.uint64)
@@ -64,20 +73,29 @@ def prefix_rules(size: int, percent: int) -> tuple[int, int]:
 
 
 def census(texts: DataFrame, n: int) -> np.ndarray:
-    """Which counters hold common tokens, over the sets of all texts; at most COUNTERS rows reach the driver."""
+    """Which counters hold common tokens, over all texts of n words or more; at most COUNTERS rows reach the driver.
+
+    A task gives its counters in rows of ROW_COUNTERS each, which are added up by their place.
+    """
 
     def run(batches):
         powers, total = Powers(), np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for b in pieces(batch, 0):
-                every = [s for s in shingles(b.column(0), n, powers) if len(s)]
-                if every:
-                    total += np.bincount((np.concatenate(every) >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
+                first, _, hashes = windows(b.column(0), n, powers)
+                whole = np.arange(len(hashes)) + n <= np.repeat(first[1:], np.diff(first))
+                total += np.bincount((hashes[whole] >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
+        if total.any():
+            rows = total.reshape(-1, ROW_COUNTERS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["row", "counters"])
+
+    def added(frame):
+        total = sum(np.frombuffer(r, np.int64) for r in frame["counters"])
         at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_pydict({"c": at, "n": total[at]})
+        return pd.DataFrame({"c": frame["row"].iloc[0] * ROW_COUNTERS + at, "n": total[at]})
 
-    counts = stored(texts.mapInArrow(run, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")), "census")
+    counted = texts.mapInArrow(run, "row bigint, counters binary").groupBy("row").applyInPandas(added, "c bigint, n bigint")
+    counts = stored(counted, "census")
     mean = counts.agg(F.sum("n") / COUNTERS).first()[0] or 0
     marks = np.zeros(COUNTERS, bool)
     for r in counts.where(F.col("n") > COMMON * mean + 16).collect():
@@ -168,36 +186,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 def candidate_links(rows: DataFrame, reps: DataFrame, n: int, percent: int, block_tokens: int) -> DataFrame:
     """(a, b): links between class nodes that span the components of all links.
 
-    All joins are of sides that grow with the corpus: they are merged, and the rows of a token, hub or node that many
-    classes share are dealt to many tasks.
+    All joins are of sides that grow with the corpus: they are shuffled, and the rows of a token, hub or node that many
+    classes share are dealt to many tasks.  Where the right side is a few numbers a key, and far smaller than the left
+    one, it is hashed in its task, which saves the sort of the left one.
     """
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("size") * percent / 100) / 20)).cast("long")
     postings = reps.select("node", "size", F.size("prefix").alias("width"), F.explode("prefix").alias("token"))
     counts = stored(postings.groupBy(F.col("token").alias("key")).agg(F.count("*").alias("n")).where("n > 1"), "token-counts")
     hot = hot_keys(counts)
-    left = stored(salted_join(postings, counts.select("key"), "token", "key", "node", hot).drop("key"), "postings")
+    left = stored(salted_join(postings, counts.select("key"), "token", "key", "node", hot, hint="shuffle_hash").drop("key"), "postings")
     discard(counts)
     # How much of a class's prefix is shared decides whether it can link at all, and who is the hub.  Tokens that only
-    # one able class is left with no longer count, so the classes that stay are told once more.
-    for _ in range(2):
-        weight = left.groupBy("node").agg(F.count("*").alias("held"), F.first("size").alias("size"), F.first("width").alias("width"))
-        able = weight.where(F.col("held") >= need).select(F.col("node").alias("able"), (F.col("width") - F.col("held")).alias("alone"))
-        kept = left.select("node", "size", "width", "token").join(able.hint("merge"), F.col("node") == F.col("able"))
-        hubs = kept.groupBy(F.col("token").alias("hub_token")).agg(F.min(F.struct("alone", "node"))["node"].alias("hub"), F.count("*").alias("df")).where("df > 1")
-        kept = salted_join(kept, hubs, "token", "hub_token", "node", hot)
-        kept = stored(kept.select("node", "size", "width", "token", "hub"), "left")
-        discard(left)
-        left = kept
+    # one able class is left with no longer count.
+    weight = left.groupBy("node").agg(F.count("*").alias("held"), F.first("size").alias("size"), F.first("width").alias("width"))
+    able = weight.where(F.col("held") >= need).select(F.col("node").alias("able"), (F.col("width") - F.col("held")).alias("alone"))
+    kept = left.join(able.hint("shuffle_hash"), F.col("node") == F.col("able"))
+    hubs = kept.groupBy(F.col("token").alias("hub_token")).agg(F.min(F.struct("alone", "node"))["node"].alias("hub"), F.count("*").alias("df")).where("df > 1")
+    kept = stored(salted_join(kept, hubs, "token", "hub_token", "node", hot, hint="shuffle_hash").select("node", "size", "hub"), "kept")
+    discard(left)
     # Two linked classes share `need` tokens or more under at most as many hubs as either of them has, so they meet at
     # one hub that has at least this share of both.
-    met = left.groupBy("hub", "node").agg(F.first("size").alias("size"), F.count("*").alias("meets"))
+    met = kept.groupBy("hub", "node").agg(F.first("size").alias("size"), F.count("*").alias("meets"))
     met = met.withColumn("hubs", F.count("*").over(Window.partitionBy("node"))).where(F.col("meets") * F.col("hubs") >= need)
     met = stored(met.select("hub", "node", "size"), "met")
     room = stored(met.groupBy(F.col("hub").alias("room_hub")).agg(F.sum("size").alias("tokens"), F.count("*").alias("classes")).where("classes > 1"), "rooms")
     parts = F.ceil(F.col("tokens") / block_tokens).cast("long")
     placed = salted_join(met, room, "hub", "room_hub", "node", hot_keys(room.select("room_hub", "classes"), "room_hub", "classes"))
     placed = stored(placed.select("hub", "node", "size", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("nth")), "placed")
-    discard(left, met, room)
+    discard(kept, met, room)
     tokens = token_sets(rows, reps.join(placed.select("node").distinct().hint("merge"), "node", "left_semi").select("rep"), n)
 
     # First in each part, with the hub in every part of its block.

@@ -22,6 +22,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULTIPLIER))
+#: Each byte with A-Z taken as a-z, and its value.
+LOW = np.array([b | 0x20 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+LOW_VALUE = BYTE_VALUE[LOW]
 
 
 class Powers:
@@ -48,8 +51,7 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words(texts: pa.Array, is_word: np.ndarray, powers: Powers):
     """(first word of each text (n + 1), start bytes, end bytes, hashes) of all words, A-Z taken as a-z."""
     raw, offsets = buffer_of(texts)
-    low = np.where((raw >= 65) & (raw <= 90), raw | 0x20, raw).astype(np.uint8)
-    inside = is_word[low]
+    inside = is_word[LOW][raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
@@ -61,6 +63,6 @@ def words(texts: pa.Array, is_word: np.ndarray, powers: Powers):
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     up, down = powers.get(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[low] * up[: len(raw)], out=total[1:])
+    np.cumsum(LOW_VALUE[raw] * up[: len(raw)], out=total[1:])
     hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     return np.searchsorted(start, offsets), start, end, hashes

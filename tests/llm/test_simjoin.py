@@ -1,4 +1,5 @@
 import random
+import time
 import re
 from collections import Counter
 
@@ -127,3 +128,24 @@ def test_components_of_a_chain_and_of_nothing(spark):
     found = {r.node: r.component for r in components(chain).collect()}
     assert found == {i: 0 for i in range(21)} | {50: 50, 51: 50}
     assert components(chain.limit(0)).collect() == []
+
+
+def test_a_block_of_many_near_sets_is_searched_in_little_time():
+    """Sets that are near one another but not near the hub each search the whole block; a heap took 20 s and more here."""
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
+    sets = [np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))]
+    sets += [np.unique(np.r_[base[rng.permutation(len(base))[:390]], rng.integers(0, 1 << 62, 10).astype(np.uint64)]) for _ in range(1499)]
+    began = time.process_time()
+    found = block_links(sets, 85)
+    assert len(found) == 1498 and all(i for i, _ in found)
+    assert time.process_time() - began < 8
+
+
+def test_a_census_task_gives_few_rows_whatever_it_counts(spark, monkeypatch):
+    told = []
+    monkeypatch.setattr(simjoin, "stored", lambda df, label: told.append(df) or df)
+    texts = [" ".join(f"w{i * 50 + k % 40}" for k in range(90)) for i in range(40)] + ["", None, "three words only"]
+    marks = simjoin.census(spark.createDataFrame([(t or "",) for t in texts], "text string").coalesce(1), 4)
+    assert len(marks) == simjoin.COUNTERS
+    assert told[0].agg({"n": "sum"}).first()[0] == 40 * 87  # windows of whole texts, none across two of them
