@@ -92,7 +92,7 @@ def layout_round_trip(spark, sf_dir):
     parts = whole.withColumn("plans", F.transform(numbers, lambda k: F.struct(k.alias("k"), planned(k).alias("planned"))))
     again = assembly.documents(cutting.cut(parts.select("doc_id", "result", "plans"), None, units.CODE_POINTS), unit=units.CODE_POINTS)
     sides = whole.select("doc_id", "pages", F.size(numbers).cast("bigint").alias("parts"), F.md5("result").alias("a"))
-    return sides.join(again.select("doc_id", F.md5("result").alias("b")), "doc_id").select("doc_id", "pages", "parts", (F.col("a") == F.col("b")).alias("same"))
+    return sides.join(again.select("doc_id", F.md5("result").alias("b")).hint("merge"), "doc_id").select("doc_id", "pages", "parts", (F.col("a") == F.col("b")).alias("same"))
 
 
 #: Faults that are put in the whole results of the documents doc_id % 8 = n: what is replaced, by what, and the first problem.
@@ -561,5 +561,6 @@ def generated_round_trip(spark, sf_dir):
     plan = documents.select("doc_id", "pages", F.explode(k).alias("k")).select("doc_id", "k", F.sequence(2 * F.col("k") + 1, F.least(2 * F.col("k") + 2, F.col("pages"))).alias("planned"))
     again = assembly.documents(cutting.cut(whole, plan, units.CODE_POINTS), unit=units.CODE_POINTS)
     n = F.get(F.filter("counts", lambda c: c["name"] == "sections"), F.lit(0))["items"] - 1
-    both = whole.join(again.select("doc_id", n.alias("sections"), F.col("result").alias("merged")), "doc_id")
+    # Both sides hold every result, so they are merged: a broadcast would take all of one side through the driver.
+    both = whole.join(again.select("doc_id", n.alias("sections"), F.col("result").alias("merged")).hint("merge"), "doc_id")
     return both.select("doc_id", "pages", "sections", (F.col("result") == F.col("merged")).alias("same"))

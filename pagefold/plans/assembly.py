@@ -527,7 +527,7 @@ def cut(results: DataFrame, plan: DataFrame, profile: Profile = READ) -> DataFra
     if profile.di:
         raise ValueError("results whose pages refer to one another are cut by realcut.cut")
     plans = plan.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", F.col("planned").cast("array<bigint>").alias("planned")))).alias("plans"))
-    joined = results.select("doc_id", "result").join(plans, "doc_id")
+    joined = results.select("doc_id", "result").join(plans.hint("merge"), "doc_id")
     kind_k = plan.schema["k"].dataType.simpleString()
 
     def run(batches):

@@ -25,13 +25,14 @@ def cut(results: DataFrame, plan: DataFrame | None, unit: str = units.GRAPHEMES)
     without white space and numbered by itself, so that merging the parts gives the result again.  A result that cannot
     be cut (null, malformed, or with anything that cannot be followed) gives its parts a null raw text and up to eight
     problems by their paths, and ends nothing.  A document without a plan, or a plan without a document, gives nothing.
-    Results and plans are shuffled by document, once each.
+    Results and plans are shuffled by document, once each; plans grow with results, whatever size a plan's estimate has,
+    so they are merged, never sent through the driver.
     """
     rows = results
     if plan is not None:
         pages = F.col("planned").cast("array<bigint>").alias("planned")
         plans = plan.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", pages))).alias("plans"))
-        rows = results.select("doc_id", "result").join(plans, "doc_id")
+        rows = results.select("doc_id", "result").join(plans.hint("merge"), "doc_id")
     told = clusters(F.coalesce(F.get_json_object("result", "$.analyzeResult.content"), F.get_json_object("result", "$.content"))) if unit == units.GRAPHEMES else F.lit(None).cast("array<int>")
     joined = rows.select("doc_id", "result", "plans", told.alias("clusters"))
     kind_k = joined.schema["plans"].dataType.elementType["k"].dataType.simpleString()
@@ -101,6 +102,6 @@ def compose(results: DataFrame, unit: str = units.GRAPHEMES) -> tuple[DataFrame,
     parts = rows.withColumn("planned", F.when(F.col("n_pages") > 0, planned).otherwise(F.array().cast("array<bigint>")))
     mapped = F.transform(figures(F.col("raw")), lambda f: F.struct((f["page"] + F.col("base")).alias("page"), f["rest"].alias("rest"), (f["first"] + F.col("base")).alias("first")))
     want = parts.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", mapped.alias("f")))), lambda p: p["f"])).alias("want"), F.min("n_pages").alias("least"))
-    found = assembly.documents(parts, assembly.DI, unit).join(want, "doc_id")
+    found = assembly.documents(parts, assembly.DI, unit).join(want.hint("merge"), "doc_id")
     codes = F.concat(F.transform("codes", lambda c: c["code"]), F.array_compact(F.array(F.when(F.col("least") == 0, "pages"), F.when(F.col("result").isNotNull() & (figures(F.col("result")) != F.col("want")), "figures"))))
     return found.select("doc_id", F.when(F.size(codes) == 0, F.col("result")).alias("result"), F.array_distinct(codes).alias("codes")), parts.select("doc_id", "k", "planned")
