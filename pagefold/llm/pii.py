@@ -4,25 +4,32 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagefold.llm.common import table, text_or_empty
+from pagefold.llm.wordhash import buffer_of
 
 #: The kinds of the base contract, in its order, then the kinds that this method adds.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "secret")
 
-# Lookbehinds and possessive repeats keep every scan linear: a run that fails once is not entered again.
+# Lookbehinds and possessive repeats keep every scan linear: a run that fails once is not entered again.  A pattern
+# begins with what it consumes, and looks behind that, as the scan for a first character is much faster than a try at each.
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+IBAN = re.compile(r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+SSN = re.compile(r"[0-8](?<![0-9-][0-8])[0-9]{2}(?<!000)(?<!666)-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:password|passwd|secret|api_key|token)[=:][^\s\"']{8,}+", re.ASCII)
+#: Every secret holds one of these.
+SECRET_MARKS = ("AKIA", *(f"{w}{mark}" for w in ("password", "passwd", "secret", "api_key", "token") for mark in "=:"))
+#: Kinds without a digit in their patterns.
+NO_DIGITS = frozenset(["email", "secret"])
 
 #: Score of a confirmed span before its neighbourhood is read, and words near it that raise or lower the score.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.35, "secret": 0.7}
@@ -85,6 +92,12 @@ def ibans(text: str):
                     break
 
 
+def secrets(text: str):
+    if any(mark in text for mark in SECRET_MARKS):
+        for m in SECRET.finditer(text):
+            yield m.span()
+
+
 FINDERS = {
     "email": emails,
     "ip": lambda t: (m.span() for m in IP.finditer(t) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in m.group().split(".")))),
@@ -92,7 +105,7 @@ FINDERS = {
     "phone": lambda t: (m.span() for m in PHONE.finditer(t) if 9 <= sum(map(str.isdigit, m.group())) <= 15),
     "iban": ibans,
     "ssn": lambda t: (m.span() for m in SSN.finditer(t)),
-    "secret": lambda t: (m.span() for m in SECRET.finditer(t)),
+    "secret": secrets,
 }
 
 
@@ -102,10 +115,21 @@ def score(kind: str, text: str, start: int, end: int) -> float:
     return round(min(1.0, max(0.0, PRIOR[kind] + sum(weights.get(w, 0.0) for w in set(WORD.findall(around))))), 3)
 
 
-def spans(text: str, min_score: float) -> list[dict]:
-    """All spans by kind, then start.  Base kinds stay whatever their score; others need min_score."""
+def have_digits(texts: pa.Array) -> list[bool]:
+    """Whether each text has a digit, from the bytes of all of them at once."""
+    raw, offsets = buffer_of(texts)
+    return (np.diff(np.searchsorted(np.flatnonzero(raw - np.uint8(48) < 10), offsets)) > 0).tolist()
+
+
+def spans(text: str, min_score: float, digits: bool = True) -> list[dict]:
+    """All spans by kind, then start.  Base kinds stay whatever their score; others need min_score.
+
+    digits: whether the text may have any; without one, only the kinds that need none are sought.
+    """
     out = []
     for kind in KINDS:
+        if not digits and kind not in NO_DIGITS:
+            continue
         for start, end in FINDERS[kind](text):
             points = score(kind, text, start, end)
             if kind in BASE or points >= min_score:
@@ -127,7 +151,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
 
     def run(batches):
         for b in batches:
-            found = [spans(t, min_score) for t in b.column(1).to_pylist()]
+            found = [spans(t, min_score, d) for t, d in zip(b.column(1).to_pylist(), have_digits(b.column(1)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, SPANS_ARROW)], ["id", "spans"])
 
     return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, spans {SPANS}").withColumnRenamed("id", id_col)
@@ -153,7 +177,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
 
     def run(batches):
         for b in batches:
-            new = [None if t is None else cut(t, found) if (found := spans(t, min_score)) else t for t in b.column(at).to_pylist()]
+            texts = zip(b.column(at).to_pylist(), have_digits(b.column(at)), strict=True)
+            new = [None if t is None else cut(t, found) if (found := spans(t, min_score, d)) else t for t, d in texts]
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
     out = docs.mapInArrow(run, docs.schema)

@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import stored, table, text_or_empty
+from pagefold.llm.common import pieces, stored, table, text_or_empty
 from pagefold.llm.fsa import Composed, Lexical, Transducer
+from pagefold.llm.wordhash import buffer_of
 
 #: At most so many labelled rows are read for the fit, those of the smallest crc32 (documented bound).
 MAX_FIT_ROWS = 12_000
@@ -34,6 +35,9 @@ MAX_FIT_ROWS = 12_000
 FIT_TASKS = 32
 #: Words whose class and weight a task keeps; beyond that it starts anew.
 CACHE_WORDS = 100_000
+#: Hashes of the first bytes of a word, of HEAD bytes at most.
+HEADS = 1 << 16
+HEAD = 8
 
 # Closed word classes in English, German, French and Spanish.
 SEED_INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile", "vermin"]
@@ -118,6 +122,29 @@ def lower_bound(hits: float, tries: float, z: float = 2.6) -> float:
     return (p + q / 2 - z * math.sqrt((p * (1 - p) + q / 4) / tries)) / (1 + q)
 
 
+def first_bytes(eight: np.ndarray, n: int) -> np.ndarray:
+    return eight & np.uint64((1 << 8 * n) - 1)
+
+
+def place(heads: np.ndarray) -> np.ndarray:
+    """A place among HEADS for each."""
+    return (heads * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+
+
+def marked_heads(keys: set[str]) -> list[tuple[int, bool, np.ndarray, np.ndarray]]:
+    """(n, whole, heads, marks) of lexicon keys: their first n bytes, sorted, and marks of these; whole: the word ends behind them."""
+    told: dict[tuple[int, bool], set[bytes]] = {}
+    for key in keys:
+        raw = key.rstrip("*").encode()
+        told.setdefault((min(len(raw), HEAD), key[-1:] != "*" and len(raw) < HEAD), set()).add(raw[:HEAD].ljust(HEAD, b"\0"))
+    out = []
+    for (n, whole), found in told.items():
+        heads, marks = np.sort(np.frombuffer(b"".join(found), "<u8")), np.zeros(HEADS, bool)
+        marks[place(heads)] = True
+        out.append((n, whole, heads, marks))
+    return out
+
+
 class Scorer:
     """Features and score of one text; made on each task from the fitted lexicon and weights."""
 
@@ -126,7 +153,10 @@ class Scorer:
         self.machine = Composed(*grammar(factors))
         self.weights = weights
         self.known: dict[str, tuple[str, float]] = {}
-        self.weighty: set[str] = set()
+        keys = [k.rstrip("*") for k in (*lexicon, *THREATS)]
+        self.width = min(3, *map(len, keys))
+        self.begins = {k[: self.width] for k in keys}
+        self.heads = marked_heads({*lexicon, *THREATS})
 
     def lexical(self, word: str) -> tuple[str, float]:
         """Class and weight that the insult and the threat transducer write for a word."""
@@ -135,23 +165,44 @@ class Scorer:
             symbol, weight = THREAT.step(word)
         return (symbol, weight) if weight else (CLASS_OF.get(word, "o"), 0.0)
 
-    def learn(self, words: set[str]) -> None:
-        """Class and weight of words that are new to this task."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            self.weighty.clear()
-        for w in words:
-            if w not in self.known:
-                self.known[w] = told = self.lexical(w)
-                if told[1]:
-                    self.weighty.add(w)
-
-    def matched(self, text: str) -> list[tuple[int, int, list[tuple[str, float]]]]:
+    def word(self, word: str) -> tuple[str, float]:
+        """`lexical`, kept for words that come again."""
+        told = self.known.get(word)
+        if told is None:
+            if len(self.known) > CACHE_WORDS:
+                self.known.clear()
+            told = self.known[word] = self.lexical(word)
+        return told
+
+    def suspects(self, lows: list[str]) -> list[bool]:
+        """Whether each lower-cased text may hold a word with a weight: by the first bytes of all their words at once."""
+        if not lows:
+            return []
+        raw, offsets = buffer_of(pa.array([t + "\n" for t in lows], pa.large_string()))
+        padded = np.r_[raw, np.zeros(HEAD, np.uint8)]
+        letter = (padded >= 97) & (padded <= 122)
+        begins = raw >= 0xC0  # any character beyond ASCII may begin a word
+        begins[0] |= letter[0]
+        begins[1:] |= letter[1 : len(raw)] & ~letter[: len(raw) - 1]
+        at = np.flatnonzero(begins)
+        eight = np.ndarray(len(raw), "<u8", padded, strides=(1,))[at]
+        hit = np.zeros(len(at), bool)
+        for n, whole, heads, marks in self.heads:
+            own = first_bytes(eight, n)
+            found = np.flatnonzero(marks[place(own)])
+            found = found[heads[np.minimum(np.searchsorted(heads, own[found]), len(heads) - 1)] == own[found]]
+            hit[found] |= ~letter[at[found] + n] if whole else True
+        return (np.diff(np.searchsorted(at[hit], offsets)) > 0).tolist()
+
+    def all_clauses(self, texts: list[str]) -> list[list]:
+        """`clauses` of each text."""
+        lows = [t.lower() for t in texts]
+        return [[(a, b, *run(self.machine, parts)) for a, b, parts in self.matched(t, low)] if may else [] for t, low, may in zip(texts, lows, self.suspects(lows), strict=True)]
+
+    def matched(self, text: str, low: str | None = None) -> list[tuple[int, int, list[tuple[str, float]]]]:
         """(start, end, classes and weights of words and marks) of every clause that holds an insult or a threat."""
-        low = text.lower()
-        words = set(WORD.findall(low))
-        self.learn(words)
-        triggers = words & self.weighty
+        low = text.lower() if low is None else low
+        triggers = {w for w in set(WORD.findall(low)) if w[: self.width] in self.begins and self.word(w)[1]}
         if not triggers:
             return []
         out, at, quoted = [], 0, False
@@ -163,9 +214,9 @@ class Scorer:
             if quoted and mark and mark != "\n":
                 continue
             quoted = False
-            parts = PART.findall(low, at, end)
-            if not triggers.isdisjoint(parts):
-                out.append((at, end, [MARKS.get(p) or self.known[p] for p in parts]))
+            clause = low[at:end]
+            if any(w in clause for w in triggers) and not triggers.isdisjoint(parts := PART.findall(clause)):
+                out.append((at, end, [MARKS.get(p) or self.word(p) for p in parts]))
             at = end + 1
         return out
 
@@ -284,8 +335,8 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         scorer = Scorer(*model)
-        for b in batches:
-            matched = [scorer.clauses(t) for t in b.column(1).to_pylist()]
+        for b in (p for batch in batches for p in pieces(batch, 1)):
+            matched = scorer.all_clauses(b.column(1).to_pylist())
             scores = [scorer.judged(m) for m in matched]
             found = [[{"start": a, "end": e, "marks": "".join(c for c in outs if c in FEATURES)} for a, e, outs, _ in m] for m in matched]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(found, kind)], ["id", "score", "predicted", "clauses"])
@@ -301,7 +352,8 @@ def keep_clean(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     def run(batches):
         scorer = Scorer(*model)
         for b in batches:
-            yield b.filter(pa.array([scorer.score(t or "") < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
+            found = (m for p in pieces(b, at) for m in scorer.all_clauses([t or "" for t in p.column(at).to_pylist()]))
+            yield b.filter(pa.array([scorer.judged(m) < 0.5 for m in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -141,3 +141,15 @@ def test_machine_equals_the_rules(fitted):
         got = [w for *_, w in Scorer(*model).clauses(text)]
         want = plain_score(text, model)
         assert [round(w, 9) for w in got] == [round(w, 9) for w in want], text
+
+
+def test_texts_are_told_apart_by_the_first_bytes_of_their_words():
+    scorer = toxicity.Scorer({"idiot": 2.0, "stup*": 1.0, "été": 1.0, "ab": 3.0, "worthlessness": 1.0}, [-4.0, 0.1, 1.0, 0.4, *[0.3] * (1 + len(toxicity.FEATURES))])
+    yes = ["You IDIOT", "x_idiot", "„idiot“", "idiot", "stupidity", "l'été", "ab", "ab,", "worthlessness", "kill you"]
+    no = ["", "idiotic", "idio", "an étés", "abc", "a b", "ordinary words", "wort", "skilled"]
+    assert scorer.suspects([t.lower() for t in yes]) == [True] * len(yes)
+    assert not any(scorer.suspects([t.lower() for t in no]))
+    assert scorer.suspects([]) == []
+    mixed = [t for pair in zip(yes, no, strict=False) for t in pair]
+    assert scorer.all_clauses(mixed) == [scorer.clauses(t) for t in mixed]
+    assert all(scorer.clauses(t) for t in yes)
